@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import FIT_PER_CLASS, fit_sample, map_documents
 
@@ -111,8 +113,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "qua
 
     Labels with a null id or label count as missing; of repeated ids' labels, the smallest is taken.
     """
-    from pyspark.sql import functions as F
-
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__lid")).agg(F.min(label_col).alias("__label"))
     rows = docs.select(id_col, text_col).join(known.filter(F.col("__label").isin(0, 1)), F.col(id_col) == F.col("__lid")).select(id_col, text_col, "__label")
     return Neighbours(fit_sample(rows, "__label", learn, id_col, text_col, TRAIN_PER_CLASS))
@@ -132,3 +132,16 @@ def classify(docs: DataFrame, model: Neighbours, id_col: str = "doc_id", text_co
         return lambda texts: [(s, int(s >= 0.5)) for s in m.scores(texts)]
 
     return map_documents(docs, make, "score double, predicted int", id_col, text_col)
+
+
+def score_column(docs: DataFrame, model: Neighbours, text_col: str = "text") -> Column:
+    """The score as a column of ``docs``, for filters that keep whole rows in place."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = shared.value
+        for texts in batches:
+            yield pd.Series(m.scores([None if t is None else t.encode() for t in texts]), dtype="float64")
+
+    return score(F.col(text_col))
