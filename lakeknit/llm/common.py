@@ -37,7 +37,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/lakeknit-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a staged table once everything made of it is staged itself."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._staged_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

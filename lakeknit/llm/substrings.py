@@ -10,12 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spark_schema_to_arrow, staged, utf8
+from .common import discard, spark_schema_to_arrow, staged, utf8
 
 WINDOW = 35
-#: Rounds of naming; a symbol stands for its windows if at most CONTEXT words decide on it.
+#: Rounds of naming; a symbol stands for its windows if at most CONTEXT words decide on it. Those words name the anchor, too.
 ROUNDS = 4
-CONTEXT = 14
+CONTEXT = 12
 #: Words that are named at a time.
 CHUNK_WORDS = 400_000
 _FAR = 1 << 40
@@ -101,8 +101,8 @@ def choose_anchors(hashes: np.ndarray, doc: np.ndarray, window: int, rounds: int
     level = Symbols(hashes, places, places + 1, places, places + 1, doc)
     value, name = (_U(1) << _U(58)) | (mixed(hashes) >> _U(6)), hashes.copy()
     for r in range(rounds):
-        for pairs in (False, True):
-            level = level.pairs(r + 1) if pairs else level.runs()
+        for step in ("runs", "pairs") if r == 0 else ("pairs",):
+            level = level.runs() if step == "runs" else level.pairs(r + 1)
             fit = np.flatnonzero(level.high - level.low <= context)
             at, length = level.low[fit], np.minimum(level.end[fit] - level.start[fit], 60).astype(np.uint64)
             new = (length << _U(58)) | (mixed(level.name[fit]) >> _U(6))
@@ -129,9 +129,9 @@ def choose_anchors(hashes: np.ndarray, doc: np.ndarray, window: int, rounds: int
     first = np.flatnonzero(new)
     count = np.diff(np.concatenate([first, [len(w)]]))
     begin, anchor = w[first], anchor[first]
-    body = span_hashes(hashes)(begin, begin + count + window - 1)
-    whole = mixed(body + mixed((anchor - begin).astype(np.uint64) * _U(64) + count.astype(np.uint64)))
-    return begin, count, name[anchor], whole
+    of = span_hashes(hashes)
+    whole = mixed(of(begin, begin + count + window - 1) + mixed((anchor - begin).astype(np.uint64) * _U(64) + count.astype(np.uint64)))
+    return begin, count, mixed(name[anchor] + of(anchor, anchor + context)), whole
 
 
 def span_hashes(hashes: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -192,14 +192,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
     found = staged(docs.select("doc_id", "text", "th").mapInArrow(anchors, schema), "anchors")
-    variants = found.groupBy("name", "whole").agg(F.count("*").alias("n"))
-    names = variants.groupBy("name").agg(F.sum("n").alias("rows"), F.count("*").alias("variants")).filter("rows > 1").select("name", "variants")
-    shared = variants.join(names, "name")
-    places = staged(found.join(shared, ["name", "whole"]), "places")
+    names = found.groupBy("name").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).filter("n > 1").select("name", F.expr("a <> b").alias("mixed"))
+    places = found.join(names, "name").select("mixed", F.expr("if(mixed, name, null)").alias("name"), F.expr("if(mixed, whole, null)").alias("whole"), "doc_id", "th", "pos", "k")
+    places = staged(places, "places")
+    discard(found)
+    several = places.filter("mixed")
 
     # One row of each variant of a name that has several.
-    few = places.filter("variants > 1").groupBy("name", "whole").agg(F.min(F.struct("th", "pos", "k", F.col("doc_id").isNull().alias("none"), "doc_id")).alias("x"))
-    wanted = few.select("name", "whole", "x.*").groupBy("doc_id", "th").agg(F.collect_list(F.struct("name", "whole", "pos", "k")).alias("asked"))
+    variants = staged(several.groupBy("name", "whole").agg(F.count("*").alias("n"), F.min(F.struct("th", "pos", "k", F.col("doc_id").isNull().alias("none"), "doc_id")).alias("x")).select("name", "whole", "n", "x.*"), "variants")
+    wanted = variants.groupBy("doc_id", "th").agg(F.collect_list(F.struct("name", "whole", "pos", "k")).alias("asked"))
     text = docs.alias("d").join(wanted.alias("q"), F.expr("d.th = q.th AND d.doc_id <=> q.doc_id")).select("d.text", "q.asked")
     out = "name long, whole long, i int, hash long, back int"
     out_fields = spark_schema_to_arrow(docs.sparkSession, out)
@@ -220,12 +221,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 half = of(w, w + window // 2) & _U(0x7FFFFFFF)
                 yield pa.RecordBatch.from_arrays([x.field("name").take(take), x.field("whole").take(take), pa.array(i.astype(np.int32)), _signed(of(w, w + window)), pa.array(half.astype(np.int32))], schema=pa.schema(out_fields))
 
-    # A document that stands in several rows answers once for each; that must not count as a repeat.
     each = staged(text.mapInArrow(windows, out), "windows")
     twice = each.groupBy("name", "hash", "back").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).filter("a <> b").select("name", "hash", "back")
     masks = each.join(twice, ["name", "hash", "back"], "left_semi").groupBy("name", "whole").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-    full = places.filter("n > 1").select("doc_id", "th", "pos", F.expr("shiftleft(1L, k) - 1").alias("mask"))
-    part = places.filter("n = 1 AND variants > 1").join(masks, ["name", "whole"]).select("doc_id", "th", "pos", "mask")
+    # All windows of a variant that stands in several places, or those that other variants have.
+    marked = staged(variants.select("name", "whole", "n").join(masks, ["name", "whole"], "left").filter("n > 1 OR mask IS NOT NULL").select("name", "whole", F.expr("if(n > 1, -1L, mask)").alias("mask")), "masks")
+    discard(each)
+    discard(variants)
+    every = F.expr("shiftleft(1L, k) - 1")
+    full = places.filter("NOT mixed").select("doc_id", "th", "pos", every.alias("mask"))
+    part = several.join(marked, ["name", "whole"]).select("doc_id", "th", "pos", F.col("mask").bitwiseAND(every).alias("mask"))
     return full.union(part).groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "mask")).alias("spans"))
 
 
