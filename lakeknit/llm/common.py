@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: A class of training rows has at most so many documents, none longer than so many characters.
 FIT_PER_CLASS = 500
 FIT_MAX_CHARS = 20_000
+#: Rows that a worker turns into Python objects at a time.
+SLICE_ROWS = 512
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -60,6 +62,13 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def map_documents(docs: DataFrame, make: Callable[[], Callable[[list], list[tuple]]], columns: str, id_col: str, text_col: str) -> DataFrame:
     """One row for each document: its id, and what ``make()(texts)`` returns for its text.
 
@@ -74,7 +83,7 @@ def map_documents(docs: DataFrame, make: Callable[[], Callable[[list], list[tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in slices(batches):
             rows = work(utf8(batch.column(1)))
             parts = list(zip(*rows, strict=True)) if rows else [[] for _ in arrow[1:]]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow[0].type), *(pa.array(p, type=f.type) for p, f in zip(parts, arrow[1:], strict=True))], schema=pa.schema(arrow))

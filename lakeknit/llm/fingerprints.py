@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_documents, spark_schema_to_arrow, staged
+from .common import map_documents, slices, spark_schema_to_arrow, staged
 
 
 def canonical(text: str) -> bytes:
@@ -101,7 +101,7 @@ def compare_neighbours(docs: DataFrame, partitions: int | None = None, id_col: s
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
 
         none = (None,) * 6
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if held is None:
@@ -123,7 +123,7 @@ def compare_neighbours(docs: DataFrame, partitions: int | None = None, id_col: s
     ends_fields = spark_schema_to_arrow(docs.sparkSession, f"doc_id {kind}, {_EDITS}")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 16):
             got = [(k, *compare(t, a)) for k, t, a in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*got, strict=True), ends_fields, strict=True)], schema=pa.schema(ends_fields))

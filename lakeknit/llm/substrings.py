@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, spark_schema_to_arrow, staged, utf8
+from .common import SLICE_ROWS, discard, slices, spark_schema_to_arrow, staged, utf8
 
 WINDOW = 35
 #: Rounds of naming; a symbol stands for its windows if at most CONTEXT words decide on it. Those words name the anchor, too.
@@ -183,7 +183,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     fields = spark_schema_to_arrow(docs.sparkSession, schema)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2 * SLICE_ROWS):
             for rows, hashes, doc, starts in _chunks(utf8(batch.column(1)), window):
                 begin, count, name, whole = choose_anchors(hashes, doc, window)
                 own = doc[begin] if len(begin) else begin
@@ -193,9 +193,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     found = staged(docs.select("doc_id", "text", "th").mapInArrow(anchors, schema), "anchors")
     names = found.groupBy("name").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).filter("n > 1").select("name", F.expr("a <> b").alias("mixed"))
+    names = staged(names, "names")  # read again, both sides of the join are plain shuffles, whose hot keys can be split
     places = found.join(names, "name").select("mixed", F.expr("if(mixed, name, null)").alias("name"), F.expr("if(mixed, whole, null)").alias("whole"), "doc_id", "th", "pos", "k")
     places = staged(places, "places")
     discard(found)
+    discard(names)
     several = places.filter("mixed")
 
     # One row of each variant of a name that has several.
@@ -206,7 +208,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     out_fields = spark_schema_to_arrow(docs.sparkSession, out)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(1)
             for t, asked in zip(utf8(batch.column(0)), lists, strict=True):
                 hashes = word_hashes(t.split())
@@ -254,7 +256,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     fields = spark_schema_to_arrow(docs.sparkSession, schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             total, removed, kept = [], [], []
             for t, pos, mask in zip(utf8(batch.column(1)), batch.column(2), batch.column(3), strict=True):
                 words = t.split()
