@@ -119,9 +119,12 @@ def fit_sample(docs: DataFrame, label: str, learn: Column, id_col: str, text_col
     from pyspark.sql import Window
 
     rows = docs.filter(learn & F.col(label).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) <= FIT_MAX_CHARS))
-    w = Window.partitionBy("__label").orderBy("__hash", "__id")
+    order = ("__hash", "__id")
     ids = rows.select(F.col(label).alias("__label"), F.xxhash64(id_col).alias("__hash"), F.col(id_col).alias("__id"))
-    few = ids.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= per_class).select("__id").distinct()
+    # First within 64 parts of each class, so that no task gets more than a bounded number of rows from each part.
+    part = F.row_number().over(Window.partitionBy("__label", F.pmod("__hash", F.lit(64))).orderBy(*order))
+    some = ids.withColumn("__rank", part).filter(F.col("__rank") <= per_class).drop("__rank")
+    few = some.withColumn("__rank", F.row_number().over(Window.partitionBy("__label").orderBy(*order))).filter(F.col("__rank") <= per_class).select("__id").distinct()
     got = rows.join(F.broadcast(few), F.col(id_col) == F.col("__id"), "left_semi").select(label, text_col, id_col).collect()
     unique = {r[2]: (r[0], r[1]) for r in sorted(got, key=lambda r: (r[2], str(r[0]), r[1]))}
     return [unique[k] for k in sorted(unique)]
