@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import legacy as lg
 from ..functions import similarity as sim
 from ..functions import text as tx
 from ..functions.dialect import DuckDB, Spark
@@ -249,7 +250,35 @@ def checks(d: Spark, p: Profile) -> str:
     return " UNION ALL ".join(f"SELECT '{k}' AS finding, CAST(n AS BIGINT) AS n FROM ({q}) AS c_{k}" for k, q in rows.items())
 
 
-STEPS = {f.__name__: f for f in (entities, records, profiles, keys, weights, candidates, features, scored, boosted, claims, matches, truth, results, entity_scores, evaluation, stopwords, grid, checks)}
+def legacy_records(d: Spark, p: Profile) -> str:
+    """What earlier generations' normalisers make of each entity."""
+    low = lg.plain(d, "business_address")
+    return f"""SELECT entity_id, {lg.name_without_cities(d, "business_name")} AS name_v1, {lg.name_ascii(d, "business_name")} AS name_ascii, {lg.long_tokens(d, lg.name_ascii(d, "business_name"))} AS long_tokens,
+  {lg.address_expanded(d, "business_address")} AS addr_v1, {lg.street_words(d, low)} AS streets_v21, {lg.care_of(d, "business_address")} AS care_of, {lg.last_six_digits(d, "business_address")} AS postal_v1
+FROM @entities"""
+
+
+def legacy_features(d: Spark, p: Profile) -> str:
+    """Pair features that only earlier vectors have."""
+    own = ", ".join(f"{v} AS {k}" for k, v in lg.features(d).items())
+    return f"SELECT c.s1_id, c.cand_id, {own} FROM @candidates AS c JOIN @profiles AS x ON c.s1_id = x.entity_id JOIN @profiles AS y ON c.cand_id = y.entity_id"
+
+
+def hard_negatives(d: Spark, p: Profile) -> str:
+    """Targets that share a name key with a first-source record: what training must learn to tell apart."""
+    own = "ch IN ('ex', 'bi_sort')"
+    return f"SELECT DISTINCT t.entity_id FROM @keys AS t JOIN (SELECT DISTINCT country, ch, val FROM @keys WHERE src = 'S1' AND {own}) AS s ON t.country = s.country AND t.ch = s.ch AND t.val = s.val WHERE t.src <> 'S1' AND t.{own}"
+
+
+def training_pairs(d: Spark, p: Profile) -> str:
+    """Candidates with labels, and the true pairs that retrieval missed, ranked after them; for training only."""
+    return """SELECT c.s1_id, c.cand_id, c.country, c.score, c.rank_no, CAST(CASE WHEN t.s1_id IS NULL THEN 0 ELSE 1 END AS INT) AS label FROM @candidates AS c LEFT JOIN @truth AS t ON c.s1_id = t.s1_id AND c.cand_id = t.cand_id
+UNION ALL SELECT t.s1_id, t.cand_id, e.country, CAST(0 AS DOUBLE) AS score, coalesce(l.last_rank, -1) + row_number() OVER (PARTITION BY t.s1_id ORDER BY t.cand_id) AS rank_no, 1 AS label
+FROM @truth AS t JOIN @entities AS e ON t.s1_id = e.entity_id LEFT JOIN @candidates AS c ON t.s1_id = c.s1_id AND t.cand_id = c.cand_id
+LEFT JOIN (SELECT s1_id, max(rank_no) AS last_rank FROM @candidates GROUP BY s1_id) AS l ON t.s1_id = l.s1_id WHERE c.s1_id IS NULL"""
+
+
+STEPS = {f.__name__: f for f in (entities, records, profiles, keys, weights, candidates, features, scored, boosted, claims, matches, truth, results, entity_scores, evaluation, stopwords, grid, checks, legacy_records, legacy_features, hard_negatives, training_pairs)}
 #: Steps that several others use and that cost a join or Python: they are written once and read again.
 SHARED = ("profiles", "candidates", "features", "matches")
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import model
+from ..sources.staging import staged
 from .linkage import STEPS, Plan, duckdb_sql
 from .profiles import PROFILES
 
@@ -28,11 +30,40 @@ def _query(step: str, profile: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _trained(spark: SparkSession, sf_dir: str) -> Plan:
+    """A plan whose scores come from the tree ensemble, learned from the training part of the records."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    plan = Plan(spark, {"documents": docs})
+    pairs = plan.step("training_pairs")
+    learn = Plan(spark, {**plan.frames, "candidates": pairs.drop("label")})
+    rows = learn.step("features").join(pairs.select("s1_id", "cand_id", "label"), ["s1_id", "cand_id"])
+    fitted = model.Ensemble.fit(staged(model.split(rows)[0], "training"), rounds=10, depth=4)
+    scored = fitted.score(plan.step("features", last=False))
+    plan.frames["scored"] = staged(scored.select("s1_id", "cand_id", "country", "distinctiveness_score", "prob"), "scored")
+    return plan
+
+
+def link_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trained(spark, sf_dir).step("scored")
+
+
+def link_model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trained(spark, sf_dir).step("evaluation")
+
+
+def link_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    plan = Plan(spark, {"documents": docs})
+    strata = plan.step("entity_scores").select("s1_id", F.least("n_true", F.lit(4)).alias("stratum"))
+    return model.folds(strata)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(*of) for name, of in NAMES.items()}
+    own = {f.__name__: f for f in (link_model_scores, link_model_evaluation, link_folds)}
+    return {name: _query(*of) for name, of in NAMES.items()} | own
 
 
-ARRAYS = {"records": ("name_tokens", "addr_tokens", "digits", "codes"), "profiles": ("name_tokens", "addr_tokens", "digits", "codes", "grams2", "grams3", "addr3", "streets")}
+ARRAYS = {"legacy_records": ("long_tokens", "streets_v21", "care_of"), "records": ("name_tokens", "addr_tokens", "digits", "codes"), "profiles": ("name_tokens", "addr_tokens", "digits", "codes", "grams2", "grams3", "addr3", "streets")}
 
 
 def oracle_sql() -> dict[str, str]:
