@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeknit.llm import bpe, common, decontaminate, pii, quality, simhash
+from lakeknit.llm import bpe, common, decontaminate, pii, quality, similar
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents with a lower quality score go.
@@ -25,21 +25,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one of the smallest id; of rows that repeat its id, one.
+    """Of each group of similar documents, the one of the smallest id; of rows that repeat its id, one.
 
-    Fingerprints are the operator's own, of four words and at most four differing bits.
+    Similar: five-word shingles with a similarity of 0.8 or more.
     Documents without an id stay unless they are linked to one that has an id.
     """
-    found = simhash.near_duplicates(docs)
+    found = common.staged(similar.similar_documents(docs), "similar")
     keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    if docs.filter("doc_id IS NULL").isEmpty():
+    bare = docs.filter("doc_id IS NULL")
+    if bare.isEmpty():
         return named
-    alone = simhash.fingerprints(docs.filter("doc_id IS NULL").withColumn("doc_id", F.col("text"))).withColumnRenamed("doc_id", "t")
-    free = found.filter("doc_id IS NULL AND component_id IS NULL").select("fp").distinct()
-    texts = alone.join(free, "fp", "left_semi").select("t").distinct()
-    nameless = docs.filter("doc_id IS NULL").join(texts, F.col("text").eqNullSafe(F.col("t")), "left_semi").select(*COLUMNS)
-    return named.union(nameless)
+    alone = similar.signatures(bare.withColumn("doc_id", F.col("text"))).select(F.col("doc_id").alias("t"), "key")
+    free = found.filter("doc_id IS NULL AND component_id IS NULL").select("key").distinct()
+    texts = alone.join(free, "key", "left_semi").select("t").distinct()
+    return named.union(bare.join(texts, F.col("text").eqNullSafe(F.col("t")), "left_semi").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
