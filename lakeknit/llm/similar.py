@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_documents, staged
+from .common import connected_components, discard, map_documents, staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", tex
 
 
 def node_pairs(leaves: DataFrame) -> DataFrame:
-    """(rot, a, b), a <= b: the leaves of each trie with at most ``SHARE`` differing bits, found by traversing pairs of nodes."""
+    """(rot, a, b), a <= b: the ends of each trie with at most ``SHARE`` differing bits, found by traversing pairs of nodes; an end pairs with itself where several leaves share it."""
     depths = [10, 16, BITS]
 
     def prefix(depth: int) -> Column:
@@ -93,9 +93,10 @@ def node_pairs(leaves: DataFrame) -> DataFrame:
     pairs = root.select("rot", "a", F.explode(masks).alias("m")).select("rot", "a", F.col("a").bitwiseXOR(F.col("m")).alias("b")).filter("a <= b")
     pairs = pairs.join(root.select("rot", F.col("a").alias("b")), ["rot", "b"], "left_semi")
     for depth, below in zip(depths, depths[1:], strict=False):
-        nodes = leaves.select("rot", prefix(depth).alias("up"), prefix(below).alias("v")).distinct()
-        low, high = nodes.select("rot", F.col("up").alias("a"), F.col("v").alias("va")), nodes.select("rot", F.col("up").alias("b"), F.col("v").alias("vb"))
-        near = F.expr(f"va <= vb AND bit_count(va ^ vb) <= {SHARE}")
+        nodes = leaves.groupBy("rot", prefix(depth).alias("up"), prefix(below).alias("v")).agg(F.count("*").alias("n"))
+        own = "n > 1" if below == BITS else "TRUE"
+        low, high = nodes.select("rot", F.col("up").alias("a"), F.col("v").alias("va"), "n"), nodes.select("rot", F.col("up").alias("b"), F.col("v").alias("vb"))
+        near = F.expr(f"(va < vb OR va = vb AND {own}) AND bit_count(va ^ vb) <= {SHARE}")
         found = pairs.join(low, ["rot", "a"]).alias("p").join(high.alias("h"), (F.col("p.rot") == F.col("h.rot")) & (F.col("p.b") == F.col("h.b")) & near)
         pairs = found.select("p.rot", F.col("va").alias("a"), F.col("vb").alias("b"))
     return pairs
@@ -122,13 +123,16 @@ def verified(pairs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY
     return both.filter(meet >= similarity * (F.size("pa") + F.size("pb") - meet)).select("a", "b")
 
 
-def pivot_pairs(leaves: DataFrame, classes: DataFrame, salt: int) -> DataFrame | None:
+def crowded_leaves(leaves: DataFrame) -> DataFrame:
+    """The leaves of nodes that have more than twice as many as a node has pivots."""
+    nodes = leaves.groupBy("rot", "v").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * PIVOTS).select("rot", "v")
+    return leaves.join(nodes, ["rot", "v"], "left_semi")
+
+
+def pivot_pairs(leaves: DataFrame, classes: DataFrame, salt: int) -> DataFrame:
     """For each leaf of a crowded node, the closest three of its nodes' pivots that it isn't linked to yet."""
     picks = [F.min(F.struct(F.xxhash64("key", F.lit(salt * PIVOTS + i)).alias("h"), F.col("key").alias("k"), F.col("comp").alias("c"))).alias(f"p{i}") for i in range(PIVOTS)]
-    crowded = leaves.groupBy("rot", "v").agg(F.count("*").alias("n"), *picks).filter(F.col("n") > 2 * PIVOTS)
-    pivots = staged(crowded.select("rot", "v", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).select("rot", "v", F.col("p.k").alias("b"), F.col("p.c").alias("cb")).distinct(), "pivots")
-    if pivots.isEmpty():
-        return None
+    pivots = leaves.groupBy("rot", "v").agg(*picks).select("rot", "v", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).select("rot", "v", F.col("p.k").alias("b"), F.col("p.c").alias("cb")).distinct()
     pairs = leaves.join(pivots, ["rot", "v"]).filter("comp <> cb").select(F.col("key").alias("a"), "b").distinct()
     best = [F.min(F.when(F.pmod(F.xxhash64("b"), F.lit(3)) == i, F.struct("diff", "b"))).alias(f"m{i}") for i in range(3)]
     closest = close_pairs(pairs, classes).groupBy("a").agg(*best).select("a", F.explode(F.array("m0", "m1", "m2")).alias("m")).filter("m IS NOT NULL")
@@ -143,21 +147,22 @@ def links(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     classes = staged(prints.groupBy("key").agg(*[F.min(F.get("fp", F.lit(i))).alias(f"f{i}") for i in range(PRINTS)], *[F.min(F.get("blocks", F.lit(i))).alias(f"b{i}") for i in range(BLOCKS)]).select("key", F.array(*[f"f{i}" for i in range(PRINTS)]).alias("fp"), F.array(*[f"b{i}" for i in range(BLOCKS)]).alias("blocks")).filter("blocks[0] IS NOT NULL"), "classes")
     bare = staged(classes.select("key", F.posexplode("blocks").alias("rot", "v")), "leaves")
-    spark, found = prints.sparkSession, None
+    found = None
+    crowded = staged(crowded_leaves(bare), "crowded")
+    tagged = crowded.withColumn("comp", F.col("key"))
     leaves = bare.withColumn("comp", F.col("key"))
-    for salt in range(ROUNDS):
-        pairs = pivot_pairs(leaves, classes, salt)
-        if pairs is None:
-            break
-        new = staged(verified(pairs, prints, similarity), "links")
+    for salt in range(0 if crowded.isEmpty() else ROUNDS):
+        new = staged(verified(pivot_pairs(tagged, classes, salt), prints, similarity), "links")
         found = new if found is None else found.union(new)
-        comps = staged(connected_components(found), "comps")
-        leaves = bare.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+        comps = staged(connected_components(found), "comps").withColumnRenamed("node", "key")
+        tagged = crowded.join(comps, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
     if found is not None:
-        leaves = staged(leaves, "leaves")
+        leaves = staged(bare.join(comps, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component"), "leaves")
+        discard(bare)
+    near = staged(node_pairs(leaves), "near")
     groups = leaves.select("rot", "v", "comp").distinct()
     low, high = groups.select("rot", F.col("v").alias("a"), F.col("comp").alias("ca")), groups.select(F.col("rot").alias("r2"), F.col("v").alias("b2"), F.col("comp").alias("cb"))
-    apart = node_pairs(bare).join(low, ["rot", "a"]).join(high, F.expr("rot = r2 AND b = b2 AND ((a < b AND ca <> cb) OR (a = b AND ca < cb))")).select("rot", "a", "ca", "b", "cb")
+    apart = near.join(low, ["rot", "a"]).join(high, F.expr("rot = r2 AND b = b2 AND ((a < b AND ca <> cb) OR (a = b AND ca < cb))")).select("rot", "a", "ca", "b", "cb")
     wide = apart.join(leaves.select("rot", F.col("v").alias("a"), F.col("comp").alias("ca"), F.col("key").alias("ka")), ["rot", "a", "ca"]).select("rot", "b", "cb", "ka")
     wide = wide.join(leaves.select("rot", F.col("v").alias("b"), F.col("comp").alias("cb"), F.col("key").alias("kb")), ["rot", "b", "cb"])
     pairs = wide.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
