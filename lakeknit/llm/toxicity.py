@@ -7,6 +7,8 @@ import random
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -20,16 +22,15 @@ DECAY = 0.5
 #: Units longer than WIDTH are cut into overlapping ones; STEM is the length of a word's beginning that also counts.
 WIDTH = 16
 STEM = 6
-WORDS, STEMS = 14, 8
-#: A kernel with a landmark counts only for units that have this share of its distinct characters; else it is 0.
-SHARED = 0.75
+#: Landmarks, at most; half of them are of telling units. Harmless units of which the others are picked, and what a landmark must add.
+LANDMARKS, POOL, ADDED = 300, 2000, 0.02
 TOP = 3
 SURE = 0.45
 FLOOR = -2.0
 TRAIN_PER_CLASS = 800
 #: Scores that a worker remembers, twice.
 CACHE_UNITS = 200_000
-CHUNK = 4096
+CHUNK = 256
 _SPACED = re.compile(r"(?<!\S)\w(?:[\s._*\-]{1,3}\w(?!\w)){2,}")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_\d]+")
@@ -61,12 +62,6 @@ def _codes(units: list[str]) -> np.ndarray:
     return np.array(units, dtype=f"U{WIDTH}").view(np.uint32).reshape(len(units), WIDTH)
 
 
-def _letters(s: np.ndarray) -> np.ndarray:
-    """The characters of each row but for its bounds, as bits."""
-    inner = (s != 0) & (s != ord("^")) & (s != ord("$"))
-    return np.bitwise_or.reduce(np.where(inner, np.uint64(1) << (s % 61).astype(np.uint64), np.uint64(0)), axis=1)
-
-
 def _decays(n: int) -> np.ndarray:
     i = np.arange(n)
     return np.where(i[None, :] >= i[:, None], DECAY ** np.abs(i[None, :] - i[:, None]).astype(float), 0).astype(np.float32)
@@ -100,6 +95,38 @@ def self_kernel(s: np.ndarray) -> np.ndarray:
     return _dynamic(lambda a: ((s[:, a : a + 1] == s) & there).astype(np.float32), s.shape, s.shape[1])
 
 
+def surprise(k: int, n: int, share: float) -> float:
+    """Chernoff's bound on the chance of k of n or more, each of this share, as minus its logarithm."""
+    p = k / n
+    return n * ((p * math.log(p / share) if p else 0.0) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0.0))
+
+
+@cache
+def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The positions of all subsequences of ORDER characters of a string of n, and their weights."""
+    at = np.array(list(combinations(range(n), ORDER)), dtype=np.intp).reshape(-1, ORDER)
+    return at[:, 0], at[:, 1], at[:, 2], (DECAY ** (at[:, 2] - at[:, 0] + 1.0)).astype(np.float32)
+
+
+def diverse(units: list[str], most: int, base: list[str]) -> list[str]:
+    """Up to ``most`` of the units, each the one that ``base`` and those before it span least (a pivoted Cholesky factor)."""
+    every = base + units
+    s = _codes(every)
+    norm = np.sqrt(np.maximum(self_kernel(s), 1e-12))
+    rest, factor, out = np.where(norm > 1e-5, 1.0, 0.0), np.zeros((0, len(every))), []
+    for n in range(len(base) + most):
+        k = n if n < len(base) else len(base) + int(np.argmax(rest[len(base) :])) if units else -1
+        if k < 0 or n >= len(base) and rest[k] < ADDED:
+            break
+        column = kernel(s, np.array([ord(c) for c in every[k]], dtype=np.uint32)) / (norm * norm[k])
+        if rest[k] > 1e-6:
+            new = (column - factor[:, k] @ factor) / math.sqrt(rest[k])
+            factor, rest = np.vstack([factor, new]), np.maximum(rest - new**2, 0)
+        rest[k] = 0.0
+        out += [every[k]] if n >= len(base) else []
+    return out
+
+
 class Machine:
     """The fitted classifier: landmarks, weights of the Nyström features, and the calibration of a text's score."""
 
@@ -116,72 +143,136 @@ class Machine:
 
     @staticmethod
     def choose(bad: list[set], good: list[set]) -> tuple[list[str], list[str]]:
-        """Landmarks: words that tell toxic texts, and beginnings of which toxic texts have several words."""
+        """All words that tell toxic texts, and beginnings of which toxic texts have several words.
+
+        A word tells if chance would hardly give it to so many toxic texts and so few harmless
+        ones (Chernoff's bound, by the number of words tried). Texts that nothing explains are
+        tried again by themselves, as the fewer they are, the fewer of them prove a rare word.
+        """
 
         def whole(bag: set) -> set:
-            return {u for u in bag if u[0] == "^" and u[-1] == "$" and len(u) > 5}
+            return {u for u in bag if u[0] == "^" and len(u) > 3 and (u[-1] == "$" or len(u) == WIDTH) and any(c.isalpha() for c in u)}
 
         def begun(bag: set) -> set:
-            n = Counter(u[:k] for u in whole(bag) for k in range(4, STEM + 2) if len(u) > k + 1)
+            n = Counter(u[:k] for u in whole(bag) if len(u) > 5 and u[-1] == "$" for k in range(4, STEM + 2) if len(u) > k + 1)
             return {u for u, k in n.items() if k > 1}
 
-        scale = max(1, len(good)) / max(1, len(bad))
+        bad_w, scale = [whole(b) for b in bad], max(1, len(good)) / max(1, len(bad))
+        n_bad, n_good = Counter(u for b in bad_w for u in b), Counter(u for b in good for u in whole(b))
 
-        def clear(n_bad: Counter, n_good: Counter, times: float) -> set:
-            return {u for u, k in n_bad.items() if k >= max(3, 0.004 * len(bad)) and k * scale >= times * (n_good[u] + 0.5)}
+        def telling(left: list[int]) -> dict[str, float]:
+            share, n = len(left) / max(1, len(left) + len(good)), Counter(u for i in left for u in bad_w[i])
+            tried = {u: k for u, k in n.items() if k > 2}
+            pure = {u: surprise(k, k + n_good[u], share) for u, k in tried.items() if n_bad[u] * scale >= 20 * n_good[u]}
+            return {u: x for u, x in pure.items() if x > math.log(len(tried) + 1)}
 
-        bad_w, good_w = [whole(b) for b in bad], [whole(b) for b in good]
-        n_bad, n_good = Counter(u for b in bad_w for u in b), Counter(u for b in good_w for u in b)
-        words = sorted(clear(n_bad, n_good, 20), key=lambda u: (n_good[u] * 20 - n_bad[u], u))
-        words = words[:1] + [u for u in words[1:] if 4 * n_bad[u] >= n_bad[words[0]]]
-        left = [b for b, w in zip(map(begun, bad), bad_w, strict=True) if not w & set(words[:WORDS])]
+        words = set(telling(list(range(len(bad)))))
         s_bad, s_good = Counter(u for b in map(begun, bad) for u in b), Counter(u for b in map(begun, good) for u in b)
-        fit, stems = clear(s_bad, s_good, 6), []
-        while len(stems) < STEMS:
-            gain = Counter(u for b in left for u in b & fit)
+        fit = {u for u, k in s_bad.items() if k >= max(3, 0.004 * len(bad)) and k * scale >= 6 * (s_good[u] + 0.5)}
+        single = {u for u in words if not any(u[:k] in fit for k in range(4, STEM + 2))}
+        some, stems = [(i, begun(b)) for i, b in enumerate(bad) if not bad_w[i] & single], []
+        while True:
+            n, share = Counter(u for _, b in some for u in b), len(some) / max(1, len(some) + len(good))
+            enough = math.log(sum(k > 2 for k in n.values()) + 1)
+            gain = {u: n[u] for u in fit & n.keys() if surprise(n[u], n[u] + s_good[u], share) > enough}
             u = max(gain, key=lambda u: (gain[u] - 2 * s_good[u] / scale, len(u), u), default="")
             if not u or gain[u] < 3:
                 break
             stems.append(u)
-            left = [b for b in left if u not in b]
-        return [u for u in words if not any(u.startswith(m) for m in stems)][:WORDS], stems
+            some = [(i, b) for i, b in some if u not in b]
+        # Copies of one text are no further proof.
+        left = []
+        for i, _ in some:
+            if not bad_w[i] & words and all(2 * len(bad[i] & bad[j]) <= len(bad[i] | bad[j]) for j in left):
+                left.append(i)
+        while new := telling(left):
+            u = max(new, key=lambda u: (new[u], u))
+            words.add(u)
+            left = [i for i in left if u not in bad_w[i]]
+        return sorted(u for u in words if not any(u.startswith(m) for m in stems)), stems
+
+    def ids(self, s: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For strings of one length, what ``table`` has of each subsequence (a row each), and the subsequences' weights."""
+        i, j, k, weight = _triples(s.shape[1])
+        at = np.searchsorted(self.alphabet, s.T)
+        at = np.where(self.alphabet[np.minimum(at, len(self.alphabet) - 1)] == s.T, at + 1, 0)
+        n, m = len(self.alphabet) + 1, s.shape[1]
+        heads = self.pairs.take(at[:, None] * n + at[None, :]).reshape(m * m, -1) * n
+        return table.take(heads[i * m + j] + at[k]), weight
 
-    def features(self, units: list[str]) -> np.ndarray:
-        """Nyström features of units: normalised kernels with the landmarks, whitened."""
+    @staticmethod
+    def by_length(units: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, codes, norms) of the units of each length that has subsequences."""
         s = _codes(units)
-        near = np.bitwise_count(_letters(s)[:, None] & self.letters[None, :]) >= self.needed[None, :]
-        out, some = np.zeros(near.shape, np.float32), np.flatnonzero(near.any(1))
-        if len(some):
-            norm = np.ones(len(s), np.float32)
-            norm[some] = np.sqrt(np.maximum(self_kernel(s[some]), 1e-12))
-            for k, t in enumerate(self.marks):
-                at = np.flatnonzero(near[:, k])
-                if len(at):
-                    out[at, k] = kernel(s[at], t) / (norm[at] * self.norms[k])
+        lengths, out = (s != 0).sum(1), []
+        for n in range(ORDER, WIDTH + 1):
+            at = np.flatnonzero(lengths == n)
+            for part in np.split(at, range(CHUNK, len(at), CHUNK)):
+                if len(part):
+                    own = s[part, :n]
+                    out.append((part, own, np.sqrt(np.maximum(self_kernel(own), 1e-12))))
+        return out
+
+    def index(self, marks: list[str]) -> None:
+        """Number the landmarks' subsequences; their weights in each landmark make a table, the kernel's own features."""
+        self.alphabet = np.unique(np.array([ord(c) for m in marks for c in m], dtype=np.uint32))
+        n, code = len(self.alphabet) + 1, {chr(c): i + 1 for i, c in enumerate(self.alphabet)}
+        found = [Counter() for _ in marks]
+        for m, own in zip(marks, found, strict=True):
+            for a, b, c, w in zip(*_triples(len(m)), strict=True):
+                own[code[m[a]], code[m[b]], code[m[c]]] += float(w)
+        number = {t: i + 1 for i, t in enumerate(sorted(set().union(*found)))}
+        heads = {h: i + 1 for i, h in enumerate(sorted({t[:2] for t in number}))}
+        self.pairs, self.thirds = np.zeros(n * n, dtype=np.int32), np.zeros((len(heads) + 1) * n, dtype=np.int32)
+        for (a, b), i in heads.items():
+            self.pairs[a * n + b] = i
+        for (a, b, c), i in number.items():
+            self.thirds[heads[a, b] * n + c] = i
+        self.parts = np.zeros((len(number) + 1, len(marks)), dtype=np.float32)
+        for k, own in enumerate(found):
+            norm = math.sqrt(sum(w * w for w in own.values()))
+            for t, w in own.items():
+                self.parts[number[t], k] = w / norm
+
+    def features(self, units: list[str]) -> np.ndarray:
+        """Nyström features of units: normalised kernels with all landmarks, whitened."""
+        out = np.zeros((len(units), self.parts.shape[1]), np.float32)
+        for rows, s, norm in self.by_length(units):
+            which, weight = self.ids(s, self.thirds)
+            for t, w in enumerate(weight):
+                out[rows] += w * self.parts[which[t]]
+            out[rows] /= norm[:, None]
         return out @ self.whiten
 
     def fit(self, words: list[str], stems: list[str], bad: list[set], good: list[set]) -> None:
         rng = random.Random(7)
-        marks = words + stems
-        self.marks = [np.array([ord(c) for c in m], dtype=np.uint32) for m in marks]
-        self.letters = np.concatenate([_letters(t[None, :]) for t in self.marks])
-        self.needed = np.ceil(SHARED * np.bitwise_count(self.letters)).astype(np.uint8)
-        self.norms = np.sqrt(np.array([float(kernel(t[None, :], t)[0]) for t in self.marks], dtype=np.float32))
-        gram = np.array([[float(kernel(s[None, :], t)[0]) for t in self.marks] for s in self.marks]) / np.outer(self.norms, self.norms)
-        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-        self.whiten = (vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T).astype(np.float32)
 
         def begins(u: str) -> bool:
             return any(u.startswith(m) for m in stems)
 
-        clean = sorted({u for b in good for u in b if not begins(u) and u not in words})
+        known = set(words)
+        clean = sorted({u for b in good for u in b if not begins(u) and u not in known and len(u) >= ORDER})
         rng.shuffle(clean)
-        x_all = np.concatenate([self.features(clean[i : i + CHUNK]) for i in range(0, min(len(clean), 40_000), CHUNK)] or [np.zeros((0, len(marks)))])
+        marks = diverse(words + stems, LANDMARKS // 2, [])
+        marks += diverse(clean[:POOL], LANDMARKS - len(marks), marks)
+        self.index(marks)
+        self.whiten = np.eye(len(marks), dtype=np.float32)
+        values, vectors = np.linalg.eigh(self.features(marks).astype(float))
+        self.whiten = (vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T).astype(np.float32)
         some = sorted({u for b in bad for u in b if begins(u)})
-        noisy = [v for m in words for v in self.gapped(m, rng)]
-        self.w = np.stack([self.svm([u[:WIDTH] for u in words + noisy], x_all), self.svm(some, x_all)], axis=1).astype(np.float32)
+        noisy = [v for m in words if m[-1] == "$" for v in self.gapped(m, rng)]
+        machines = [self.svm([u[:WIDTH] for u in words + noisy], clean), self.svm(some, clean)]
+        self.fuse(np.stack(machines, axis=1))
+        del self.parts
         self.calibrate([[self.summary(self.units_scores(sorted(b))) for b in bags] for bags in (bad, good)])
 
+    def fuse(self, w: np.ndarray) -> None:
+        """The machines' weights (a column each, biases last) as weights of subsequences, so that landmarks cost a score nothing."""
+        per = (self.parts @ (self.whiten @ w[:-1])).astype(np.float32)
+        # Two columns are one complex number, so that a subsequence is looked up once.
+        both = per[:, 0] + 1j * per[:, -1]
+        self.own, self.bias = both.astype(np.complex64)[self.thirds], w[-1].astype(np.float32)
+
     @staticmethod
     def summary(scores: np.ndarray) -> list[float]:
         """What decides on a text: the highest scores of both machines, how many words and stems are sure, and the stems' share."""
@@ -217,18 +308,18 @@ class Machine:
         out += ["^" + c.join(word) + "$" for c in ".-*" if 2 * len(word) + 1 <= WIDTH]
         return out
 
-    def svm(self, units: list[str], x_all: np.ndarray) -> np.ndarray:
+    def svm(self, units: list[str], clean: list[str]) -> np.ndarray:
         """A linear machine on the features, its bias last: squared hinge loss, both classes of equal weight, by Newton steps."""
-        w = np.zeros(x_all.shape[1] + 1)
+        w = np.zeros(self.parts.shape[1] + 1)
         w[-1] = -1
         if not units:
             return w
-        x_pos, x_neg = self.features(units), x_all[:4000]
-        for _ in range(3):
-            x = np.concatenate([x_pos, x_neg]).astype(float)
+        x_pos, x_neg, mined = self.features(units), self.features(clean[:4000]), np.zeros((0, self.parts.shape[1]), np.float32)
+        for _ in range(4):
+            x = np.concatenate([x_pos, x_neg, mined]).astype(float)
             x = np.hstack([x, np.ones((len(x), 1))])
-            y = np.concatenate([np.ones(len(x_pos)), -np.ones(len(x_neg))])
-            c = np.where(y > 0, 1 / len(x_pos), 3 / max(1, len(x_neg)))
+            y = np.concatenate([np.ones(len(x_pos)), -np.ones(len(x_neg) + len(mined))])
+            c = np.concatenate([np.full(len(k), v / max(1, len(k))) for k, v in ((x_pos, 1), (x_neg, 3), (mined, 6))])
             reg = np.append(np.full(x.shape[1] - 1, 1e-3), 1e-6)
             for _ in range(30):
                 on = y * (x @ w) < 1
@@ -237,13 +328,20 @@ class Machine:
                 done, w = np.allclose(new, w, atol=1e-9), new
                 if done:
                     break
-            # The units of harmless texts that come nearest count from now on, too.
-            x_neg = np.concatenate([x_neg, x_all[np.argsort(-(x_all @ w[:-1]))[:500]]])
+            # The units of harmless texts that come nearest count from now on, too, and most.
+            self.fuse(w[:, None])
+            near = np.argsort(-self.units_scores(clean[:40_000])[:, 0], kind="stable")[:200]
+            mined = np.concatenate([mined, self.features([clean[i] for i in near])])
         return w
 
     def units_scores(self, units: list[str]) -> np.ndarray:
         """A row for each unit, a column for each machine."""
-        return np.concatenate([self.features(units[i : i + CHUNK]) @ self.w[:-1] + self.w[-1] for i in range(0, len(units), CHUNK)] or [np.zeros((0, 2))])
+        out = np.zeros((len(units), len(self.bias)), np.float32)
+        for rows, s, norm in self.by_length(units) if units else []:
+            own, weight = self.ids(s, self.own)
+            sums = weight.astype(np.complex64) @ own / norm
+            out[rows] = np.stack([sums.real, sums.imag], axis=1)[:, : out.shape[1]]
+        return out + self.bias
 
     def learn_tokens(self, new: Iterable[str]) -> None:
         """Put the scores of tokens into the cache: the highest of their units."""
