@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import re
 import sys
+import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,11 +22,11 @@ SLICE_ROWS = 512
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set."""
+    """The folder that the driver and all executors share; a temporary one only where none is set and all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lakeknit-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -131,7 +133,7 @@ def fit_sample(docs: DataFrame, label: str, learn: Column, id_col: str, text_col
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of ``edges`` (a, b): component is the smallest node reachable.
+    """(node, component), staged, for the nodes of ``edges`` (a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star rounds; each keeps one edge for a node and
     neighbour, so no group is ever gathered, and a hot centre is only one side of an equi-join.
@@ -145,10 +147,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         after = staged(small, "edges")
+        discard(current)
+        current = after
         # Settled when the edges form stars: every node has one centre, and no centre has one.
         many = after.groupBy("u").count().filter("count > 1").limit(1)
         chain = after.join(after.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").limit(1)
         if many.union(chain.select("u", F.lit(1).cast("long"))).isEmpty():
             break
-        current = after
-    return after.select(F.col("u").alias("node"), F.col("v").alias("component")).union(after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = staged(after.select(F.col("u").alias("node"), F.col("v").alias("component")).union(after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    discard(after)
+    return out

@@ -1,11 +1,16 @@
-"""Near-duplicates of a given similarity: long SimHashes, binary tries joined block by block, exact sets compared.
+"""Near-duplicates of a given similarity: long SimHashes, binary tries joined block by block, sets of shingles compared.
 
 The four-bit links of ``simhash`` find copies that differ in a few words. Documents whose
 five-word shingles have a Jaccard similarity of 0.8 differ in 15 % of their bits; to find them,
-576 bits are cut into 24 blocks, each a trie whose node pairs are traversed together within an
-error budget of one bit. What passes is held against the whole budget, then against the sets
-themselves, so every link is exact; a pair of similarity 0.8 is found with a probability of
-0.93, one of 0.85 with 0.98, and groups of copies nearly always.
+768 bits are cut into 32 blocks, each a trie whose node pairs are traversed together within an
+error budget of one bit. What passes is held against the whole budget, then against the sets.
+A lone pair of long texts is found so with a probability of 0.96 at a similarity of 0.8, and
+0.99 at 0.85.
+
+Two kinds of documents are compared by their sets alone, with no loss: those of few shingles,
+whose bits say little, and those near a crowded node, whose pairs would be too many. Their sets meet
+in a join on the rarest shingles; the texts of a group first meet its most central one only.
+Shingles are 32-bit hashes and texts are told apart by 64-bit ones.
 """
 
 from __future__ import annotations
@@ -23,15 +28,14 @@ from .common import connected_components, discard, map_documents, staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
-PRINTS = 9
+PRINTS = 12
 #: Blocks of the fingerprint's bits, and how many bits of one block may differ.
-BLOCKS, BITS, SHARE = 24, 24, 1
+BLOCKS, BITS, SHARE = 32, 24, 1
 #: Bits of all that may differ: 2.5 standard deviations over those of the similarity itself.
-BUDGET = 108
-#: Nodes with more than twice as many leaves first compare each leaf with so many pivots only.
-PIVOTS = 8
-#: Pivot comparisons repeat with other pivots before what is still apart is listed.
-ROUNDS = 2
+BUDGET = 141
+#: A node with more leaves is crowded; sets of at most FEW shingles are always compared exactly.
+CROWD = 16
+FEW = 48
 _MIX = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 for i in range(1, PRINTS + 1)], dtype=np.uint64)
 
 
@@ -60,29 +64,41 @@ def long_print(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)
 
 
-def _blocks(words: np.ndarray) -> list[int]:
-    bits = np.unpackbits(words.view(np.uint8), bitorder="little")[: BLOCKS * BITS].reshape(BLOCKS, BITS)
-    return (bits.astype(np.int64) @ (1 << np.arange(BITS, dtype=np.int64))).tolist()
-
-
 def signatures(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, fp, blocks, parts) of every whole text; equal word sequences, and those alone, have equal keys."""
+    """(doc_id, key, fp, parts) of every whole text: a hash of its words in lower case, its fingerprint (none for few shingles), its shingles."""
 
     def make() -> Callable[[list], list[tuple]]:
         def one(text: bytes | None) -> tuple:
             data = text or b""
             found = shingles(data, size)
-            words = long_print(found)
             key = xxhash.xxh64_intdigest(b" ".join(data.lower().split()), 7)
-            return key - (key >> 63 << 64), words.tolist(), _blocks(words) if len(found) else [], np.unique(found.astype(np.uint32)).view(np.int32).tolist()
+            parts = np.unique(found.astype(np.uint32)).view(np.int32).tolist()
+            return key - (key >> 63 << 64), long_print(found).tolist() if len(parts) > FEW else None, parts
 
         return lambda texts: [one(t) for t in texts]
 
-    return map_documents(docs, make, "key long, fp array<long>, blocks array<int>, parts array<int>", id_col, text_col)
+    return map_documents(docs, make, "key long, fp array<long>, parts array<int>", id_col, text_col)
+
+
+def block(i: int) -> Column:
+    """The bits of block ``i`` of a fingerprint."""
+    word, off = divmod(i * BITS, 64)
+    low = F.call_function("shiftrightunsigned", F.col("fp")[word], F.lit(off))
+    whole = low if off + BITS <= 64 else low.bitwiseOR(F.shiftleft(F.col("fp")[word + 1], 64 - off))
+    return whole.bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).cast("int")
+
+
+def leaves_of(classes: DataFrame) -> DataFrame:
+    """(key, rot, v): a leaf of each trie for every fingerprint."""
+    return classes.filter("fp IS NOT NULL").select("key", F.posexplode(F.array(*map(block, range(BLOCKS)))).alias("rot", "v"))
 
 
 def node_pairs(leaves: DataFrame) -> DataFrame:
-    """(rot, a, b), a <= b: the ends of each trie with at most ``SHARE`` differing bits, found by traversing pairs of nodes; an end pairs with itself where several leaves share it."""
+    """(rot, a, b, na, nb), a <= b: the ends of each trie with at most ``SHARE`` differing bits and how many leaves they have.
+
+    Pairs of nodes are traversed together, and pruned where the budget is exceeded; an end
+    pairs with itself where several leaves share it.
+    """
     depths = [10, 16, BITS]
 
     def prefix(depth: int) -> Column:
@@ -93,91 +109,139 @@ def node_pairs(leaves: DataFrame) -> DataFrame:
     pairs = root.select("rot", "a", F.explode(masks).alias("m")).select("rot", "a", F.col("a").bitwiseXOR(F.col("m")).alias("b")).filter("a <= b")
     pairs = pairs.join(root.select("rot", F.col("a").alias("b")), ["rot", "b"], "left_semi")
     for depth, below in zip(depths, depths[1:], strict=False):
-        nodes = leaves.groupBy("rot", prefix(depth).alias("up"), prefix(below).alias("v")).agg(F.count("*").alias("n"))
-        own = "n > 1" if below == BITS else "TRUE"
-        low, high = nodes.select("rot", F.col("up").alias("a"), F.col("v").alias("va"), "n"), nodes.select("rot", F.col("up").alias("b"), F.col("v").alias("vb"))
+        nodes = leaves.groupBy("rot", prefix(depth).alias("up"), prefix(below).alias("v")).agg(F.count("*").cast("int").alias("n"))
+        own = "na > 1" if below == BITS else "TRUE"
+        low = nodes.select("rot", F.col("up").alias("a"), F.col("v").alias("va"), F.col("n").alias("na"))
+        high = nodes.select("rot", F.col("up").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"))
         near = F.expr(f"(va < vb OR va = vb AND {own}) AND bit_count(va ^ vb) <= {SHARE}")
         found = pairs.join(low, ["rot", "a"]).alias("p").join(high.alias("h"), (F.col("p.rot") == F.col("h.rot")) & (F.col("p.b") == F.col("h.b")) & near)
-        pairs = found.select("p.rot", F.col("va").alias("a"), F.col("vb").alias("b"))
+        pairs = found.select("p.rot", F.col("va").alias("a"), F.col("vb").alias("b"), *(["na", "nb"] if below == BITS else []))
     return pairs
 
 
-def _within(a: str, b: str) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(PRINTS)])
-
-
 def close_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, diff): the pairs whose whole fingerprints are within the budget."""
+    """(a, b): the pairs whose whole fingerprints are within the budget."""
     one = pairs.join(classes.select(F.col("key").alias("a"), F.col("fp").alias("fa")), "a")
     two = one.join(classes.select(F.col("key").alias("b"), F.col("fp").alias("fb")), "b")
-    return two.select("a", "b", _within("fa", "fb").alias("diff")).filter(F.col("diff") <= BUDGET)
+    diff = reduce(lambda x, y: x + y, [F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i])) for i in range(PRINTS)])
+    return two.filter(diff <= BUDGET).select("a", "b")
 
 
-def verified(pairs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): the pairs whose sets of shingles have that similarity or more."""
-    pairs = staged(pairs.select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = staged(prints.select("key", "parts").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sets")
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("parts").alias("pa")), "a").join(sets.select(F.col("key").alias("b"), F.col("parts").alias("pb")), "b")
     meet = F.size(F.array_intersect("pa", "pb"))
-    return both.filter(meet >= similarity * (F.size("pa") + F.size("pb") - meet)).select("a", "b")
+    return both.filter(meet >= similarity * (F.size("pa") + F.size("pb") - meet) - 1e-9).select("a", "b")
+
 
+def loose_pairs(near: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(a, b): leaves of paired nodes that aren't crowded, so at most CROWD of each, but for those that ``exact`` compares anyway."""
+    low = leaves.select("rot", F.col("v").alias("a"), F.col("key").alias("ka"), F.col("exact").alias("ea"))
+    high = leaves.select(F.col("rot").alias("r2"), F.col("v").alias("b2"), F.col("key").alias("kb"), F.col("exact").alias("eb"))
+    some = near.filter(f"na <= {CROWD} AND nb <= {CROWD}").join(low, ["rot", "a"])
+    wide = some.join(high, F.expr("rot = r2 AND b = b2 AND (a < b OR ka < kb) AND NOT (ea AND eb)"))
+    return wide.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
 
-def crowded_leaves(leaves: DataFrame) -> DataFrame:
-    """The leaves of nodes that have more than twice as many as a node has pivots."""
-    nodes = leaves.groupBy("rot", "v").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * PIVOTS).select("rot", "v")
-    return leaves.join(nodes, ["rot", "v"], "left_semi")
 
+def rare_parts(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, n, token, pos): the rarest shingles of each set, of which similar sets share one.
+
+    Two sets of that similarity have common shingles among the first n - similarity * n + 1
+    of each in any one order; here, by their number in ``sets``. Those that only one set has
+    come first and are left out, as they meet nothing.
+    """
+    words = sets.select("key", F.size("parts").alias("n"), F.explode("parts").alias("token"))
+    counts = words.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+    ordered = words.join(counts, "token").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("x"))
+    own = F.col("n") - F.size("x")
+    most = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1 - own)
+    first = ordered.select("key", "n", own.alias("own"), F.posexplode(F.slice("x", F.lit(1), most)).alias("i", "x"))
+    return first.select("key", "n", F.col("x.token").alias("token"), (F.col("own") + F.col("i")).alias("pos"))
 
-def pivot_pairs(leaves: DataFrame, classes: DataFrame, salt: int) -> DataFrame:
-    """For each leaf of a crowded node, the closest three of its nodes' pivots that it isn't linked to yet."""
-    picks = [F.min(F.struct(F.xxhash64("key", F.lit(salt * PIVOTS + i)).alias("h"), F.col("key").alias("k"), F.col("comp").alias("c"))).alias(f"p{i}") for i in range(PIVOTS)]
-    pivots = leaves.groupBy("rot", "v").agg(*picks).select("rot", "v", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).select("rot", "v", F.col("p.k").alias("b"), F.col("p.c").alias("cb")).distinct()
-    pairs = leaves.join(pivots, ["rot", "v"]).filter("comp <> cb").select(F.col("key").alias("a"), "b").distinct()
-    best = [F.min(F.when(F.pmod(F.xxhash64("b"), F.lit(3)) == i, F.struct("diff", "b"))).alias(f"m{i}") for i in range(3)]
-    closest = close_pairs(pairs, classes).groupBy("a").agg(*best).select("a", F.explode(F.array("m0", "m1", "m2")).alias("m")).filter("m IS NOT NULL")
-    return closest.select("a", F.col("m.b").alias("b"))
 
+def _fits(similarity: float) -> Column:
+    """Whether a common shingle at these places leaves room for enough common ones."""
+    need = (F.col("n") + F.col("n2")) * (similarity / (1 + similarity)) - 1e-9
+    return F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need
 
-def links(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): links between keys that join all similar texts found, though not each pair of a group.
 
-    Groups that fill a node are linked through pivots first, and only (node, component)
-    pairs of different components are expanded to leaves, so a dense group never lists its pairs.
+def exact_links(sets: DataFrame, similarity: float) -> list[DataFrame]:
+    """Tables of links (a, b) that join all pairs of ``sets`` (key, parts) of that similarity, though not each pair of a group.
+
+    First each set meets, for each of its rare shingles, the one set whose other shingles are the least
+    rare. Then those outside a shingle's largest component meet the others that have it, so a
+    group never lists its pairs, however large it is.
     """
-    classes = staged(prints.groupBy("key").agg(*[F.min(F.get("fp", F.lit(i))).alias(f"f{i}") for i in range(PRINTS)], *[F.min(F.get("blocks", F.lit(i))).alias(f"b{i}") for i in range(BLOCKS)]).select("key", F.array(*[f"f{i}" for i in range(PRINTS)]).alias("fp"), F.array(*[f"b{i}" for i in range(BLOCKS)]).alias("blocks")).filter("blocks[0] IS NOT NULL"), "classes")
-    bare = staged(classes.select("key", F.posexplode("blocks").alias("rot", "v")), "leaves")
-    found = None
-    crowded = staged(crowded_leaves(bare), "crowded")
-    tagged = crowded.withColumn("comp", F.col("key"))
-    leaves = bare.withColumn("comp", F.col("key"))
-    for salt in range(0 if crowded.isEmpty() else ROUNDS):
-        new = staged(verified(pivot_pairs(tagged, classes, salt), prints, similarity), "links")
-        found = new if found is None else found.union(new)
-        comps = staged(connected_components(found), "comps").withColumnRenamed("node", "key")
-        tagged = crowded.join(comps, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
-    if found is not None:
-        leaves = staged(bare.join(comps, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component"), "leaves")
-        discard(bare)
+    prefix = staged(rare_parts(sets, similarity), "prefix")
+    best = prefix.groupBy("token").agg(F.min(F.struct("pos", "key", "n")).alias("x"), F.count("*").alias("c")).filter("c > 1")
+    centre = best.select("token", F.col("x.key").alias("key2"), F.col("x.n").alias("n2"), F.col("x.pos").alias("pos2"))
+    star = prefix.join(centre, "token").filter((F.col("key") != F.col("key2")) & _fits(similarity))
+    stars = staged(verified(_ordered(star), sets, similarity), "links")
+    comps = connected_components(stars)
+    tagged = staged(prefix.join(comps.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component"), "tagged")
+    discard(comps)
+    discard(prefix)
+    each = tagged.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    main = each.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("x"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("x.comp").alias("main"))
+    kept = staged(tagged.join(main, "token"), "apart")
+    discard(tagged)
+    other = kept.select("token", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), (F.col("comp") == F.col("main")).alias("ismain"))
+    apart = kept.filter("comp <> main").alias("x").join(other.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("comp") != F.col("comp2")) & (F.col("ismain") | (F.col("key") < F.col("key2"))) & _fits(similarity))
+    rest = staged(verified(_ordered(apart), sets, similarity), "links")
+    discard(kept)
+    return [stars, rest]
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+
+
+def links(prints: DataFrame, similarity: float = SIMILARITY) -> list[DataFrame]:
+    """Tables of links (a, b) between keys that join all similar texts found; ``prints`` is staged and discarded."""
+    # Columns of one word each have cheap minima; all rows of a key have the same.
+    lows = prints.groupBy("key").agg(F.min(F.size("parts")).alias("n"), *[F.min(F.get("fp", F.lit(i))).alias(f"f{i}") for i in range(PRINTS)])
+    classes = staged(lows.select("key", "n", F.when(F.col("f0").isNotNull(), F.array(*[f"f{i}" for i in range(PRINTS)])).alias("fp")), "classes")
+    leaves = leaves_of(classes)
     near = staged(node_pairs(leaves), "near")
-    groups = leaves.select("rot", "v", "comp").distinct()
-    low, high = groups.select("rot", F.col("v").alias("a"), F.col("comp").alias("ca")), groups.select(F.col("rot").alias("r2"), F.col("v").alias("b2"), F.col("comp").alias("cb"))
-    apart = near.join(low, ["rot", "a"]).join(high, F.expr("rot = r2 AND b = b2 AND ((a < b AND ca <> cb) OR (a = b AND ca < cb))")).select("rot", "a", "ca", "b", "cb")
-    wide = apart.join(leaves.select("rot", F.col("v").alias("a"), F.col("comp").alias("ca"), F.col("key").alias("ka")), ["rot", "a", "ca"]).select("rot", "b", "cb", "ka")
-    wide = wide.join(leaves.select("rot", F.col("v").alias("b"), F.col("comp").alias("cb"), F.col("key").alias("kb")), ["rot", "b", "cb"])
-    pairs = wide.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
-    rest = verified(close_pairs(pairs, classes), prints, similarity)
-    return rest if found is None else rest.union(found)
+    full = near.filter(f"na > {CROWD} OR nb > {CROWD}")
+    zone = full.select("rot", F.col("a").alias("v")).union(full.select("rot", F.col("b").alias("v"))).distinct()
+    small = classes.filter((F.col("n") > 0) & (F.col("n") <= FEW / similarity)).select("key")
+    exact = staged(leaves.join(zone, ["rot", "v"], "left_semi").select("key").union(small).distinct(), "exact")
+    known = exact.select("key", F.lit(True).alias("known"))
+    tagged = staged(leaves.join(known, "key", "left").select("key", "rot", "v", F.coalesce("known", F.lit(False)).alias("exact")), "tagged")
+    pairs = staged(loose_pairs(near, tagged), "pairs")
+    discard(near)
+    discard(tagged)
+    close = staged(close_pairs(pairs, classes), "close")
+    discard(pairs)
+    discard(classes)
+    wanted = close.select(F.col("a").alias("key")).union(close.select(F.col("b").alias("key"))).union(exact).distinct()
+    sets = staged(prints.select("key", "parts").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    discard(prints)
+    found = [staged(verified(close, sets, similarity), "links")]
+    discard(close)
+    few = staged(sets.join(exact, "key", "left_semi"), "sets")
+    discard(sets)
+    discard(exact)
+    found += exact_links(few, similarity)
+    discard(few)
+    return found
 
 
 def components(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, key, component_id) of each row of ``prints``: the smallest id that links reach; null ids count only where there is no other."""
-    roots = connected_components(links(prints, similarity))
-    lows = prints.groupBy("key").agg(F.min("doc_id").alias("low"))
+    """(doc_id, key, component_id) of each row of staged ``prints``: the smallest id that links reach; null ids count only where there is no other."""
+    names = staged(prints.select("doc_id", "key"), "names")
+    found = links(prints, similarity)
+    roots = connected_components(reduce(DataFrame.union, found))
+    for x in found:
+        discard(x)
+    lows = names.groupBy("key").agg(F.min("doc_id").alias("low"))
     named = staged(lows.join(roots, F.col("key") == F.col("node"), "left").select("key", "low", F.coalesce("component", "key").alias("root")), "roots")
+    discard(roots)
     best = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of = staged(named.join(best, "root").select("key", "component_id"), "of")
-    return prints.select("doc_id", "key").join(of, "key").select("doc_id", "key", "component_id")
+    discard(named)
+    return names.join(of, "key").select("doc_id", "key", "component_id")
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
