@@ -17,7 +17,9 @@ ORACLE_SQL = None
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose neighbours vote for them; learned from labelled rows of the documents given.
 
-    Labels of every row may be used here: nothing is held out. Without labels all stay.
+    Labels of every row may be used here: nothing is held out. Without labels all stay. Null
+    and empty texts are scored like any other; repeated rows and null ids are judged alike and stay
+    or go together. Extra columns are dropped.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, F.lit(True))
@@ -25,25 +27,27 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents, the one of the smallest id; of rows that repeat its id, one.
+    """Of each group of similar documents, the one of the smallest id; of rows that repeat its id and text, the smallest.
 
-    Similar: five-word shingles with a similarity of 0.8 or more.
-    Documents without an id stay unless they are linked to one that has an id.
+    Similar: five-word shingles with a similarity of 0.8 or more. Rows of equal ids and
+    different texts are different documents. A group keeps a document without an id only if
+    none has one, the one whose text has the smallest hash. Extra columns are dropped.
     """
-    found = common.staged(similar.similar_documents(docs), "similar")
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    bare = docs.filter("doc_id IS NULL")
-    if bare.isEmpty():
-        return named
-    alone = similar.signatures(bare.withColumn("doc_id", F.col("text"))).select(F.col("doc_id").alias("t"), "key")
-    free = found.filter("doc_id IS NULL AND component_id IS NULL").select("key").distinct()
-    texts = alone.join(free, "key", "left_semi").select("t").distinct()
-    return named.union(bare.join(texts, F.col("text").eqNullSafe(F.col("t")), "left_semi").select(*COLUMNS))
+    marked = docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th")).alias("row"))
+    found = common.staged(similar.similar_documents(marked, id_col="row"), "similar")
+    keep = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id.id").alias("kid"), F.col("doc_id.th").alias("kth"), "n")
+    kept = marked.join(keep, F.expr("row.th = kth AND row.id <=> kid"))
+    single, several = kept.filter("n = 1"), kept.filter("n > 1")
+    first = several.groupBy("kid", "kth").agg(F.min(F.struct(*COLUMNS)).alias("x")).select("x.*")
+    return single.select(*COLUMNS).union(first)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold enough words of benchmark items; judged for each row."""
+    """Documents that don't hold enough words of benchmark items; judged for each row.
+
+    Null and empty texts hold none and stay, as do all where the benchmark is empty; repeated rows and
+    null ids are judged alike. Extra columns are dropped.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     marked = docs.withColumn("__th", F.xxhash64("text"))
     found = decontaminate.decontaminate(marked, items, carry=("__th",))
@@ -52,14 +56,20 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their personal data replaced by its kind; n_chars follows the new text."""
+    """All documents, their personal data replaced by its kind; n_chars follows the new text.
+
+    A null text stays null, with a null n_chars. Repeated rows and null ids stay. Extra columns are dropped.
+    """
     found = pii.find(docs, pii.fit(spark), carry=("lang", "source"))
     out = found.select("doc_id", pii.redacted(F.col("text"), F.col("spans")).alias("text"), "lang", "source")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document; see the operator's query."""
+    """Token counts and digests of every document; see the operator's query.
+
+    Null texts count as empty: no tokens. Repeated rows and null ids stay, each a row.
+    """
     import public_tokenizers
 
     return bpe.round_trips(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
