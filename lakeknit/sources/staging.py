@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the folder of ``spark.checkpoint.dir`` and read it again; a temporary folder only where none is set."""
+    """Write a table to the folder of ``spark.checkpoint.dir`` and read it again; a temporary folder only where none is set and all run in one process."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lakeknit-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/lakeknit-{label}-{uuid.uuid4().hex}"
