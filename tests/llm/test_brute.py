@@ -191,15 +191,59 @@ def test_pii_base_forms(spark):
             assert r.red == texts[r.doc_id]
 
 
-def test_pii_trees_on_new_examples(spark):
-    trees = pii.fit(spark)
-    made = pii.examples(40, seed=77)
-    rows = spark.createDataFrame([(i, b + c + ('"' if b.endswith('"') else " ")) for i, (_, b, c, _) in enumerate(made)], "doc_id long, text string")
-    got = {r.doc_id: r.s for r in pii.find(rows, trees).select("doc_id", pii.written(F.col("spans")).alias("s")).collect()}
-    hit = [bool(got[i]) for i in range(len(made))]
-    positive = [h for h, (*_, y) in zip(hit, made, strict=True) if y]
-    negative = [h for h, (k, *_, y) in zip(hit, made, strict=True) if not y and k == "secret"]
-    assert np.mean(positive) > 0.8 and np.mean(negative) < 0.2
+def test_pii_on_sentences_of_its_own(spark):
+    """None of these come from the operator's made-up examples."""
+    bad = ["write to jane.doe [at] mail [dot] org now", "my host is fe80:1234:5678:9abc:def0:1234:5678:9abc here", "server 2001:db8::8a2e up", "call (415) 555-1212 today", 'secret = "9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c"', "uses sk_live_" + "aB3dE6gH" * 12, "api_key: " + "Zz09" * 30]
+    good = ["it began at 12:30:45 today", "chapter 10.12 and table 3.4", "commit 9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c fixed it", "pneumonoultramicroscopicsilicovolcanoconiosis", "-" * 70, "see section-two-of-the-third-volume-of-the-work", "the years 1999 2000 2001 and 2002"]
+    got = {r.doc_id: r.s for r in pii.find(spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string"), pii.fit(spark)).select("doc_id", pii.written(F.col("spans")).alias("s")).collect()}
+    assert [t for i, t in enumerate(bad) if not got[i]] == []
+    assert [t for i, t in enumerate(good) if got[len(bad) + i]] == []
+
+
+def features_by_force(kind, v, before, after):
+    digits = re.sub("[^0-9]", "", v)
+    near = lambda p, s: float(bool(re.search(p, s)))
+    cue = r"(?i)(mail|e-mail|write|contact|call|phone|tel|fax|mobile|card|visa|account|pay|server|host|token|key|secret|passw|bearer)"
+    harmless = r"(?i)(commit|sha|digest|checksum|version|isbn|order|invoice|page|table|figure|time)"
+    return [
+        float(pii.KINDS.index(kind)), float(len(v)), float(len(digits)), float(len(re.findall("[A-Za-z]", v))), float(len(re.findall("[A-Z]", v))), float(len(re.split("[^0-9A-Za-z]+", v))), float(bool(digits) and luhn(digits)),
+        near(cue, before), near(harmless, before), float(bool(re.search("[\"'`]$", before) and re.search("^[\"'`]", after))), near(r"[=:]\s*[\"'`]?$", before), float(before[-1:].isalpha()), float(len(re.findall("[0-9][A-Za-z]|[A-Za-z][0-9]", v))), near(pii.PREFIXES, v),
+    ]
+
+
+def test_pii_added_spans_against_brute_force(spark):
+    trees, rng = pii.fit(spark), random.Random(21)
+    bits = [x for one in pii.examples(6, seed=5) for x in one]
+    texts = ["; ".join("".join(rng.choice(bits)[1:3]) for _ in range(rng.randint(1, 9))) + rng.choice(["", " 4111 1111 1111 1111 ", " (415) 555-1212 555-1212 4444 ", " 1.2.3.4"]) for _ in range(150)]
+    got = {r.doc_id: r.s for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), trees).select("doc_id", pii.written(F.col("spans")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base_by_force(t).split(",") if x)]
+        found = []
+        for kind, form in pii.MORE:
+            last_value, at = "", 0
+            ms = list(re.finditer(form, t))
+            for n, m in enumerate(ms):
+                before = (last_value + t[at : m.start()])[-pii.CONTEXT :]
+                upto = ms[n + 1].end() if n + 1 < len(ms) else len(t)
+                last_value, at = m.group(), m.end()
+                if all(m.start() >= b or m.end() <= a for _, a, b in base):
+                    score = trees.score(features_by_force(kind, m.group(), before, t[m.end() : upto][:2]))
+                    if score >= trees.thresholds[pii.KINDS.index(kind)]:
+                        found.append((-score, m.start(), m.end(), kind))
+        kept = []
+        for _, a, b, kind in sorted(found, key=lambda x: (*x[:3], pii.KINDS.index(x[3]))):
+            if all(b <= c or a >= d for _, c, d in kept):
+                kept.append((kind, a, b))
+        want = sorted(base + kept, key=lambda x: (pii.KINDS.index(x[0]), *x[1:]))
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+
+
+def test_pii_many_matches(spark):
+    texts = ["word 12.34 " * 100_000, "a@b.com (415) 555-1212 1.2.3.4 " * 20_000]
+    rows = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), pii.fit(spark)).select("doc_id", F.size("spans").alias("n"), pii.redacted(F.col("text"), F.col("spans")).alias("r")).collect()
+    got = {r.doc_id: r for r in rows}
+    assert got[0].n == 0 and got[0].r == texts[0]
+    assert got[1].n >= 40_000 and got[1].r.startswith("[EMAIL] (415) 555-1212 [IP] [EMAIL]")
 
 
 def test_neighbours_in_order(spark):
