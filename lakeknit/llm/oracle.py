@@ -31,7 +31,7 @@ def op2_sql() -> str:
     fits = [f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for _, h, p in longest]
     rule = " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, longest, strict=True))
     ruled = " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, longest, strict=True))
-    sites = ", ".join(f"'{u[:-1]}'" for u in LISTED)
+    entries = ", ".join("{'h': '%s', 'p': '/%s'}" % tuple(u.split("/", 1)) for u in LISTED)
     return rf"""
 WITH u AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -39,8 +39,8 @@ WITH u AS (
   FROM pages
 ), r AS (
   SELECT page_id, host, path, CASE {rule} END AS rule, CASE {ruled} END AS ruled,
-    len(list_filter([{sites}], lambda s: host = s OR ends_with(host, '.' || s))) > 0 AS site
-  FROM u
+    len(list_filter([{entries}], lambda e: (own = e.h OR ends_with(own, '.' || e.h)) AND starts_with(way, e.p))) > 0 AS site
+  FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^(?s:.*)@', ''), ':[0-9]*$', ''), '[.]+$', '') AS own, regexp_replace('/' || path, '/+', '/', 'g') AS way FROM u) AS c
 )
 SELECT page_id, host, path, rule, CASE WHEN ruled IS NOT NULL THEN ruled WHEN site THEN 'block' ELSE 'allow' END AS verdict, (ruled IS NULL AND site) AS listed FROM r"""
 

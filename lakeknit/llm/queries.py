@@ -12,8 +12,10 @@ from .common import crc_mod
 
 #: Path rules: verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Listed canonical URLs: the roots of sites that advertise.
-LISTED = [f"{name}.example.{top}/" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+#: A table of listed URLs (column ``url``) that a session may name, and the list without one: sites that advertise or trap, by topic.
+URL_LIST = "lakeknit.url.list"
+TOPICS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "click-pay", "fake-shop", "free-bets", "malware-drop", "phish-login", "spam-farm")
+LISTED = [f"{name}.example.{top}/" for name in TOPICS for top in ("com", "net", "org", "info", "biz")] + [f"www.example.{top}/{folder}/" for top in ("info", "biz") for folder in ("ads", "trackers")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +31,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def listed_urls(spark: SparkSession) -> DataFrame:
+    path = spark.conf.get(URL_LIST, None)
+    if path:
+        return spark.read.parquet(path).select("url")
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED))).alias("url"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(u,) for u in LISTED], "url string")
-    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, listed)
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, listed_urls(spark))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

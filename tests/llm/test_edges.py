@@ -109,3 +109,24 @@ def test_urls(spark):
     assert got[5][0][2:] == ("www.example.com/en/", "allow") and got[6][0][2:] == ("net/es/", "block") and got[7][0][3] == "block"
     assert urls.judge(pages.filter("false"), rules, listed).count() == 0
     assert urls.judge(pages, rules, listed.filter("false")).filter("verdict = 'block'").count() == 2
+
+
+def test_urls_by_canonical_form(spark):
+    deep = "http://" + "s." * 40 + "long.org/" + "f/" * 3000 + "x"
+    blocked = ["http://z.a.b.c.d.e.example.org/q", "http://x.org/1/2/3/4/p.html", "http://user@bad.org/x", "http://bad.org:80/x", "http://BAD.org./x", "http://bad.org//x/../y", "http://x.org/1/2/0/../3/4/p", "http://p.org/page.html?q", deep]
+    allowed = ["http://a.b.c.d.f.example.org/q", "http://x.org/1/2/3/p.html", "http://notbad.org/x", "http://x.org/1/2/3/4/../p", "http://p.org/page.html/x", "http://p.org/", "http://@", "http://...", "http://:80/", "://"]
+    listed = [("https://a.b.c.d.e.example.org/", 1), ("x.org/1/2/3/4/", 2), ("bad.org", 3), ("bad.org/", 4), ("http://p.org/page.html#top", 5), ("", 6), (None, 7), ("s.long.org/f/f/", 8)]
+    entries = spark.createDataFrame(listed, "url string, entry int").withColumns({c: F.lit("x") for c in ("block", "mask", "host", "h")})
+    pages = spark.createDataFrame(list(enumerate(blocked + allowed)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, [], entries).collect()}
+    assert [u for i, u in enumerate(blocked) if got[i] != "block"] == []
+    assert [u for i, u in enumerate(allowed) if got[i + len(blocked)] != "allow"] == []
+
+
+def test_bloom_filter_grows_with_the_list(spark):
+    entries = urls.listed_entries(spark.range(3000).selectExpr("concat('h', id, '.org/') AS url"))
+    blocks = urls.filter_blocks(3000)
+    sieve = {r.block: r["mask"] for r in urls.bloom(entries, blocks).collect()}
+    ask = spark.range(3000, 9000).selectExpr("concat('h', id, '.org/') AS entry")
+    passed = sum((sieve.get(r.b, 0) & r.m) == r.m for r in ask.select(urls._block(F.col("entry"), blocks).alias("b"), urls._mask(F.col("entry")).alias("m")).collect())
+    assert passed < 0.1 * 6000
