@@ -22,13 +22,21 @@ DECAY = 0.5
 #: Units longer than WIDTH are cut into overlapping ones; STEM is the length of a word's beginning that also counts.
 WIDTH = 16
 STEM = 6
-#: Landmarks, at most; half of them are of telling units. Harmless units of which the others are picked, and what a landmark must add.
-LANDMARKS, POOL, ADDED = 300, 2000, 0.02
+#: Landmarks, at most, of the training sentences' units: half the most telling, each FRESH (a share) of what those before span, half of POOL drawn by chance, each adding most.
+LANDMARKS, POOL, ADDED, FRESH = 400, 2000, 0.02, 0.3
+#: A telling unit is so many times as frequent in toxic texts, and counts as if one in 1 / LEAST of them had it, at least.
+PURE, LEAST = 4, 0.05
+#: Units that one or two training texts have are many: so many of them, drawn by chance, stand for all.
+RARE = 12_000
+#: Ridge of the machine, highest scores of a text that count, and the scores from which a unit is sure or suspect.
+RIDGE = 2e-3
 TOP = 3
-SURE = 0.45
-FLOOR = -2.0
+SURE, SUSPECT = 0.6, 0.3
+#: A harmless text that is called toxic costs so many toxic ones that are missed.
+CLEAN = 3
 TRAIN_PER_CLASS = 800
 #: Scores that a worker remembers, twice.
+FLOOR = -1.0
 CACHE_UNITS = 200_000
 CHUNK = 256
 _SPACED = re.compile(r"(?<!\S)\w(?:[\s._*\-]{1,3}\w(?!\w)){2,}")
@@ -108,15 +116,24 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return at[:, 0], at[:, 1], at[:, 2], (DECAY ** (at[:, 2] - at[:, 0] + 1.0)).astype(np.float32)
 
 
-def diverse(units: list[str], most: int, base: list[str]) -> list[str]:
-    """Up to ``most`` of the units, each the one that ``base`` and those before it span least (a pivoted Cholesky factor)."""
+def diverse(units: list[str], most: int, base: list[str], added: float | None = None) -> list[str]:
+    """Up to ``most`` of the units that ``base`` and those before them don't span (a Cholesky factor, built column by column).
+
+    The next one is the least spanned; with ``added``, the first in order of which at least that share is new.
+    """
     every = base + units
     s = _codes(every)
     norm = np.sqrt(np.maximum(self_kernel(s), 1e-12))
     rest, factor, out = np.where(norm > 1e-5, 1.0, 0.0), np.zeros((0, len(every))), []
     for n in range(len(base) + most):
-        k = n if n < len(base) else len(base) + int(np.argmax(rest[len(base) :])) if units else -1
-        if k < 0 or n >= len(base) and rest[k] < ADDED:
+        own = rest[len(base) :]
+        if n < len(base):
+            k = n
+        elif added is not None and (own >= added).any():
+            k = len(base) + int(np.argmax(own >= added))
+        elif added is None and len(own) and own.max() >= ADDED:
+            k = len(base) + int(np.argmax(own))
+        else:
             break
         column = kernel(s, np.array([ord(c) for c in every[k]], dtype=np.uint32)) / (norm * norm[k])
         if rest[k] > 1e-6:
@@ -127,69 +144,49 @@ def diverse(units: list[str], most: int, base: list[str]) -> list[str]:
     return out
 
 
+def telling(bad: list[set], good: list[set]) -> list[str]:
+    """Units that tell toxic texts, the surest first: chance would hardly give them to so many toxic texts and so few harmless ones.
+
+    Texts that none explains are tried again by themselves, as the fewer they are, the fewer of
+    them prove a rare word; copies of one text are no further proof.
+    """
+    n_good, out, left = Counter(u for b in good for u in b), [], bad
+    while left:
+        n, share = Counter(u for b in left for u in b if len(u) > ORDER), len(left) / (len(left) + len(good))
+        tried = {u: k for u, k in n.items() if k > 2}
+        rate = PURE * len(left) / max(1, len(good))
+        sure = {u: surprise(k, k + n_good[u], share) for u, k in tried.items() if k >= rate * n_good[u] and any(map(str.isalpha, u))}
+        found = sorted((u for u, x in sure.items() if x > math.log(len(tried) + 1)), key=lambda u: (-sure[u], u))
+        if not found:
+            break
+        out += found
+        rest: list[set] = []
+        for b in left:
+            if b.isdisjoint(found) and all(2 * len(b & o) <= len(b | o) for o in rest):
+                rest.append(b)
+        left = rest
+    return out
+
+
 class Machine:
-    """The fitted classifier: landmarks, weights of the Nyström features, and the calibration of a text's score."""
+    """The fitted classifier: landmarks, one machine's weights, and the calibration of a text's score.
+
+    Labels are those of whole texts, so each sentence has its text's label, and each unit of a
+    harmless sentence is a harmless instance. A toxic sentence has some toxic unit: the
+    telling ones, or any of them where none is telling. A unit that both classes use is pulled both
+    ways; the kernel shares what is learned among alike units.
+    """
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
-        self.cache: dict[str, tuple[float, float]] = {}
-        self.older: dict[str, tuple[float, float]] = {}
+    def __init__(self, rows: list[tuple[int, str]], landmarks: int = LANDMARKS) -> None:
+        self.cache: dict[str, float] = {}
+        self.older: dict[str, float] = {}
         self.prior = float(np.mean([r[0] for r in rows])) if rows else 0.0
-        bags = [(y, {u for x in tokens(t) for u in word_units(x)}) for y, t in rows]
+        bags = [(y, tokens(t)) for y, t in rows]
         bad, good = [b for y, b in bags if y == 1], [b for y, b in bags if y == 0]
-        words, stems = self.choose(bad, good)
-        self.empty = not words and not stems
+        self.empty = not bad or not good
         if not self.empty:
-            self.fit(words, stems, bad, good)
-
-    @staticmethod
-    def choose(bad: list[set], good: list[set]) -> tuple[list[str], list[str]]:
-        """All words that tell toxic texts, and beginnings of which toxic texts have several words.
-
-        A word tells if chance would hardly give it to so many toxic texts and so few harmless
-        ones (Chernoff's bound, by the number of words tried). Texts that nothing explains are
-        tried again by themselves, as the fewer they are, the fewer of them prove a rare word.
-        """
-
-        def whole(bag: set) -> set:
-            return {u for u in bag if u[0] == "^" and len(u) > 3 and (u[-1] == "$" or len(u) == WIDTH) and any(c.isalpha() for c in u)}
-
-        def begun(bag: set) -> set:
-            n = Counter(u[:k] for u in whole(bag) if len(u) > 5 and u[-1] == "$" for k in range(4, STEM + 2) if len(u) > k + 1)
-            return {u for u, k in n.items() if k > 1}
-
-        bad_w, scale = [whole(b) for b in bad], max(1, len(good)) / max(1, len(bad))
-        n_bad, n_good = Counter(u for b in bad_w for u in b), Counter(u for b in good for u in whole(b))
-
-        def telling(left: list[int]) -> dict[str, float]:
-            share, n = len(left) / max(1, len(left) + len(good)), Counter(u for i in left for u in bad_w[i])
-            tried = {u: k for u, k in n.items() if k > 2}
-            pure = {u: surprise(k, k + n_good[u], share) for u, k in tried.items() if n_bad[u] * scale >= 20 * n_good[u]}
-            return {u: x for u, x in pure.items() if x > math.log(len(tried) + 1)}
-
-        words = set(telling(list(range(len(bad)))))
-        s_bad, s_good = Counter(u for b in map(begun, bad) for u in b), Counter(u for b in map(begun, good) for u in b)
-        fit = {u for u, k in s_bad.items() if k >= max(3, 0.004 * len(bad)) and k * scale >= 6 * (s_good[u] + 0.5)}
-        single = {u for u in words if not any(u[:k] in fit for k in range(4, STEM + 2))}
-        some, stems = [(i, begun(b)) for i, b in enumerate(bad) if not bad_w[i] & single], []
-        while True:
-            n, share = Counter(u for _, b in some for u in b), len(some) / max(1, len(some) + len(good))
-            enough = math.log(sum(k > 2 for k in n.values()) + 1)
-            gain = {u: n[u] for u in fit & n.keys() if surprise(n[u], n[u] + s_good[u], share) > enough}
-            u = max(gain, key=lambda u: (gain[u] - 2 * s_good[u] / scale, len(u), u), default="")
-            if not u or gain[u] < 3:
-                break
-            stems.append(u)
-            some = [(i, b) for i, b in some if u not in b]
-        # Copies of one text are no further proof.
-        left = []
-        for i, _ in some:
-            if not bad_w[i] & words and all(2 * len(bad[i] & bad[j]) <= len(bad[i] | bad[j]) for j in left):
-                left.append(i)
-        while new := telling(left):
-            u = max(new, key=lambda u: (new[u], u))
-            words.add(u)
-            left = [i for i in left if u not in bad_w[i]]
-        return sorted(u for u in words if not any(u.startswith(m) for m in stems)), stems
+            self.fit(*([{u for t in b for u in word_units(t)} for b in bags] for bags in (bad, good)), landmarks)
+            self.calibrate([[self.summary(self.token_scores(b)) for b in bags] for bags in (bad, good)])
 
     def ids(self, s: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For strings of one length, what ``table`` has of each subsequence (a row each), and the subsequences' weights."""
@@ -244,54 +241,65 @@ class Machine:
             out[rows] /= norm[:, None]
         return out @ self.whiten
 
-    def fit(self, words: list[str], stems: list[str], bad: list[set], good: list[set]) -> None:
+    def fit(self, bad: list[set], good: list[set], landmarks: int = LANDMARKS) -> None:
         rng = random.Random(7)
-
-        def begins(u: str) -> bool:
-            return any(u.startswith(m) for m in stems)
-
-        known = set(words)
-        clean = sorted({u for b in good for u in b if not begins(u) and u not in known and len(u) >= ORDER})
-        rng.shuffle(clean)
-        marks = diverse(words + stems, LANDMARKS // 2, [])
-        marks += diverse(clean[:POOL], LANDMARKS - len(marks), marks)
+        n_bad, n_good = Counter(u for b in bad for u in b), Counter(u for b in good for u in b)
+        every = sorted(u for u in n_bad.keys() | n_good.keys() if len(u) >= ORDER)
+        told = telling(bad, good)
+        marks = diverse(told, landmarks // 2, [], FRESH)
+        marks += diverse(rng.sample(every, min(POOL, len(every))), landmarks - len(marks), marks)
         self.index(marks)
         self.whiten = np.eye(len(marks), dtype=np.float32)
         values, vectors = np.linalg.eigh(self.features(marks).astype(float))
         self.whiten = (vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T).astype(np.float32)
-        some = sorted({u for b in bad for u in b if begins(u)})
-        noisy = [v for m in words if m[-1] == "$" for v in self.gapped(m, rng)]
-        machines = [self.svm([u[:WIDTH] for u in words + noisy], clean), self.svm(some, clean)]
-        self.fuse(np.stack(machines, axis=1))
+        # Where telling units explain a toxic text, its other units count as what they are elsewhere only.
+        known = set(told)
+        n_open = Counter(u for b in bad if not b & known for u in b)
+        toxic = {u: max(n_bad[u] / len(bad), LEAST) for u in known} | {u: n / len(bad) for u, n in n_open.items()}
+        often = [u for u in every if n_bad[u] + n_good[u] > 2 or u in known]
+        rare = sorted(set(every).difference(often))
+        some = rng.sample(rare, min(RARE, len(rare)))
+        weight = np.concatenate([np.ones(len(often)), np.full(len(some), len(rare) / max(1, len(some)))])
+        units = often + some
+        self.svm(self.features(units), weight * [toxic.get(u, 0.0) for u in units], weight * [n_good[u] / len(good) for u in units])
         del self.parts
-        self.calibrate([[self.summary(self.units_scores(sorted(b))) for b in bags] for bags in (bad, good)])
 
-    def fuse(self, w: np.ndarray) -> None:
-        """The machines' weights (a column each, biases last) as weights of subsequences, so that landmarks cost a score nothing."""
-        per = (self.parts @ (self.whiten @ w[:-1])).astype(np.float32)
-        # Two columns are one complex number, so that a subsequence is looked up once.
-        both = per[:, 0] + 1j * per[:, -1]
-        self.own, self.bias = both.astype(np.complex64)[self.thirds], w[-1].astype(np.float32)
+    def svm(self, x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> None:
+        """A linear machine on the features, its bias last: squared hinge loss of each unit as often as it has either label, by Newton steps.
+
+        The weights are kept as weights of subsequences, so that landmarks cost a score nothing.
+        """
+        x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+        w, reg = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, RIDGE), 1e-6)
+        for _ in range(30):
+            f = x @ w.astype(np.float32)
+            on, off = toxic * (f < 1), clean * (f > -1)
+            gram = np.diag(reg)
+            for i in range(0, len(x), 4096):
+                part = x[i : i + 4096].astype(float)
+                gram += (part * (on + off)[i : i + 4096, None]).T @ part
+            new = np.linalg.solve(gram, (on - off) @ x)
+            done, w = np.allclose(new, w, atol=1e-7), new
+            if done:
+                break
+        self.own, self.bias = (self.parts @ (self.whiten @ w[:-1])).astype(np.float32)[self.thirds], float(w[-1])
 
     @staticmethod
     def summary(scores: np.ndarray) -> list[float]:
-        """What decides on a text: the highest scores of both machines, how many words and stems are sure, and the stems' share."""
-        out = []
-        for k in (0, 1):
-            own = scores[:, k]
-            own = np.sort(own[own > -1])[::-1][:TOP]
-            out += np.clip(np.concatenate([own, np.full(TOP - len(own), -1.0)]), -1, 1).tolist()
-        high = float((scores[:, 1] > 0).sum())
-        return [*out, 2 * min(2.0, float((scores[:, 0] > SURE).sum())), math.log1p(high), math.log1p(high) * math.log1p(len(scores)) / 6, min(1.0, 12 * high / max(12, len(scores)))]
+        """What decides on a text: its highest scores, how many units are sure or suspect, and the suspects' share."""
+        top = np.sort(scores)[::-1][:TOP]
+        top = np.clip(np.concatenate([top, np.full(TOP - len(top), -1.0)]), -1, 1)
+        sure, suspect = int((scores > SURE).sum()), int((scores > SUSPECT).sum())
+        return [*top.tolist(), math.log1p(sure), math.log1p(suspect), 12 * suspect / max(12, len(scores))]
 
     def calibrate(self, parts: list[list[list[float]]]) -> None:
-        """Logistic regression of the texts' labels on their summaries, both classes of equal weight."""
-        x = np.array([*parts[0], *parts[1]]).reshape(-1, 2 * TOP + 4)
+        """Logistic regression of the texts' labels on their summaries; harmless texts weigh CLEAN times as much."""
+        x = np.array([*parts[0], *parts[1]]).reshape(-1, TOP + 3)
         x = np.hstack([x, np.ones((len(x), 1))])
         y = np.concatenate([np.ones(len(parts[0])), np.zeros(len(parts[1]))])
-        c = np.where(y > 0, 1 / max(1, len(parts[0])), 1 / max(1, len(parts[1])))
+        c = np.where(y > 0, 1 / max(1, len(parts[0])), CLEAN / max(1, len(parts[1])))
         v = np.zeros(x.shape[1])
-        for _ in range(40):
+        for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
             grad = x.T @ (c * (p - y)) + 5e-4 * v
             hess = (x * (c * p * (1 - p))[:, None]).T @ x + 5e-4 * np.eye(len(v))
@@ -299,48 +307,11 @@ class Machine:
             v = v - step / max(1.0, np.linalg.norm(step) / 5)
         self.v = v
 
-    @staticmethod
-    def gapped(mark: str, rng: random.Random) -> list[str]:
-        """Variants of a word with an inserted character, or one left out of a longer word."""
-        word, out = mark[1:-1], []
-        for i in range(1, len(word)):
-            out.append(f"^{word[:i]}{rng.choice('.*-_x1')}{word[i:]}$")
-        out += ["^" + c.join(word) + "$" for c in ".-*" if 2 * len(word) + 1 <= WIDTH]
-        return out
-
-    def svm(self, units: list[str], clean: list[str]) -> np.ndarray:
-        """A linear machine on the features, its bias last: squared hinge loss, both classes of equal weight, by Newton steps."""
-        w = np.zeros(self.parts.shape[1] + 1)
-        w[-1] = -1
-        if not units:
-            return w
-        x_pos, x_neg, mined = self.features(units), self.features(clean[:4000]), np.zeros((0, self.parts.shape[1]), np.float32)
-        for _ in range(4):
-            x = np.concatenate([x_pos, x_neg, mined]).astype(float)
-            x = np.hstack([x, np.ones((len(x), 1))])
-            y = np.concatenate([np.ones(len(x_pos)), -np.ones(len(x_neg) + len(mined))])
-            c = np.concatenate([np.full(len(k), v / max(1, len(k))) for k, v in ((x_pos, 1), (x_neg, 3), (mined, 6))])
-            reg = np.append(np.full(x.shape[1] - 1, 1e-3), 1e-6)
-            for _ in range(30):
-                on = y * (x @ w) < 1
-                xa, ca = x[on], c[on]
-                new = np.linalg.solve((xa * ca[:, None]).T @ xa + np.diag(reg), (xa * (ca * y[on])[:, None]).sum(0))
-                done, w = np.allclose(new, w, atol=1e-9), new
-                if done:
-                    break
-            # The units of harmless texts that come nearest count from now on, too, and most.
-            self.fuse(w[:, None])
-            near = np.argsort(-self.units_scores(clean[:40_000])[:, 0], kind="stable")[:200]
-            mined = np.concatenate([mined, self.features([clean[i] for i in near])])
-        return w
-
     def units_scores(self, units: list[str]) -> np.ndarray:
-        """A row for each unit, a column for each machine."""
-        out = np.zeros((len(units), len(self.bias)), np.float32)
+        out = np.zeros(len(units), np.float32)
         for rows, s, norm in self.by_length(units) if units else []:
             own, weight = self.ids(s, self.own)
-            sums = weight.astype(np.complex64) @ own / norm
-            out[rows] = np.stack([sums.real, sums.imag], axis=1)[:, : out.shape[1]]
+            out[rows] = weight @ own / norm
         return out + self.bias
 
     def learn_tokens(self, new: Iterable[str]) -> None:
@@ -349,25 +320,26 @@ class Machine:
         units = [word_units(t) for t in new]
         flat = list(dict.fromkeys(u for us in units for u in us))
         scores = dict(zip(flat, self.units_scores(flat).tolist(), strict=True))
-        for t, us in zip(new, units, strict=True):
-            own = [scores[u] for u in us]
-            self.cache[t] = (max(x for x, _ in own), max(x for _, x in own)) if own else (FLOOR, FLOOR)
+        self.cache.update((t, max([scores[u] for u in us], default=FLOOR)) for t, us in zip(new, units, strict=True))
+
+    def token_scores(self, bag: set[str]) -> np.ndarray:
+        if len(self.cache) > CACHE_UNITS:
+            self.cache, self.older = {}, self.cache
+        new = bag.difference(self.cache)
+        old = self.older
+        self.cache.update((t, old[t]) for t in new & old.keys())
+        self.learn_tokens(t for t in new if t not in old)
+        return np.array([*map(self.cache.__getitem__, bag)])
 
     def scores(self, texts: list[bytes | None]) -> list[float]:
-        """From 0 to 1 for every text: its most toxic token decides."""
+        """From 0 to 1 for every text."""
         out = []
         if self.empty:
             return [min(self.prior, 0.49)] * len(texts)
         for i in range(0, len(texts), 64):
             bags = [tokens((t or b"").decode()) for t in texts[i : i + 64]]
-            if len(self.cache) > CACHE_UNITS:
-                self.cache, self.older = {}, self.cache
-            new = set().union(*bags).difference(self.cache)
-            old = self.older
-            self.cache.update((t, old[t]) for t in new & old.keys())
-            self.learn_tokens(t for t in new if t not in old)
-            get = self.cache.__getitem__
-            x = np.array([[*self.summary(np.array([*map(get, bag)]).reshape(-1, 2)), 1.0] for bag in bags])
+            self.token_scores(set().union(*bags))
+            x = np.array([[*self.summary(self.token_scores(bag)), 1.0] for bag in bags])
             out += (1 / (1 + np.exp(-np.clip(x @ self.v, -30, 30)))).tolist()
         return out
 
