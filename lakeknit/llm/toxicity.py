@@ -293,16 +293,19 @@ class Machine:
         return [*top.tolist(), math.log1p(sure), math.log1p(suspect), 12 * suspect / max(12, len(scores))]
 
     def calibrate(self, parts: list[list[list[float]]]) -> None:
-        """Logistic regression of the texts' labels on their summaries; harmless texts weigh CLEAN times as much."""
+        """Logistic regression of the texts' labels on their summaries; harmless texts weigh CLEAN times as much.
+
+        The ridge prefers the highest score, so that one toxic unit is enough even if the toxic texts learned from have several.
+        """
         x = np.array([*parts[0], *parts[1]]).reshape(-1, TOP + 3)
         x = np.hstack([x, np.ones((len(x), 1))])
         y = np.concatenate([np.ones(len(parts[0])), np.zeros(len(parts[1]))])
         c = np.where(y > 0, 1 / max(1, len(parts[0])), CLEAN / max(1, len(parts[1])))
-        v = np.zeros(x.shape[1])
+        v, ridge = np.zeros(x.shape[1]), np.array([5e-5, *[2e-3] * (x.shape[1] - 2), 1e-6])
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-            grad = x.T @ (c * (p - y)) + 5e-4 * v
-            hess = (x * (c * p * (1 - p))[:, None]).T @ x + 5e-4 * np.eye(len(v))
+            grad = x.T @ (c * (p - y)) + ridge * v
+            hess = (x * (c * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
             step = np.linalg.solve(hess, grad)
             v = v - step / max(1.0, np.linalg.norm(step) / 5)
         self.v = v
