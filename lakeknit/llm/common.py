@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A class of training rows has at most so many documents, none longer than so many characters.
+#: A class of training rows has at most so many documents, and as many as have so many characters together; all classes together have at most FIT_ROWS.
 FIT_PER_CLASS = 500
-FIT_MAX_CHARS = 20_000
+FIT_CHARS = 8_000_000
+FIT_ROWS = 10_000
 #: Rows that a worker turns into Python objects at a time.
 SLICE_ROWS = 512
 
@@ -115,18 +116,23 @@ def crc_mod(id_col: str, m: int) -> Column:
 def fit_sample(docs: DataFrame, label: str, learn: Column, id_col: str, text_col: str, per_class: int = FIT_PER_CLASS) -> list[tuple]:
     """(label, text) of at most ``per_class`` rows for each label, by the order of the id's hash.
 
-    ``learn`` says which rows may be used. Only ids are ordered; their texts, at most
-    FIT_MAX_CHARS long each, come by a join with that bounded list.
+    ``learn`` says which rows may be used; texts of any length may, as long as a class has no
+    more than FIT_CHARS characters. Only ids are ordered; their texts come by a join with that bounded list.
     """
     from pyspark.sql import Window
 
-    rows = docs.filter(learn & F.col(label).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) <= FIT_MAX_CHARS))
+    rows = docs.filter(learn & F.col(label).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    classes = rows.select(label).distinct().count()
+    per_class = max(1, min(per_class, FIT_ROWS // max(1, classes)))
+    chars = max(1, min(FIT_CHARS, 2 * FIT_CHARS // max(1, classes)))
     order = ("__hash", "__id")
-    ids = rows.select(F.col(label).alias("__label"), F.xxhash64(id_col).alias("__hash"), F.col(id_col).alias("__id"))
+    ids = rows.select(F.col(label).alias("__label"), F.xxhash64(id_col).alias("__hash"), F.col(id_col).alias("__id"), F.length(text_col).alias("__n"))
     # First within 64 parts of each class, so that no task gets more than a bounded number of rows from each part.
     part = F.row_number().over(Window.partitionBy("__label", F.pmod("__hash", F.lit(64))).orderBy(*order))
     some = ids.withColumn("__rank", part).filter(F.col("__rank") <= per_class).drop("__rank")
-    few = some.withColumn("__rank", F.row_number().over(Window.partitionBy("__label").orderBy(*order))).filter(F.col("__rank") <= per_class).select("__id").distinct()
+    whole = Window.partitionBy("__label").orderBy(*order)
+    ranked = some.withColumn("__rank", F.row_number().over(whole)).filter(F.col("__rank") <= per_class)
+    few = ranked.withColumn("__sum", F.sum("__n").over(whole)).filter(F.col("__sum") <= chars).select("__id").distinct()
     got = rows.join(F.broadcast(few), F.col(id_col) == F.col("__id"), "left_semi").select(label, text_col, id_col).collect()
     unique = {r[2]: (r[0], r[1]) for r in sorted(got, key=lambda r: (r[2], str(r[0]), r[1]))}
     return [unique[k] for k in sorted(unique)]

@@ -1,108 +1,146 @@
-"""Quality classifier: votes of labelled neighbours in a latent-semantic space."""
+"""Quality classifier: votes of labelled neighbours in a latent-semantic space of words, word pairs and written forms."""
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIT_PER_CLASS, fit_sample, map_documents
+from .common import FIT_PER_CLASS, fit_sample, map_documents, slices, utf8
 
 #: Dimensions of the latent space, neighbours' weight (cosine to that power), rows of a product, and training rows a class.
-DIMENSIONS = 48
+DIMENSIONS = 64
 SHARPNESS = 24
-BLOCK = 512
+BLOCK = 64
 TRAIN_PER_CLASS = 2 * FIT_PER_CLASS
-#: Terms: trigrams of character classes, then steps of measures of repetition and form.
-CLASSES = 14
-STEPS = 24
-
-
-def _classes() -> np.ndarray:
-    kind = np.full(256, 13, dtype=np.int64)  # other marks
-    kind[128:] = 0
-    kind[ord("a") : ord("z") + 1] = 0
-    kind[ord("A") : ord("Z") + 1] = 1
-    kind[ord("0") : ord("9") + 1] = 2
-    for c in b" \t":
-        kind[c] = 3
-    for c in b"\n\r\x0b\x0c":
-        kind[c] = 4
-    for k, marks in enumerate((b".", b",", b"!", b"*", b"$%&#", b"|", b"'\"()", b"@:/=_-"), 5):
-        for c in marks:
-            kind[c] = k
-    return kind
-
-
-_KIND = _classes()
-
-
-def measures(data: bytes) -> list[float]:
-    """Shares from 0 to 1: repeated words, words equal to the last one, repeated lines, lines without an end mark, capitals, long words, size."""
-    words, lines = data.split(), [x for x in data.split(b"\n") if x.strip()]
-    n, m = max(1, len(words)), max(1, len(lines))
-    again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
-    twice = sum(a == b for a, b in zip(words, words[2:], strict=False)) / n
-    open_lines = sum(x.rstrip()[-1:] not in (b".", b"!", b"?") for x in lines) / m
-    upper = sum(map(bytes.isupper, words)) / n
-    parts = [len(set(words[i : i + 64])) / len(words[i : i + 64]) for i in range(0, len(words), 64)] or [1.0]
-    return [1 - min(parts), 1 - sum(parts) / len(parts), again, twice, 1 - len(set(lines)) / m, open_lines, upper, min(1.0, np.log1p(len(words)) / 10)]
-
-
-MEASURES = 8
-TERMS = CLASSES**3 + MEASURES * STEPS
-
-
-def term_counts(data: bytes) -> np.ndarray:
-    """Term weights of a document: log counts of class trigrams, and a step for each measure."""
-    k = _KIND[np.frombuffer(data, dtype=np.uint8)]
-    grams = np.bincount((k[:-2] * CLASSES + k[1:-1]) * CLASSES + k[2:], minlength=CLASSES**3) if len(k) > 2 else np.zeros(CLASSES**3)
-    grams = np.sqrt(grams / max(1, grams.sum())) * 2
-    out = np.zeros((MEASURES, STEPS))
-    for i, x in enumerate(measures(data)):
-        at = min(STEPS - 1, int(x * STEPS))
-        out[i, at] = 1
-        out[i, max(0, at - 1)] += 0.5
-        out[i, min(STEPS - 1, at + 1)] += 0.5
-    return np.concatenate([grams, out.ravel() * 0.35])
+#: Buckets of hashed terms: words, pairs of words, and runs of one to three written forms.
+WORDS, PAIRS, FORMS = 1 << 13, 1 << 13, 1 << 12
+TERMS = WORDS + PAIRS + FORMS
+CHUNK = 1 << 12
+#: Tokens whose hashes a worker remembers.
+CACHE_TOKENS = 300_000
+_LETTERS = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_RUNS = re.compile(rb"([a0])\1+|(A)A+|([^aA0])\3+")
+_MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
+_U = np.uint64
+#: A line's end is a token of its own.
+_END = b"\n"
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> _U(27))
+
+
+def form_of(token: bytes) -> bytes:
+    """How a token is written: letters, digits and marks, runs as one, a long run of capitals as two."""
+    return _RUNS.sub(lambda m: m[1] or (m[2] and b"AA") or m[3], token.translate(_LETTERS))
+
+
+class Terms(dict):
+    """Numbers of tokens, and hashes of the word and the form of each, remembered for tokens seen before."""
+
+    def __init__(self) -> None:
+        self.words, self.forms = array("Q"), array("Q")
+
+    def __missing__(self, token: bytes) -> int:
+        self.words.append(xxhash.xxh64_intdigest(token.strip(_MARKS).translate(_LOWER)))
+        self.forms.append(xxhash.xxh64_intdigest(form_of(token), 1))
+        self[token] = len(self)
+        return len(self) - 1
+
+    def counts(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, weights) of a text's terms, in order: one plus the logarithm of how often, each kind scaled to length 1.
+
+        A form also tells whether the word is the last one again, or the one before it.
+        """
+        if len(self) > CACHE_TOKENS:
+            self.clear()
+            self.words, self.forms = array("Q"), array("Q")
+        tokens = data.replace(_END, b" \x00 ").split()
+        if not tokens:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
+        number = np.array(list(map(self.__getitem__, tokens)))
+        word, form = (np.frombuffer(x, dtype=np.uint64)[number] for x in (self.words, self.forms))
+        form[1:] += (word[1:] == word[:-1]).astype(np.uint64)
+        form[2:] += (word[2:] == word[:-2]).astype(np.uint64) * _U(2)
+        one = _mixed(form)
+        two = _mixed(one[:-1] + form[1:])
+        runs = np.concatenate([one, two, _mixed(two[:-1] + form[2:])])
+        kinds = [(_mixed(word), WORDS, 0), (_mixed(word[:-1] * _U(3) + word[1:]), PAIRS, WORDS), (runs, FORMS, WORDS + PAIRS)]
+        at, weight = [], []
+        for hashes, size, first in kinds:
+            n = np.bincount((hashes & _U(size - 1)).astype(np.int64), minlength=size) if len(hashes) > size // 8 else None
+            bucket, n = np.unique((hashes & _U(size - 1)).astype(np.int64), return_counts=True) if n is None else ((own := np.flatnonzero(n)), n[own])
+            w = 1 + np.log(n.astype(np.float32))
+            at.append(bucket + first)
+            weight.append(w / max(1e-9, float(np.linalg.norm(w))))
+        return np.concatenate(at), np.concatenate(weight)
 
 
 class Neighbours:
     """Labelled vectors in the latent space of their own terms."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
+        self.terms = Terms()
         self.empty = len({r[0] for r in rows}) < 2
         self.prior = float(np.mean([r[0] for r in rows])) if rows else 0.5
         if self.empty:
             return
-        x = np.array([term_counts(t.encode()) for _, t in rows])
         y = np.array([r[0] for r in rows], dtype=float)
-        self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
-        x = x * self.idf
-        gram = x @ x.T
+        found = [self.terms.counts(t.encode()) for _, t in rows]
+        seen = np.bincount(np.concatenate([at for at, _ in found]), minlength=TERMS)
+        self.idf = np.where(seen > 0, np.log((1 + len(rows)) / (1 + seen)) + 1, 0).astype(np.float32)
+
+        def columns(first: int) -> np.ndarray:
+            """The rows' weights of CHUNK terms."""
+            x = np.zeros((len(rows), CHUNK), dtype=np.float32)
+            for own, (at, w) in zip(x, found, strict=True):
+                i, j = np.searchsorted(at, (first, first + CHUNK))
+                own[at[i:j] - first] = w[i:j] * self.idf[at[i:j]]
+            return x
+
+        # The singular vectors of the rows come from their products with each other.
+        gram = np.zeros((len(rows), len(rows)))
+        for first in range(0, TERMS, CHUNK):
+            gram += (x := columns(first)) @ x.T
         values, vectors = np.linalg.eigh(gram)
         keep = np.argsort(-values)[:DIMENSIONS]
-        keep = keep[values[keep] > 1e-9 * values[keep[0]]]
-        self.axes = (x.T @ vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-        self.vectors = self.unit(x @ self.axes)
+        keep = keep[values[keep] > 1e-6 * values[keep[0]]]
+        onto = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
+        self.axes = np.concatenate([columns(first).T @ onto for first in range(0, TERMS, CHUNK)])
+        self.vectors = self.unit((vectors[:, keep] * np.sqrt(values[keep])).astype(np.float32))
+        self.axes *= self.idf[:, None]
         # A class counts as a whole, however many rows of it were learned.
         self.vote = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), -0.5 / max(1, (y <= 0).sum())).astype(np.float32)
+        self.terms = Terms()
 
     @staticmethod
     def unit(v: np.ndarray) -> np.ndarray:
         return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
+    def project(self, texts: list[bytes | None]) -> np.ndarray:
+        """A unit vector for each text; 0 for one without a term that was learned."""
+        out = np.zeros((len(texts), self.axes.shape[1]), dtype=np.float32)
+        for own, t in zip(out, texts, strict=True):
+            at, w = self.terms.counts(t or b"")
+            own += w.astype(np.float32) @ self.axes[at]
+        return self.unit(out)
+
     def scores(self, texts: list[bytes | None]) -> list[float]:
-        """From 0 to 1; every text against every labelled vector, in blocks."""
+        """From 0 to 1; every text against every labelled vector, in blocks. Equal votes, or none, give 0.5."""
         if self.empty:
             return [self.prior] * len(texts)
         out: list[float] = []
         for i in range(0, len(texts), BLOCK):
-            x = np.array([term_counts(t or b"") for t in texts[i : i + BLOCK]]) * self.idf
-            near = np.maximum(self.unit(x @ self.axes) @ self.vectors.T, 0) ** SHARPNESS
+            near = np.maximum(self.project(texts[i : i + BLOCK]) @ self.vectors.T, 0) ** SHARPNESS
             good, bad = near @ np.maximum(self.vote, 0), near @ np.maximum(-self.vote, 0)
             out += ((good + 1e-9) / (good + bad + 2e-9)).astype(float).tolist()
         return out
@@ -134,14 +172,14 @@ def classify(docs: DataFrame, model: Neighbours, id_col: str = "doc_id", text_co
     return map_documents(docs, make, "score double, predicted int", id_col, text_col)
 
 
-def score_column(docs: DataFrame, model: Neighbours, text_col: str = "text") -> Column:
-    """The score as a column of ``docs``, for filters that keep whole rows in place."""
+def keep_documents(docs: DataFrame, model: Neighbours, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose score is ``least`` or more, all columns in place."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    column = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for texts in batches:
-            yield pd.Series(m.scores([None if t is None else t.encode() for t in texts]), dtype="float64")
+        for batch in slices(batches):
+            yield batch.filter(pa.array([s >= least for s in m.scores(utf8(batch.column(column)))], pa.bool_()))
 
-    return score(F.col(text_col))
+    return docs.mapInArrow(run, docs.schema)

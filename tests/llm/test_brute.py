@@ -288,3 +288,48 @@ def test_held_out_accuracy(spark):
     x = [r for r in queries.op8_language(spark, MID).collect() if r.held_out]
     assert np.mean([r.lang_pred == langs[r.doc_id] for r in x]) > 0.98
     assert all(0 <= r.score <= 1 for r in q + t + x)
+
+
+def test_quality_votes_against_brute_force():
+    """Cosines and votes from a plain singular value decomposition of the same term weights."""
+    from lakeknit.llm import quality
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(200)]
+    text = lambda y: " ".join(rng.choice(vocabulary[:120] if y else vocabulary[80:]) + rng.choice(["", "", "!" if not y else "."]) for _ in range(rng.randint(3, 60)))
+    rows = [(i % 2, text(i % 2)) for i in range(60)]
+    m = quality.Neighbours(rows)
+    terms = quality.Terms()
+
+    def vector(t):
+        out = np.zeros(quality.TERMS)
+        at, w = terms.counts(t.encode())
+        out[at] = w
+        return out
+
+    x = np.array([vector(t) for _, t in rows])
+    idf = np.where((x > 0).sum(0) > 0, np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1, 0)
+    _, s, vt = np.linalg.svd(x * idf, full_matrices=False)
+    axes = vt[: len(m.axes[0])].T
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    y = np.array([r[0] for r in rows])
+    asked = [text(i % 2) for i in range(40)]
+    near = np.maximum(unit(np.array([vector(t) for t in asked]) * idf @ axes) @ unit(x * idf @ axes).T, 0) ** quality.SHARPNESS
+    good, bad = (near * (y == 1)).sum(1) / (y == 1).sum(), (near * (y == 0)).sum(1) / (y == 0).sum()
+    want = (good / 2 + 1e-9) / (good / 2 + bad / 2 + 2e-9)
+    assert np.allclose(m.scores([t.encode() for t in asked]), want, atol=2e-3)
+
+
+def test_term_weights_against_a_count():
+    from collections import Counter
+
+    from lakeknit.llm import quality
+
+    terms = quality.Terms()
+    text = b"One two, one TWO!! one\none one"
+    words = [b"one", b"two", b"one", b"two", b"one", b"", b"one", b"one"]
+    at, w = terms.counts(text)
+    own = w[at < quality.WORDS]
+    want = np.array(sorted(1 + np.log(n) for n in Counter(words).values()))
+    assert np.allclose(sorted(own), want / np.linalg.norm(want), atol=1e-5)
+    assert quality.form_of(b"RAN!!") == b"AA!" and quality.form_of(b"Ab12") == b"Aa0" and quality.form_of("été".encode()) == b"a"
