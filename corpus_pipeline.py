@@ -23,7 +23,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, F.lit(True))
-    return docs.filter(quality.score_column(docs, model) >= KEEP_FROM).select(*COLUMNS)
+    return quality.keep_documents(docs.select(*COLUMNS), model, KEEP_FROM)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
