@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+#: Accented Latin letters in lower case, and their bases.
+ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
 
 class Spark:
     """Spark SQL. Every method takes and returns SQL text."""
@@ -79,8 +82,12 @@ class Spark:
     def explode(self, x: str, name: str) -> str:
         return f"LATERAL VIEW explode({x}) AS {name}"
 
-    def gathered(self, x: str) -> str:
-        return f"collect_list({x})"
+    def unmarked(self, s: str, form: str = "NFD") -> str:
+        """Lower case without accents: Latin-1 letters by a table, other texts decomposed in an Arrow function."""
+        low = f"lower({s})"
+        plain = f"translate({low}, {self.text(ACCENTED)}, {self.text(PLAIN)})"
+        far = "[^\\x00-\\xFF]" if form == "NFD" else "[^\\x00-\\x7F]"
+        return f"coalesce(strip_marks(CASE WHEN {low} RLIKE '{far}' THEN {low} END, '{form}'), {plain})"
 
 
 class DuckDB(Spark):
@@ -158,5 +165,5 @@ class DuckDB(Spark):
     def explode(self, x: str, name: str) -> str:
         return f", LATERAL (SELECT unnest({x}) AS {name})"
 
-    def gathered(self, x: str) -> str:
-        return f"list({x})"
+    def unmarked(self, s: str, form: str = "NFD") -> str:
+        return f"lower(strip_accents({s}))"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +61,7 @@ def jaro_winkler_one(a: str, b: str) -> float:
 
 
 def register(spark: SparkSession) -> None:
-    """Make ``jaro_winkler`` known to the session's SQL: texts travel in Arrow batches, equal pairs are compared once a batch."""
+    """Make ``jaro_winkler`` and ``strip_marks`` known to the session's SQL: texts travel in Arrow batches, equal pairs are compared once a batch."""
 
     @F.pandas_udf("double")
     def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -71,7 +73,14 @@ def register(spark: SparkSession) -> None:
             out.append(known[pair])
         return pd.Series(out, dtype="float64")
 
+    @F.pandas_udf("string")
+    def strip_marks(s: pd.Series, form: pd.Series) -> pd.Series:
+        """Decomposed and without marks that don't take space; null stays null."""
+        one = lambda t, f: None if t is None else "".join(c for c in unicodedata.normalize(f, t) if unicodedata.category(c) != "Mn")
+        return pd.Series([one(t, f) for t, f in zip(s, form, strict=True)], dtype=object)
+
     spark.udf.register("jaro_winkler", jaro_winkler)
+    spark.udf.register("strip_marks", strip_marks)
 
 
 def jaro_winkler(d: Spark, a: str, b: str) -> str:

@@ -25,8 +25,8 @@ DEVANAGARI = {
     "ष": "sh", "स": "s", "ह": "h", "ा": "aa", "ि": "i", "ी": "ee", "ु": "u", "ू": "oo", "े": "e", "ै": "ai",
     "ो": "o", "ौ": "au", "ं": "n", "्": "",
 }
-#: Accented Latin letters in lower case, and their bases.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: What isn't part of a word, in any script.
+MARKS = r"[^\p{L}\p{N}_\s]+"
 
 
 def tokens(d: Spark, s: str) -> str:
@@ -54,23 +54,32 @@ def universal(d: Spark, s: str) -> str:
     for wrong, right in MISREAD.items():
         out = f"replace({out}, {d.text(wrong)}, {d.text(right)})"
     out = d.sub(d.sub(out, "A[c%]([a-z])", "e\\1"), 'A"([a-z])', "e\\1")
-    return f"translate(lower({transliterated(d, f'replace({out}, {d.text(chr(0xFFFD))}, {d.text("")})')}), {d.text(ACCENTED)}, {d.text(PLAIN)})"
+    return d.unmarked(transliterated(d, f"replace({out}, {d.text(chr(0xFFFD))}, {d.text('')})"))
 
 
-def clean_name(d: Spark, lowered: str) -> str:
-    """A universal name's own words: the trading name, without notes, domains, marks and legal forms; all words if none is left."""
-    out = f"regexp_replace(regexp_replace({lowered}, '^.* trading as ', ''), '^.* t/a ', '')"
-    out = d.sub(out, r"\b(d/b/a|formerly|f/k/a|a/k/a)\b", " ")
-    out = d.sub(out, r"\.(com|in|org|net|fr|co|us|gov|edu)\b", " ")
-    words = tokens(d, d.sub(out, r"[^a-z0-9_\s]+", " "))
-    own = d.keep(words, "t", f"NOT {d.has(d.strings(SUFFIXES), 't')}")
+def without_notes(d: Spark, lowered: str) -> str:
+    """A name without d/b/a, formerly, f/k/a, a/k/a (slashes or not) and domain endings."""
+    out = d.sub(lowered, r"\b(d/?b/?a|formerly|f/?k/?a|a/?k/?a)\b", " ")
+    return d.sub(out, r"\.(com|in|org|net|fr|co|us|gov|edu)\b", "")
+
+
+def own_words(d: Spark, words: str, noise: str) -> str:
+    """The words that aren't noise; all of them if none is left."""
+    own = d.keep(words, "t", f"NOT {d.has(noise, 't')}")
     return f"CASE WHEN {d.size(own)} > 0 THEN {d.join(own, ' ')} ELSE {d.join(words, ' ')} END"
 
 
-def clean_address(d: Spark, lowered: str) -> str:
-    """A universal address's numbers and its words of three letters or more that aren't street types."""
-    words = tokens(d, d.sub(lowered, r"[^a-z0-9_\s]+", " "))
-    return d.join(d.keep(words, "t", f"({d.like('t', '^[0-9]+$')}) OR (length(t) >= 3 AND NOT {d.has(d.strings(STREET_WORDS), 't')})"), " ")
+def clean_name(d: Spark, lowered: str, extra: tuple[str, ...] = ()) -> str:
+    """A universal name's own words: the trading name, without notes, domains, marks, legal forms and ``extra`` words; all words if none is left."""
+    trading = f"CASE WHEN {lowered} LIKE '% trading as %' THEN regexp_replace({lowered}, '^.* trading as ', '') WHEN {lowered} LIKE '% t/a %' THEN regexp_replace({lowered}, '^.* t/a ', '') ELSE {lowered} END"
+    return own_words(d, tokens(d, d.sub(without_notes(d, trading), MARKS, " ")), d.strings(SUFFIXES + extra))
+
+
+def clean_address(d: Spark, lowered: str, stops: str | None = None) -> str:
+    """A universal address's numbers and its words of three letters or more that are neither street types nor among ``stops``."""
+    words = tokens(d, d.sub(lowered, MARKS, " "))
+    told = f" AND NOT {d.has(stops, 't')}" if stops else ""
+    return d.join(d.keep(words, "t", f"({d.like('t', r'^\p{N}+$')}) OR (length(t) >= 3 AND NOT {d.has(d.strings(STREET_WORDS), 't')}{told})"), " ")
 
 
 def address_digits(d: Spark, s: str) -> str:
@@ -98,7 +107,7 @@ def phone(d: Spark, s: str) -> str:
 
 def acronym(d: Spark, words: str) -> str:
     """The first letters of two to six words."""
-    able = d.keep(words, "t", d.like("t", "^[a-z0-9]"))
+    able = d.keep(words, "t", d.like("t", r"^[\p{L}\p{N}]"))
     return f"CASE WHEN {d.size(able)} BETWEEN 2 AND 6 THEN {d.join(d.each(able, 't', 'left(t, 1)'), '')} ELSE '' END"
 
 

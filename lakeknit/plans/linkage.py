@@ -7,6 +7,7 @@ chain at once; the same statements, as common table expressions, are the check i
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,23 +20,41 @@ from .profiles import V30, Profile
 
 def entities(d: Spark, p: Profile) -> str:
     """Records of three sources out of the documents: four words are the name, three the address."""
-    words = d.keep(d.split(f"translate(lower(coalesce(text, '')), '{tx.ACCENTED}', '{tx.PLAIN}')", "[^a-z0-9]+"), "t", "t <> ''")
+    words = d.keep(d.split(d.unmarked("coalesce(text, '')"), r"[^\p{L}\p{N}]+"), "t", "t <> ''")
     code = f"lpad(CAST(({d.size('w')} * 7919) % 90000 + 10000 AS {'STRING' if d.name == 'spark' else 'VARCHAR'}), 5, '0')"
     s = "STRING" if d.name == "spark" else "VARCHAR"
     part = lambda a, n: d.join(f"{'slice' if d.name == 'spark' else 'list_slice'}(w, {a}, {n if d.name == 'spark' else a + n - 1})", " ")
     return f"""SELECT concat(CASE doc_id % 3 WHEN 0 THEN 'S1-' WHEN 1 THEN 'S2-' ELSE 'S3-' END, lpad(CAST(doc_id AS {s}), 8, '0')) AS entity_id,
   concat({part(1, 4)}, CASE doc_id % 3 WHEN 0 THEN ' Inc' WHEN 1 THEN ' Ltd' ELSE ' Corp.' END) AS business_name,
   concat(CAST({d.size("w")} % 400 + 1 AS {s}), ' ', {part(5, 3)}, CASE doc_id % 2 WHEN 0 THEN ' Road' ELSE ' Street' END, ' ', {code}) AS business_address,
-  lang AS country, concat(lang, ':', {part(1, 12)}) AS truth_key
+  lang AS country, CASE WHEN {d.size("w")} >= 12 THEN concat(lang, ':', {part(1, 12)}) END AS truth_key
 FROM (SELECT doc_id, lang, {words} AS w FROM @documents WHERE doc_id IS NOT NULL AND lang IS NOT NULL) AS x"""
 
 
+def head_sample(d: Spark, p: Profile) -> str:
+    """The first 30,000 targets by id."""
+    return "SELECT * FROM @entities WHERE left(entity_id, 2) <> 'S1' ORDER BY entity_id LIMIT 30000"
+
+
 def records(d: Spark, p: Profile) -> str:
-    """Normalised records: everything that keys and features need, once for each entity."""
+    """Normalised records: everything that keys and features need, once for each entity.
+
+    ``stops`` are the country's frequent address words, a short list, as each is in 3 of 100 records.
+    """
+    stops = f"coalesce(s.stops, {d.empty})" if p.stops else d.empty
+    gathered = "array_sort(collect_set(word))" if d.name == "spark" else "list_sort(list(DISTINCT word))"
+    told = f"LEFT JOIN (SELECT country AS stop_country, {gathered} AS stops FROM @stopwords GROUP BY country) AS s ON e.country = s.stop_country" if p.stops else ""
+    if p.names == "india":
+        names = f"{lg.name_ascii(d, 'business_name')} AS name, {lg.address_ascii(d, 'business_address')} AS addr"
+    else:
+        names = f"{tx.clean_name(d, 'low_name', p.extra_suffixes)} AS name, {tx.clean_address(d, 'low_addr', 'stops' if p.stops else None)} AS addr"
+    numbers = d.each(d.all("raw_addr", r"\b[0-9]+\b"), "t", "t")
+    digits = tx.address_digits(d, "raw_addr") if p.names != "india" else d.first(numbers, 1)
+    postal = tx.postal_code(d, "raw_addr", "country") if p.names != "india" else tx.postal_code(d, "raw_addr", "'India'")
     return f"""SELECT entity_id, left(entity_id, 2) AS src, country, truth_key, name, {tx.tokens(d, "name")} AS name_tokens, addr, {tx.tokens(d, "addr")} AS addr_tokens,
-  {tx.address_digits(d, "raw_addr")} AS digits, {tx.complex_codes(d, "raw_addr")} AS codes, {tx.postal_code(d, "raw_addr", "country")} AS postal, {tx.phone(d, "concat(raw_name, ' ', addr)")} AS phone
-FROM (SELECT entity_id, country, truth_key, raw_name, raw_addr, {tx.clean_name(d, "low_name")} AS name, {tx.clean_address(d, "low_addr")} AS addr
-  FROM (SELECT entity_id, country, truth_key, coalesce(business_name, '') AS raw_name, coalesce(business_address, '') AS raw_addr, {tx.universal(d, "business_name")} AS low_name, {tx.universal(d, "business_address")} AS low_addr FROM @entities) AS a) AS b"""
+  {digits} AS digits, {tx.complex_codes(d, "raw_addr")} AS codes, {postal} AS postal, {tx.phone(d, "concat(raw_name, ' ', addr)")} AS phone, {lg.care_of(d, "raw_addr")} AS care_of, stops
+FROM (SELECT entity_id, country, truth_key, raw_name, raw_addr, stops, {names}
+  FROM (SELECT entity_id, country, truth_key, business_name, business_address, coalesce(business_name, '') AS raw_name, coalesce(business_address, '') AS raw_addr, {stops} AS stops, {tx.universal(d, "business_name")} AS low_name, {tx.universal(d, "business_address")} AS low_addr FROM @entities AS e {told}) AS a) AS b"""
 
 
 def profiles(d: Spark, p: Profile) -> str:
@@ -54,33 +73,47 @@ def keys(d: Spark, p: Profile) -> str:
     one = lambda cond, v: f"CASE WHEN {cond} THEN {d.array(v)} ELSE {d.empty} END"
     sort2 = lambda a, b: f"concat(least({a}, {b}), '_', greatest({a}, {b}))"
     number = f"coalesce({d.at('digits', 1)}, '')"
-    plain = f"NOT {d.has(d.strings(tx.STREET_WORDS), 't')}"
+    plain = f"NOT {d.has(d.strings(tx.STREET_WORDS), 't')} AND NOT {d.has('stops', 't')}"
+    long_streets = d.keep("streets", "t", f"length(t) >= 3 AND {plain}")
+    street = lambda i: one(f"{number} <> '' AND {d.size(long_streets)} >= {i}", f"concat({number}, '_', {d.at(long_streets, i)})")
+    short_name = "length(name) BETWEEN 2 AND 5"
     rules = {
         "ex": one("length(name) >= 3", "name"),
         "bi_sort": one(two, sort2(t1, t2)),
         "bi": one(two, f"concat({t1}, '_', {t2})"),
         "comp": one(f"{two} AND length({t1}) >= 3 AND length({t2}) >= 3", f"concat({t1}, {t2})"),
+        "comp:sorted": one(two, f"concat(least({t1}, {t2}), greatest({t1}, {t2}))"),
         "trunc": one("length(name) >= 14", "left(name, 12)"),
         "ph_name": f"CASE WHEN {two} AND sound1 <> '' AND sound2 <> '' THEN {d.array(sort2('sound1', 'sound2'))} WHEN {d.size('name_tokens')} = 1 AND length({t1}) >= 4 AND sound1 <> '' THEN {d.array('sound1')} ELSE {d.empty} END",
-        "acr": d.concat(one("length(acronym) >= 2", "acronym"), one(f"{d.size('name_tokens')} = 1 AND length(name) BETWEEN 2 AND 5", "name")),
+        "acr": d.concat(one("length(acronym) >= 2", "acronym"), one(f"{d.size('name_tokens')} = 1 AND {short_name}", "name")),
+        "acr:plain": d.concat(one("length(acronym) >= 2", "acronym"), one(f"{short_name} AND {d.like('name', r'^[\p{L}\p{N}]+$')}", "name")),
         "tk": d.keep(d.first("name_tokens", 3), "t", f"length(t) >= 3 AND {plain}"),
-        "addr_st": f"CASE WHEN {number} <> '' THEN {d.each(d.first(d.keep('streets', 't', 'length(t) >= 3'), 2), 't', f'concat({number}, {d.text("_")}, t)')} ELSE {d.empty} END",
+        "tk:all": d.keep("name_tokens", "t", f"length(t) >= 4 AND NOT ({d.like('t', r'^\p{N}+$')})"),
+        "tk:two": d.keep(d.first("name_tokens", 2), "t", "length(t) >= 5"),
+        "addr_st": d.concat(street(1), street(2)),
+        "addr_st:pair": one(f"{number} <> '' AND {d.size(long_streets)} > 0", f"concat({number}, '_', {d.join(d.first(long_streets, 2), '_')})"),
+        "addr_num_st": street(1),
+        "addr_num_st2": street(2),
+        "addr_co": one(f"{d.size('care_of')} >= 2", f"concat({d.at('care_of', 1)}, '_', {d.at('care_of', 2)})"),
         "code": "codes",
         "post_num": one(f"postal <> '' AND {number} <> ''", f"concat(postal, '_', {number})"),
         "phone": one("length(phone) = 10", "phone"),
+        "np": one(f"{number} <> '' AND name <> ''", f"concat({number}, '_', left(name, 2))"),
+        "pp": one("postal <> '' AND name <> ''", "concat(postal, '_', left(name, 2))"),
     }
-    parts = [f"SELECT entity_id, src, country, '{ch}' AS ch, val FROM @profiles {d.explode(rules[ch], 'val')}" if d.name == "spark" else f"SELECT entity_id, src, country, '{ch}' AS ch, unnest({rules[ch]}) AS val FROM @profiles" for ch in p.weights]
+    kind = lambda ch: ch.partition(":")[0]
     if d.name == "spark":
         # One pass over the records instead of one for each channel.
-        tagged = d.concat(*[d.each(rules[ch], "v", f"struct('{ch}' AS ch, v AS val)") for ch in p.weights])
+        tagged = d.concat(*[d.each(rules[ch], "v", f"struct('{kind(ch)}' AS ch, v AS val)") for ch in p.weights])
         return f"SELECT entity_id, src, country, k.ch AS ch, k.val AS val FROM @profiles LATERAL VIEW explode({tagged}) AS k"
-    return " UNION ALL ".join(parts)
+    return " UNION ALL ".join(f"SELECT entity_id, src, country, '{kind(ch)}' AS ch, unnest({rules[ch]}) AS val FROM @profiles" for ch in p.weights)
 
 
 def weights(d: Spark, p: Profile) -> str:
     """Keys that both sides have and few enough targets share, weighted by rarity."""
-    base = " ".join(f"WHEN '{ch}' THEN CAST({w} AS DOUBLE)" for ch, w in p.weights.items())
-    return f"""SELECT t.country, t.ch, t.val, n, round(CASE t.ch {base} END * greatest(CAST(0.2 AS DOUBLE), 1 - ln(n) / ln({p.bucket + 1})), 9) AS w
+    base = " ".join(f"WHEN '{ch.partition(':')[0]}' THEN CAST({w} AS DOUBLE)" for ch, w in p.weights.items())
+    rarity = f"greatest(CAST(0.2 AS DOUBLE), 1 - ln(n) / ln({p.bucket + 1}))" if p.damped else "CAST(1 AS DOUBLE)"
+    return f"""SELECT t.country, t.ch, t.val, n, round(CASE t.ch {base} END * {rarity}, 9) AS w
 FROM (SELECT country, ch, val, count(*) AS n FROM @keys WHERE src <> 'S1' GROUP BY country, ch, val HAVING count(*) <= {p.bucket}) AS t
 LEFT SEMI JOIN (SELECT DISTINCT country, ch, val FROM @keys WHERE src = 'S1') AS s ON t.country = s.country AND t.ch = s.ch AND t.val = s.val""".replace("LEFT SEMI JOIN", "LEFT SEMI JOIN" if d.name == "spark" else "SEMI JOIN")
 
@@ -147,7 +180,8 @@ def features(d: Spark, p: Profile) -> str:
         "distinctive_overlap": "token_overlap_ratio * distinctiveness_score",
     }
     outer = ", ".join(f"round({own.get(k, k)}, 6) AS {k}" for k in FEATURES)
-    return f"SELECT s1_id, cand_id, country, x_acronym, y_acronym, meet_digits, same_phone, {outer} FROM (SELECT c.s1_id, c.cand_id, c.country, x.acronym AS x_acronym, y.acronym AS y_acronym, {meet('digits')} AS meet_digits, CASE WHEN x.phone <> '' AND x.phone = y.phone THEN 1 ELSE 0 END AS same_phone, {inner} FROM @candidates AS c JOIN @profiles AS x ON c.s1_id = x.entity_id JOIN @profiles AS y ON c.cand_id = y.entity_id) AS f"
+    long_names = f"CASE WHEN {d.size('x.name_tokens')} >= 2 AND {d.size('y.name_tokens')} >= 2 THEN 1 ELSE 0 END AS long_names"
+    return f"SELECT s1_id, cand_id, country, x_acronym, y_acronym, meet_digits, same_phone, same_name, long_names, {outer} FROM (SELECT c.s1_id, c.cand_id, c.country, x.acronym AS x_acronym, y.acronym AS y_acronym, {long_names}, CASE WHEN x.name = y.name THEN 1 ELSE 0 END AS same_name, {meet('digits')} AS meet_digits, CASE WHEN x.phone <> '' AND x.phone = y.phone THEN 1 ELSE 0 END AS same_phone, {inner} FROM @candidates AS c JOIN @profiles AS x ON c.s1_id = x.entity_id JOIN @profiles AS y ON c.cand_id = y.entity_id) AS f"
 
 
 FEATURES = (
@@ -158,22 +192,66 @@ FEATURES = (
 )
 
 
+def gate(p: Profile) -> str:
+    """Which pairs are hopeless, over their features."""
+    anchor = "meet_digits > 0 OR code_match = 1 OR same_phone = 1"
+    strict = "same_name = 0 AND name_sort_jaccard < 0.40 AND long_names = 1"
+    region = f"CASE WHEN country IN ('France', 'US') THEN {strict} AND name_dice_2g < 0.35 WHEN country = 'India' THEN same_name = 0 AND name_sort_jaccard < 0.25 AND name_dice_2g < 0.22 AND NOT ({anchor}) ELSE FALSE END"
+    return {"none": "FALSE", "strict": strict, "region": region}[p.gate]
+
+
 def scored(d: Spark, p: Profile) -> str:
-    """A fixed blend of features in place of a trained model, which operators.model supplies; the region's gate sets hopeless pairs to 0."""
+    """A fixed blend of features in place of a trained model, which operators.model supplies; the profile's gate sets hopeless pairs to 0."""
     blend = "0.35 * name_sort_jaccard + 0.20 * name_dice_2g + 0.15 * name_lev + 0.10 * num_match + 0.10 * addr_tok_jaccard + 0.10 * postal_match"
-    return f"SELECT s1_id, cand_id, country, distinctiveness_score, CASE WHEN name_exact = 0 AND name_sort_jaccard < 0.25 AND name_dice_2g < 0.22 AND num_match < 1 THEN CAST(0 AS DOUBLE) ELSE round({blend}, 6) END AS prob FROM @features"
+    return f"SELECT s1_id, cand_id, country, distinctiveness_score, CASE WHEN {gate(p)} THEN CAST(0 AS DOUBLE) ELSE round({blend}, 6) END AS prob FROM @features"
+
+
+def siblings(d: Spark, p: Profile) -> str:
+    """(s1_id, cand_id, high, low) of targets of one record that agree with a target of its other source; ``high`` is the agreeing one's best probability.
+
+    It doesn't depend on the threshold, so that a search of thresholds runs it once.
+    """
+    rule = p.sibling
+    if rule is None:
+        return "SELECT s1_id, cand_id, prob AS high, prob AS low FROM @scored WHERE 1 = 0"
+    digits = f"{d.size(d.common('h.digits', 'l.digits'))} > 0"
+    likeness = f"({sim.jaccard(d, 'h.name_tokens', 'l.name_tokens')})"
+    acronym = "(h.acronym <> '' AND h.acronym = l.acronym)"
+    agree = {
+        "closure": f"(h.phone <> '' AND h.phone = l.phone) OR ({digits} AND ({likeness} >= 0.40 OR {sim.jaro_winkler(d, 'h.name', 'l.name')} >= 0.70 OR {acronym}))",
+        "acronym": f"{digits} AND ({likeness} >= 0.45 OR {acronym})",
+        "name": f"{digits} AND {likeness} >= 0.50",
+        "loose": f"{digits} OR {d.size(d.common('h.name_tokens', 'l.name_tokens'))} >= 2",
+    }[rule.agree]
+    # Only pairs that can be raised meet: a doubtful target, and one that a threshold might call likely.
+    side = lambda least, below: f"SELECT q.s1_id, q.cand_id, q.prob, r.src, r.phone, r.digits, r.name, r.name_tokens, r.acronym FROM @scored AS q JOIN @profiles AS r ON q.cand_id = r.entity_id WHERE q.prob >= {least} AND q.prob < {below}"
+    high, top = rule.high or LOWEST, rule.high or HIGHEST
+    both = f"({side(high, 2)}) AS h JOIN ({side(rule.low, top)}) AS l ON h.s1_id = l.s1_id AND h.src <> l.src AND l.prob < h.prob"
+    return f"SELECT l.s1_id, l.cand_id, max(h.prob) AS high, max(l.prob) AS low FROM {both} WHERE {agree} GROUP BY l.s1_id, l.cand_id"
+
+
+#: The thresholds tau that a search tries lie between these.
+LOWEST, HIGHEST = 0.60, 0.72
+
+
+def raised(p: Profile, tau: str) -> str:
+    """A pair's probability after triangulation, over ``p`` (scored) and ``b`` (siblings, maybe none)."""
+    if p.sibling is None:
+        return "p.prob"
+    high = p.sibling.high if p.sibling.high is not None else tau
+    return f"CASE WHEN b.s1_id IS NOT NULL AND b.high >= {high} AND p.prob >= {p.sibling.low} AND p.prob < {high} THEN greatest(p.prob, round({tau} + {p.sibling.gain}, 6)) ELSE p.prob END"
 
 
 def boosted(d: Spark, p: Profile) -> str:
     """Sibling triangulation: a likely target of one source raises a doubtful one of the other that agrees with it."""
-    agree = f"(h.phone <> '' AND h.phone = l.phone) OR ({d.size(d.common('h.digits', 'l.digits'))} > 0 AND (({sim.jaccard(d, 'h.name_tokens', 'l.name_tokens')}) >= 0.40 OR (h.acronym <> '' AND h.acronym = l.acronym)))"
-    side = "SELECT q.s1_id, q.cand_id, q.prob, r.src, r.phone, r.digits, r.name_tokens, r.acronym FROM @scored AS q JOIN @profiles AS r ON q.cand_id = r.entity_id WHERE "
-    lift = f"SELECT DISTINCT l.s1_id, l.cand_id FROM ({side} q.prob >= {p.tau}) AS h JOIN ({side} q.prob >= {p.sibling_low} AND q.prob < {p.tau}) AS l ON h.s1_id = l.s1_id AND h.src <> l.src WHERE {agree}"
-    return f"SELECT p.s1_id, p.cand_id, p.country, p.distinctiveness_score, CASE WHEN b.s1_id IS NULL THEN p.prob ELSE greatest(p.prob, CAST({p.tau + p.sibling_gain:.6f} AS DOUBLE)) END AS prob FROM @scored AS p LEFT JOIN ({lift}) AS b ON p.s1_id = b.s1_id AND p.cand_id = b.cand_id"
+    tau = f"CAST({p.tau} AS DOUBLE)"
+    return f"SELECT p.s1_id, p.cand_id, p.country, p.distinctiveness_score, {raised(p, tau)} AS prob FROM @scored AS p LEFT JOIN @siblings AS b ON p.s1_id = b.s1_id AND p.cand_id = b.cand_id"
 
 
 def claims(d: Spark, p: Profile) -> str:
     """Pairs over the record's own thresholds: its best must pass the shield, others come near the best."""
+    if p.claims == "plain":
+        return f"SELECT s1_id, cand_id, country, prob FROM @boosted WHERE prob >= {p.tau}"
     a, b = p.adapt
     return f"""SELECT s1_id, cand_id, country, prob FROM (SELECT *, max(prob) OVER (PARTITION BY s1_id) AS best, round({p.tau} + (0.5 - distinctiveness_score) * {a}, 9) AS t, round({p.tau_single} + (0.5 - distinctiveness_score) * {b}, 9) AS ts FROM @boosted) AS q
 WHERE best >= ts AND prob >= t AND prob >= round(best - {p.margin}, 9)"""
@@ -181,6 +259,8 @@ WHERE best >= ts AND prob >= t AND prob >= round(best - {p.margin}, 9)"""
 
 def matches(d: Spark, p: Profile) -> str:
     """Every target goes to one record at most: the clear winner of its claims, or nobody."""
+    if p.claims == "plain":
+        return "SELECT s1_id, cand_id, prob FROM @claims"
     clear = f"AND (second IS NULL OR round(prob - second, 9) >= {p.delta})" if p.claims == "steal" else ""
     return f"SELECT s1_id, cand_id, prob FROM (SELECT *, row_number() OVER (PARTITION BY country, cand_id ORDER BY prob DESC, s1_id) AS rn, lead(prob) OVER (PARTITION BY country, cand_id ORDER BY prob DESC, s1_id) AS second FROM @claims) AS q WHERE rn = 1 {clear}"
 
@@ -212,10 +292,11 @@ WHERE left(e.entity_id, 2) = 'S1'"""
 
 
 def evaluation(d: Spark, p: Profile) -> str:
-    """Macro F0.5, the blocker's recall, collisions and shares."""
-    return """SELECT round(avg(f05), 6) AS macro_f05, count(*) AS n_entities, CAST(sum(n_true) AS BIGINT) AS n_true, CAST(sum(n_pred) AS BIGINT) AS n_pred, CAST(sum(n_hit) AS BIGINT) AS n_hit,
-  round(avg(CASE WHEN n_pred = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS singleton_share,
+    """Macro F0.5 (0 without records), the blocker's recall, collisions, shares, averages, and how many candidates are right."""
+    return """SELECT round(coalesce(avg(f05), CAST(0 AS DOUBLE)), 6) AS macro_f05, count(*) AS n_entities, CAST(sum(n_true) AS BIGINT) AS n_true, CAST(sum(n_pred) AS BIGINT) AS n_pred, CAST(sum(n_hit) AS BIGINT) AS n_hit,
+  round(avg(CASE WHEN n_pred = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS singleton_share, round(avg(CAST(n_pred AS DOUBLE)), 6) AS avg_matches,
   (SELECT count(*) FROM @truth AS t JOIN @candidates AS c ON t.s1_id = c.s1_id AND t.cand_id = c.cand_id) AS n_retrieved,
+  (SELECT count(*) FROM @candidates) - (SELECT count(*) FROM @truth AS t JOIN @candidates AS c ON t.s1_id = c.s1_id AND t.cand_id = c.cand_id) AS n_wrong_candidates,
   (SELECT count(*) FROM (SELECT cand_id FROM @matches GROUP BY cand_id HAVING count(*) > 1) AS z) AS n_collisions FROM @entity_scores"""
 
 
@@ -226,28 +307,87 @@ def stopwords(d: Spark, p: Profile) -> str:
     return f"SELECT w.country, w.word, w.n, round(w.n * CAST(1 AS DOUBLE) / c.total, 6) AS share FROM (SELECT country, word, count(*) AS n FROM ({inner}) AS i GROUP BY country, word) AS w JOIN (SELECT country, count(*) AS total FROM @entities GROUP BY country) AS c ON w.country = c.country WHERE w.n >= 0.03 * c.total"
 
 
-def grid(d: Spark, p: Profile) -> str:
-    """Micro counts of claims over a grid of thresholds, in one pass: the grid is 27 rows."""
-    values = ", ".join(f"({t}, {s}, {m})" for t in (0.60, 0.68, 0.72) for s in (0.70, 0.76, 0.80) for m in (0.10, 0.16, 0.22) if s >= t)
-    g = f"(VALUES {values}) AS g(tau, tau_single, margin)"
-    return f"SELECT CAST(tau AS DOUBLE) AS tau, CAST(tau_single AS DOUBLE) AS tau_single, CAST(margin AS DOUBLE) AS margin, count(*) AS n_pred, count(t.s1_id) AS n_hit FROM (SELECT b.*, max(prob) OVER (PARTITION BY s1_id) AS best FROM @boosted AS b) AS q JOIN {g} ON q.prob >= g.tau AND q.best >= g.tau_single AND q.prob >= round(q.best - CAST(g.margin AS DOUBLE), 9) LEFT JOIN @truth AS t ON q.s1_id = t.s1_id AND q.cand_id = t.cand_id GROUP BY tau, tau_single, margin"
+#: Thresholds that a search tries, in this order: of a match, of a record's best, the distance from the best, the lead over other claims.
+GRID = tuple((t, s, m, a) for t in (0.65, 0.68, 0.70, 0.72) for s in (0.74, 0.76, 0.78, 0.80) for m in (0.14, 0.16, 0.18) for a in (0.03, 0.05, 0.07) if s >= t)
 
 
-def checks(d: Spark, p: Profile) -> str:
-    """Findings on the results: repeated rows and ids, own or foreign prefixes, unknown ids, matches that were no candidates, missing rows."""
+def grid(d: Spark, p: Profile) -> str:
+    """Macro F0.5 of the whole decision for every setting of GRID, all in one pass: triangulation, thresholds, exclusive claims, scores.
+
+    Pairs are multiplied by a list of fixed length. A record without a true match and without a prediction scores 1.
+    """
+    rows = ", ".join(f"({i}, {t}, {s}, {m}, {a})" for i, (t, s, m, a) in enumerate(GRID))
+    taus = ", ".join(f"({t})" for t in sorted({g[0] for g in GRID}))
+    one, double = "CAST(1 AS DOUBLE)", lambda c: f"CAST({c} AS DOUBLE) AS {c}"
+    levels = f"(SELECT {double('tau')} FROM (VALUES {taus}) AS v(tau)) AS g"
+    values = f"(SELECT CAST(nr AS INT) AS nr, {double('tau')}, {double('tau_single')}, {double('margin')}, {double('delta')} FROM (VALUES {rows}) AS v(nr, tau, tau_single, margin, delta))"
+    lifted = f"SELECT g.tau, p.s1_id, p.cand_id, p.country, {raised(p, 'g.tau')} AS prob FROM @scored AS p LEFT JOIN @siblings AS b ON p.s1_id = b.s1_id AND p.cand_id = b.cand_id JOIN {levels} ON p.prob >= {p.sibling.low if p.sibling else 0}"
+    claimed = f"SELECT g.nr, g.delta, q.s1_id, q.cand_id, q.country, q.prob FROM (SELECT l.*, max(prob) OVER (PARTITION BY tau, s1_id) AS best FROM ({lifted}) AS l) AS q JOIN {values} AS g ON q.tau = g.tau AND q.prob >= g.tau AND q.best >= g.tau_single AND q.prob >= round(q.best - g.margin, 9)"
+    won = f"SELECT nr, s1_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY nr, country, cand_id ORDER BY prob DESC, s1_id) AS rn, lead(prob) OVER (PARTITION BY nr, country, cand_id ORDER BY prob DESC, s1_id) AS second FROM ({claimed}) AS c) AS w WHERE rn = 1 AND (second IS NULL OR round(prob - second, 9) >= delta)"
+    per = f"SELECT w.nr, w.s1_id, count(*) AS n_pred, count(t.s1_id) AS n_hit FROM ({won}) AS w LEFT JOIN @truth AS t ON w.s1_id = t.s1_id AND w.cand_id = t.cand_id GROUP BY w.nr, w.s1_id"
+    right, found = f"(x.n_hit * {one} / x.n_pred)", f"(x.n_hit * {one} / e.n_true)"
+    f05 = f"CASE WHEN x.n_hit = 0 THEN CAST(0 AS DOUBLE) ELSE round(1.25 * {right} * {found} / (0.25 * {right} + {found}), 6) END"
+    scores = f"SELECT x.nr, CAST(sum(x.n_pred) AS BIGINT) AS n_pred, CAST(sum(x.n_hit) AS BIGINT) AS n_hit, sum({f05}) AS total, CAST(sum(CASE WHEN e.n_true = 0 THEN 1 ELSE 0 END) AS BIGINT) AS wrong FROM ({per}) AS x JOIN @entity_scores AS e ON x.s1_id = e.s1_id GROUP BY x.nr"
+    # Records without predictions score 1 if they have no true match: all of those but the ones with a wrong prediction.
+    return f"""SELECT g.nr, g.tau, g.tau_single, g.margin, g.delta, coalesce(n_pred, 0) AS n_pred, coalesce(n_hit, 0) AS n_hit, round((coalesce(total, CAST(0 AS DOUBLE)) + k.alone - coalesce(wrong, 0)) / greatest(k.n, 1), 6) AS macro_f05
+FROM {values} AS g LEFT JOIN ({scores}) AS r ON g.nr = r.nr JOIN (SELECT count(*) AS n, count(CASE WHEN n_true = 0 THEN 1 END) AS alone FROM @entity_scores) AS k ON 1 = 1"""
+
+
+def best_setting(d: Spark, p: Profile) -> str:
+    """The setting of the highest macro F0.5, the first of equals."""
+    return "SELECT tau, tau_single, margin, delta, macro_f05 FROM @grid ORDER BY macro_f05 DESC, nr LIMIT 1"
+
+
+def folds(d: Spark, p: Profile) -> str:
+    """(s1_id, stratum, fold): records dealt to five folds evenly within each number of true matches, in parts of a hash, so that none is ordered as a whole."""
+    part = "conv(left(md5(s1_id), 2), 16, 10)" if d.name == "spark" else "concat('0x', left(md5(s1_id), 2))"
+    return f"""SELECT s1_id, stratum, CAST((row_number() OVER (PARTITION BY stratum, part ORDER BY md5(s1_id), s1_id) + part) % 5 AS INT) AS fold
+FROM (SELECT s1_id, least(n_true, 4) AS stratum, CAST({part} AS INT) AS part FROM @entity_scores) AS x"""
+
+
+def fold_scores(d: Spark, p: Profile) -> str:
+    """Mean and population deviation of the folds' macro F0.5."""
+    return "SELECT count(*) AS n_folds, round(avg(f05), 6) AS mean_f05, round(stddev_pop(f05), 6) AS std_f05 FROM (SELECT f.fold, avg(e.f05) AS f05 FROM @folds AS f JOIN @entity_scores AS e ON f.s1_id = e.s1_id GROUP BY f.fold) AS x"
+
+
+def offenders(d: Spark, p: Profile) -> str:
+    """(finding, entity_id, detail) of everything wrong with the results: repeated rows and ids, own or foreign prefixes, unknown ids, matches that were no candidates, missing and unexpected rows."""
     split = lambda c: d.keep(f"split({c}, ',')" if d.name == "spark" else f"string_split({c}, ',')", "v", "v <> ''")
     ids, cands = split("matched_entity_ids"), split("candidate_entity_ids")
-    diff = f"size(array_except({ids}, {cands}))" if d.name == "spark" else f"len(list_filter({ids}, lambda v: NOT list_contains({cands}, v)))"
+    key = "source1_entity_id AS entity_id"
+    each = "SELECT source1_entity_id, v FROM @results LATERAL VIEW explode(" + ids + ") AS v" if d.name == "spark" else "SELECT source1_entity_id, unnest(" + ids + ") AS v FROM @results"
+    diff = d.keep(ids, "v", f"NOT {d.has(cands, 'v')}")
     rows = {
-        "duplicate_rows": "SELECT count(*) - count(DISTINCT source1_entity_id) AS n FROM @results",
-        "duplicate_ids": f"SELECT count(*) AS n FROM @results WHERE {d.size(ids)} <> {d.size(d.distinct(ids))}",
-        "self_matches": f"SELECT count(*) AS n FROM @results WHERE {d.any(ids, 'v', d.like('v', '^S1-'))}",
-        "wrong_prefix": f"SELECT count(*) AS n FROM @results WHERE {d.any(ids, 'v', 'NOT ' + d.like('v', '^S[23]-'))}",
-        "not_candidates": f"SELECT count(*) AS n FROM @results WHERE {diff} > 0",
-        "missing_rows": "SELECT count(*) AS n FROM (SELECT entity_id FROM @entities WHERE left(entity_id, 2) = 'S1' EXCEPT SELECT source1_entity_id FROM @results) AS z",
-        "unknown_ids": f"SELECT count(*) AS n FROM ({'SELECT v FROM @results LATERAL VIEW explode(' + ids + ') AS v' if d.name == 'spark' else 'SELECT unnest(' + ids + ') AS v FROM @results'}) AS i LEFT JOIN @entities AS e ON i.v = e.entity_id WHERE e.entity_id IS NULL",
+        "duplicate_rows": "SELECT source1_entity_id AS entity_id, '' AS detail FROM @results GROUP BY source1_entity_id HAVING count(*) > 1",
+        "duplicate_ids": f"SELECT {key}, '' AS detail FROM @results WHERE {d.size(ids)} <> {d.size(d.distinct(ids))}",
+        "self_matches": f"SELECT {key}, {d.join(d.keep(ids, 'v', d.like('v', '^S1-')), ',')} AS detail FROM @results WHERE {d.any(ids, 'v', d.like('v', '^S1-'))}",
+        "wrong_prefix": f"SELECT {key}, {d.join(d.keep(ids, 'v', 'NOT ' + d.like('v', '^S[23]-')), ',')} AS detail FROM @results WHERE {d.any(ids, 'v', 'NOT ' + d.like('v', '^S[23]-'))}",
+        "not_candidates": f"SELECT {key}, {d.join(diff, ',')} AS detail FROM @results WHERE {d.size(diff)} > 0",
+        "missing_rows": "SELECT entity_id, '' AS detail FROM (SELECT entity_id FROM @entities WHERE left(entity_id, 2) = 'S1' EXCEPT SELECT source1_entity_id AS entity_id FROM @results) AS z",
+        "unexpected_rows": "SELECT entity_id, '' AS detail FROM (SELECT source1_entity_id AS entity_id FROM @results EXCEPT SELECT entity_id FROM @entities WHERE left(entity_id, 2) = 'S1') AS z",
+        "unknown_ids": f"SELECT i.source1_entity_id AS entity_id, i.v AS detail FROM ({each}) AS i LEFT JOIN @entities AS e ON i.v = e.entity_id WHERE e.entity_id IS NULL",
     }
-    return " UNION ALL ".join(f"SELECT '{k}' AS finding, CAST(n AS BIGINT) AS n FROM ({q}) AS c_{k}" for k, q in rows.items())
+    return " UNION ALL ".join(f"SELECT '{k}' AS finding, entity_id, detail FROM ({q}) AS o_{k}" for k, q in rows.items())
+
+
+FINDINGS = ("duplicate_rows", "duplicate_ids", "self_matches", "wrong_prefix", "not_candidates", "missing_rows", "unexpected_rows", "unknown_ids")
+
+
+def checks(d: Spark, p: Profile) -> str:
+    """How often each finding occurs, none too; matches that were no candidates are warnings, all else errors."""
+    names = ", ".join(f"('{k}')" for k in FINDINGS)
+    return f"SELECT f.finding, CASE WHEN f.finding = 'not_candidates' THEN 'warning' ELSE 'error' END AS kind, count(o.finding) AS n FROM (VALUES {names}) AS f(finding) LEFT JOIN @offenders AS o ON f.finding = o.finding GROUP BY f.finding"
+
+
+def first_offenders(d: Spark, p: Profile) -> str:
+    """The first five offenders of each finding, by id."""
+    return "SELECT finding, entity_id, detail FROM (SELECT *, row_number() OVER (PARTITION BY finding ORDER BY entity_id, detail) AS rn FROM @offenders) AS o WHERE rn <= 5"
+
+
+def verdict(d: Spark, p: Profile) -> str:
+    """Rows, errors, warnings, and whether the results pass: exit code 0 without errors, else 1."""
+    return """SELECT (SELECT count(*) FROM @results) AS n_rows, CAST(errors AS BIGINT) AS errors, CAST(warnings AS BIGINT) AS warnings, CASE WHEN errors = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict, CASE WHEN errors = 0 THEN 0 ELSE 1 END AS exit_code
+FROM (SELECT sum(CASE WHEN kind = 'error' THEN n ELSE 0 END) AS errors, sum(CASE WHEN kind = 'warning' THEN n ELSE 0 END) AS warnings FROM @checks) AS c"""
 
 
 def legacy_records(d: Spark, p: Profile) -> str:
@@ -264,10 +404,32 @@ def legacy_features(d: Spark, p: Profile) -> str:
     return f"SELECT c.s1_id, c.cand_id, {own} FROM @candidates AS c JOIN @profiles AS x ON c.s1_id = x.entity_id JOIN @profiles AS y ON c.cand_id = y.entity_id"
 
 
+def _vector(generation: str) -> Callable[[Spark, Profile], str]:
+    def vector(d: Spark, p: Profile) -> str:
+        own = lg.variants(d, generation)
+        columns = ", ".join(f"round({own[k]}, 6) AS {k}" if k in own else f"{'f' if k in FEATURES else 'l'}.{k}" for k in lg.VECTORS[generation])
+        return f"SELECT f.s1_id, f.cand_id, {columns} FROM @features AS f JOIN @legacy_features AS l ON f.s1_id = l.s1_id AND f.cand_id = l.cand_id JOIN @profiles AS x ON f.s1_id = x.entity_id JOIN @profiles AS y ON f.cand_id = y.entity_id"
+
+    vector.__name__, vector.__doc__ = f"vector_{generation}", "An earlier generation's vector, its columns in order."
+    return vector
+
+
+def needed_records(d: Spark, p: Profile) -> str:
+    """The first-source records that the truth names."""
+    return f"SELECT entity_id, name, addr FROM @records WHERE src = 'S1' AND entity_id IN (SELECT s1_id FROM @truth)"
+
+
 def hard_negatives(d: Spark, p: Profile) -> str:
-    """Targets that share a name key with a first-source record: what training must learn to tell apart."""
+    """Targets for training: true matches, and those that share a whole name, or else its first two words, with a first-source record."""
     own = "ch IN ('ex', 'bi_sort')"
-    return f"SELECT DISTINCT t.entity_id FROM @keys AS t JOIN (SELECT DISTINCT country, ch, val FROM @keys WHERE src = 'S1' AND {own}) AS s ON t.country = s.country AND t.ch = s.ch AND t.val = s.val WHERE t.src <> 'S1' AND t.{own}"
+    return f"""SELECT cand_id AS entity_id FROM @truth
+UNION SELECT t.entity_id FROM @keys AS t JOIN (SELECT DISTINCT country, ch, val FROM @keys WHERE src = 'S1' AND {own}) AS s ON t.country = s.country AND t.ch = s.ch AND t.val = s.val WHERE t.src <> 'S1' AND t.{own}"""
+
+
+def background_negatives(d: Spark, p: Profile) -> str:
+    """The first 20,000 targets of each source by id, and all true matches."""
+    first = lambda src: f"SELECT entity_id FROM (SELECT entity_id FROM @entities WHERE left(entity_id, 2) = '{src}' ORDER BY entity_id LIMIT 20000) AS {src.lower()}"
+    return f"{first('S2')} UNION {first('S3')} UNION SELECT cand_id AS entity_id FROM @truth"
 
 
 def training_pairs(d: Spark, p: Profile) -> str:
@@ -278,9 +440,9 @@ FROM @truth AS t JOIN @entities AS e ON t.s1_id = e.entity_id LEFT JOIN @candida
 LEFT JOIN (SELECT s1_id, max(rank_no) AS last_rank FROM @candidates GROUP BY s1_id) AS l ON t.s1_id = l.s1_id WHERE c.s1_id IS NULL"""
 
 
-STEPS = {f.__name__: f for f in (entities, records, profiles, keys, weights, candidates, features, scored, boosted, claims, matches, truth, results, entity_scores, evaluation, stopwords, grid, checks, legacy_records, legacy_features, hard_negatives, training_pairs)}
+STEPS = {f.__name__: f for f in (entities, head_sample, stopwords, records, profiles, keys, weights, candidates, features, scored, siblings, boosted, claims, matches, truth, results, entity_scores, evaluation, grid, best_setting, folds, fold_scores, offenders, checks, first_offenders, verdict, legacy_records, legacy_features, *map(_vector, lg.VECTORS), needed_records, hard_negatives, background_negatives, training_pairs)}
 #: Steps that several others use and that cost a join or Python: they are written once and read again.
-SHARED = ("profiles", "candidates", "features", "matches")
+SHARED = ("profiles", "keys", "candidates", "features", "matches", "siblings", "truth", "entity_scores", "offenders")
 
 
 class Plan:

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..operators import model
 from ..sources.staging import staged
+from . import golden
 from .linkage import STEPS, Plan, duckdb_sql
 from .profiles import PROFILES
 
 #: Steps whose rows are queries of their own under the default profile, and further steps under earlier profiles.
 NAMES = {f"link_{s}": (s, "v30") for s in STEPS}
-NAMES |= {f"link_{s}_{p}": (s, p) for p in ("v20", "v21", "v22", "v23") for s in ("candidates", "matches")}
+NAMES |= {f"link_{s}_{p}": (s, p) for p in ("v20", "v21", "v22", "v23", "india") for s in ("candidates", "matches")}
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def _trained(spark: SparkSession, sf_dir: str) -> Plan:
     pairs = plan.step("training_pairs")
     learn = Plan(spark, {**plan.frames, "candidates": pairs.drop("label")})
     rows = learn.step("features").join(pairs.select("s1_id", "cand_id", "label"), ["s1_id", "cand_id"])
-    fitted = model.Ensemble.fit(staged(model.split(rows)[0], "training"), rounds=10, depth=4)
+    fitted = model.Ensemble.fit(staged(model.split(rows)[0], "training"))
     scored = fitted.score(plan.step("features", last=False))
     plan.frames["scored"] = staged(scored.select("s1_id", "cand_id", "country", "distinctiveness_score", "prob"), "scored")
     return plan
@@ -48,22 +49,24 @@ def link_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trained(spark, sf_dir).step("evaluation")
-
-
-def link_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    plan = Plan(spark, {"documents": docs})
-    strata = plan.step("entity_scores").select("s1_id", F.least("n_true", F.lit(4)).alias("stratum"))
-    return model.folds(strata)
+    """Of the held-out records only: neither they nor their pairs were learned from."""
+    plan = _trained(spark, sf_dir)
+    entities = plan.step("entities", last=False)
+    held = model.split(entities.withColumn("s1_id", F.col("entity_id")))[1].drop("s1_id")
+    targets = entities.filter("left(entity_id, 2) <> 'S1'")
+    scored = model.split(plan.step("scored", last=False))[1]
+    truth = model.split(plan.step("truth", last=False))[1]
+    cands = model.split(plan.step("candidates", last=False))[1]
+    shown = {"entities": held.filter("left(entity_id, 2) = 'S1'").unionByName(targets), "scored": scored, "truth": truth, "candidates": cands, "profiles": plan.step("profiles", last=False)}
+    return Plan(spark, shown).step("evaluation")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {f.__name__: f for f in (link_model_scores, link_model_evaluation, link_folds)}
-    return {name: _query(*of) for name, of in NAMES.items()} | own
+    own = {f.__name__: f for f in (link_model_scores, link_model_evaluation)}
+    return {name: _query(*of) for name, of in NAMES.items()} | golden.QUERIES | own
 
 
-ARRAYS = {"legacy_records": ("long_tokens", "streets_v21", "care_of"), "records": ("name_tokens", "addr_tokens", "digits", "codes"), "profiles": ("name_tokens", "addr_tokens", "digits", "codes", "grams2", "grams3", "addr3", "streets")}
+ARRAYS = {"legacy_records": ("long_tokens", "streets_v21", "care_of"), "records": ("name_tokens", "addr_tokens", "digits", "codes", "care_of", "stops"), "profiles": ("name_tokens", "addr_tokens", "digits", "codes", "care_of", "stops", "grams2", "grams3", "addr3", "streets")}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -74,4 +77,4 @@ def oracle_sql() -> dict[str, str]:
             head, _, _ = sql.rpartition(" SELECT * FROM ")
             sql = f"{head} SELECT * REPLACE ({', '.join(f"array_to_string({c}, '|') AS {c}" for c in ARRAYS[step])}) FROM {step}"
         out[name] = sql
-    return out
+    return out | golden.SQL

@@ -35,8 +35,8 @@ def read_ids(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def partition_by_country(records: DataFrame, path: str) -> None:
-    """Parquet with one folder a country, any country; later reads of some countries open only their folders."""
-    records.repartition("country").write.mode("overwrite").partitionBy("country").parquet(path)
+    """Parquet with one folder a country, any country, which several tasks write; later reads of some countries open only their folders."""
+    records.repartition("country", F.pmod(F.xxhash64("entity_id"), F.lit(16))).write.mode("overwrite").partitionBy("country").parquet(path)
 
 
 def read_countries(spark: SparkSession, path: str, countries: list[str] | None = None) -> DataFrame:
@@ -57,7 +57,10 @@ def stage_countries(old: DataFrame, new: DataFrame, replaced: list[str]) -> Data
 
 
 def check_file(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """(finding, n) of a result file itself: an empty file, a wrong or comma header, rows without a tab; blank lines don't count."""
+    """(finding, n) of a result file itself: a missing or empty file, a wrong or comma header, rows without a tab; blank lines don't count."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([("missing_file", 1)], "finding string, n long")
     lines = spark.read.text(path).filter(F.trim("value") != "")
     header = f"source1_entity_id\t{column}"
     head = F.col("value").startswith("source1_entity_id")
@@ -69,3 +72,20 @@ def check_file(spark: SparkSession, path: str, column: str) -> DataFrame:
     }
     found = lines.agg(*[v.cast("long").alias(k) for k, v in tests.items()])
     return found.select(F.explode(F.array(*[F.struct(F.lit(k).alias("finding"), F.col(k).alias("n")) for k in tests])).alias("x")).select("x.*")
+
+
+def package(results: DataFrame, verdict: DataFrame, folder: str) -> str:
+    """Write the result tables and a summary below ``folder`` and name it; refuse results that fail their checks.
+
+    The tables stay a folder of files each, as many as tasks wrote them, so nothing passes through the driver but the verdict's one row.
+    """
+    said = verdict.first()
+    if said is None or said["verdict"] != "PASS":
+        raise ValueError(f"the results fail their checks: {said}")
+    write_results(results, folder)
+    ids = F.filter(F.split("matched_entity_ids", ","), lambda v: v != "")
+    claimed = results.select(F.explode(ids).alias("id")).groupBy("id").count()
+    audit = claimed.agg(F.coalesce(F.sum((F.col("count") > 1).cast("long")), F.lit(0)).alias("collisions"))
+    shares = results.agg(F.count("*").alias("n_rows"), F.avg((F.size(ids) == 0).cast("double")).alias("singleton_share"), F.avg(F.size(ids).cast("double")).alias("avg_matches"))
+    shares.crossJoin(audit).write.mode("overwrite").json(f"{folder}/summary")  # one row by one row
+    return folder

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lakeknit.functions import legacy as lg
 from lakeknit.functions import similarity as sim
 from lakeknit.functions import text as tx
 from lakeknit.functions.dialect import DuckDB, Spark
@@ -45,6 +46,12 @@ GOLDEN = [
     (lambda d: sim.transposed(d, d.strings(("124",)), d.strings(("142",))), 1.0),
     (lambda d: sim.prefix_ratio(d, "'abcd'", "'abx'"), 2 / 3),
     (lambda d: sim.prefix_ratio(d, "''", "'abx'"), 0.0),
+    (lambda d: tx.clean_name(d, tx.universal(d, d.text("Zeta Retail Foods")), ("retail",)), "zeta foods"),
+    (lambda d: tx.clean_address(d, tx.universal(d, d.text("5 Hill Harbour Road")), d.strings(("hill",))), "5 harbour"),
+    (lambda d: tx.universal(d, d.text("A%cole ReunA\"s Ťrň")), "ecole reunes trn"),
+    (lambda d: lg.name_ascii(d, d.text("Café d/b/a Ñandú.com Pvt")), "cafe nandu"),
+    (lambda d: lg.address_ascii(d, d.text("12, MG Rd. Sec-5")), "12 mg road sector 5"),
+    (lambda d: lg.name_without_cities(d, d.text("Boulangerie Paris SARL")), "boulangerie"),
 ]
 
 
@@ -102,17 +109,85 @@ def test_invariants(spark, profile):
     pairs = {(c.s1_id, c.cand_id) for c in cands}
     assert ("S1-1", "S2-1") in pairs and not any(a == "S1-1" and b == "S2-2" for a, b in pairs)
     found = plan.step("matches").collect()
-    assert len({m.cand_id for m in found}) == len(found) and {(m.s1_id, m.cand_id) for m in found} <= pairs
+    assert PROFILES[profile].claims == "plain" or len({m.cand_id for m in found}) == len(found)
+    assert {(m.s1_id, m.cand_id) for m in found} <= pairs
     results = plan.step("results").collect()
     assert sorted(r.source1_entity_id for r in results) == ["S1-1", "S1-2", "S1-3", "S1-4"]
     assert all(r.n == 0 for r in plan.step("checks").collect())
 
 
 def test_checks_find_faults(spark):
-    bad = [("S1-1", "S2-1,S2-1", "S2-1"), ("S1-1", "", ""), ("S1-2", "S1-3", "S1-3"), ("S1-3", "X-1", "S2-1")]
+    bad = [("S1-1", "S2-1,S2-1", "S2-1"), ("S1-1", "", ""), ("S1-2", "S1-3", "S1-3"), ("S1-3", "X-1", "S2-1"), ("S1-9", "", "")]
     plan = Plan(spark, {"entities": entities(spark), "results": spark.createDataFrame(bad, "source1_entity_id string, matched_entity_ids string, candidate_entity_ids string")})
     got = {r.finding: r.n for r in plan.step("checks").collect()}
-    assert got == {"duplicate_rows": 1, "duplicate_ids": 1, "self_matches": 1, "wrong_prefix": 2, "not_candidates": 1, "missing_rows": 1, "unknown_ids": 1}
+    assert got == {"duplicate_rows": 1, "duplicate_ids": 1, "self_matches": 1, "wrong_prefix": 2, "not_candidates": 1, "missing_rows": 1, "unexpected_rows": 1, "unknown_ids": 1}
+    said = plan.step("verdict").first()
+    assert (said.n_rows, said.errors, said.warnings, said.verdict, said.exit_code) == (5, 8, 1, "FAIL", 1)
+    assert [(r.entity_id, r.detail) for r in plan.step("first_offenders").collect() if r.finding == "unknown_ids"] == [("S1-3", "X-1")]
+    good = Plan(spark, {"entities": entities(spark)}).step("verdict").first()
+    assert (good.verdict, good.exit_code) == ("PASS", 0)
+
+
+def gate_rows(spark):
+    """Pairs of unlike names: id, country, likeness, dice, common digits, code, phone, long names."""
+    cases = [
+        ("far", "US", 0.3, 0.3, 0, 0.0, 0, 1), ("near", "US", 0.3, 0.4, 0, 0.0, 0, 1), ("short", "France", 0.3, 0.3, 0, 0.0, 0, 0), ("french", "France", 0.39, 0.34, 0, 0.0, 0, 1), ("like", "France", 0.4, 0.3, 0, 0.0, 0, 1),
+        ("indian", "India", 0.2, 0.2, 0, 0.0, 0, 0), ("digits", "India", 0.2, 0.2, 1, 0.0, 0, 1), ("code", "India", 0.2, 0.2, 0, 1.0, 0, 1), ("phone", "India", 0.2, 0.2, 0, 0.0, 1, 1), ("dice", "India", 0.2, 0.22, 0, 0.0, 0, 1), ("other", "Peru", 0.1, 0.1, 0, 0.0, 0, 1),
+    ]
+    df = spark.createDataFrame([("S1-1", *c) for c in cases], "s1_id string, cand_id string, country string, name_sort_jaccard double, name_dice_2g double, meet_digits int, code_match double, same_phone int, long_names int")
+    return df.withColumns({"same_name": F.lit(0), "distinctiveness_score": F.lit(0.5), "name_lev": F.lit(0.5), "num_match": F.lit(0.5), "addr_tok_jaccard": F.lit(0.5), "postal_match": F.lit(0.5)})
+
+
+@pytest.mark.parametrize(("profile", "hopeless"), [("v30", set()), ("v21", set()), ("v22", {"far", "near", "french", "digits", "code", "phone", "dice", "other"}), ("v23", {"far", "french", "indian"})])
+def test_gates(spark, profile, hopeless):
+    got = {r.cand_id: r.prob for r in Plan(spark, {"features": gate_rows(spark)}, PROFILES[profile]).step("scored").collect()}
+    assert {k for k, v in got.items() if v == 0} == hopeless
+    if "like" not in hopeless:
+        assert got["like"] == pytest.approx(0.35 * 0.4 + 0.2 * 0.3 + 0.15 * 0.5 + 0.1 * 1.5)
+
+
+def test_siblings_by_generation(spark):
+    """A likely target of source 2 and doubtful ones of source 3, for each way to agree; raised to the threshold and the gain."""
+    people = [
+        ("S2-h", "S2", "5551234567", ["7"], "zeta food mart", ["zeta", "food", "mart"], "zfm"),
+        ("S3-phone", "S3", "5551234567", ["9"], "other", ["other"], ""),
+        ("S3-half", "S3", "", ["7"], "zeta food", ["zeta", "food"], ""),
+        ("S3-jw", "S3", "", ["7"], "zetafoodmart", ["zetafoodmart"], ""),
+        ("S3-acr", "S3", "", ["7"], "zulu fish mill", ["zulu", "fish", "mill"], "zfm"),
+        ("S3-digits", "S3", "", ["7"], "quite unlike", ["quite", "unlike"], "qu"),
+        ("S3-words", "S3", "", ["8"], "zeta food hall", ["zeta", "food", "hall"], "zfh"),
+        ("S2-same", "S2", "5551234567", ["7"], "zeta food mart", ["zeta", "food", "mart"], "zfm"),
+    ]
+    profiles = spark.createDataFrame(people, "entity_id string, src string, phone string, digits array<string>, name string, name_tokens array<string>, acronym string")
+    pairs = [("S1-1", p[0], "x", 0.5, 0.9 if p[0] == "S2-h" else 0.55) for p in people] + [("S1-2", "S3-half", "x", 0.5, 0.55), ("S1-3", "S2-h", "x", 0.5, 0.9), ("S1-3", "S3-half", "x", 0.5, 0.39)]
+    scored = spark.createDataFrame(pairs, "s1_id string, cand_id string, country string, distinctiveness_score double, prob double")
+    want = {"v20": set(), "v21": {"half", "jw", "acr", "digits", "words"}, "v22": {"half"}, "v23": {"half", "acr"}, "v30": {"phone", "half", "jw", "acr"}}
+    for name, raised in want.items():
+        p = PROFILES[name]
+        got = {(r.s1_id, r.cand_id): r.prob for r in Plan(spark, {"profiles": profiles, "scored": scored}, p).step("boosted").collect()}
+        assert {c[3:] for (s, c), v in got.items() if s == "S1-1" and v not in (0.9, 0.55)} == raised, name
+        if raised:
+            assert got["S1-1", "S3-half"] == pytest.approx(p.tau + p.sibling.gain)
+        assert got["S1-2", "S3-half"] == 0.55 and got["S1-3", "S3-half"] == 0.39
+
+
+def test_best_setting_maximises_the_score(spark):
+    """The one-pass search against a run of every step for some settings."""
+    from dataclasses import replace
+
+    from lakeknit.plans.linkage import GRID
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    plan = Plan(spark, {"documents": docs})
+    rows = {r.nr: r for r in plan.step("grid").collect()}
+    assert len(rows) == len(GRID)
+    for nr in (0, 77, len(GRID) - 1):
+        t, s, m, a = GRID[nr]
+        p = replace(PROFILES["v30"], tau=t, tau_single=s, margin=m, delta=a, adapt=(0.0, 0.0))
+        one = Plan(spark, {k: plan.frames[k] for k in ("entities", "scored", "profiles", "truth", "candidates") if k in plan.frames}, p).step("evaluation").first()
+        assert (rows[nr].macro_f05, rows[nr].n_pred, rows[nr].n_hit) == (pytest.approx(one.macro_f05), one.n_pred, one.n_hit)
+    best = plan.step("best_setting").first()
+    assert best.macro_f05 == max(r.macro_f05 for r in rows.values())
 
 
 def test_exclusivity_and_score(spark):
@@ -150,6 +225,14 @@ def test_files(spark, tmp_path):
     (tmp_path / "bad.tsv").write_text("source1_entity_id,matched_entity_ids\nS1-1 S2-1\n\n")
     bad = {r.finding: r.n for r in tsv.check_file(spark, str(tmp_path / "bad.tsv"), "matched_entity_ids").collect()}
     assert bad == {"empty_file": 0, "comma_header": 1, "wrong_header": 1, "malformed_rows": 2}
+    assert [r.finding for r in tsv.check_file(spark, str(tmp_path / "none.tsv"), "matched_entity_ids").collect()] == ["missing_file"]
+    plan = Plan(spark, {"entities": entities(spark)})
+    tsv.package(plan.step("results"), plan.step("verdict"), str(tmp_path / "packed"))
+    assert spark.read.json(str(tmp_path / "packed/summary")).first().n_rows == 4
+    with pytest.raises(ValueError, match="fail"):
+        tsv.package(plan.step("results"), spark.createDataFrame([("FAIL",)], "verdict string"), str(tmp_path / "no"))
+    kept = tsv.stage_countries(spark.createDataFrame([("a", "India"), ("b", "US")], "id string, country string"), spark.createDataFrame([("c", "India"), ("d", "US")], "id string, country string"), ["India"])
+    assert sorted(r.id for r in kept.collect()) == ["b", "c"]
 
 
 def test_stream_gives_the_batch_s_rows(spark, tmp_path):
@@ -162,8 +245,9 @@ def test_stream_gives_the_batch_s_rows(spark, tmp_path):
     query = link_stream(records, all_rows.filter("entity_id NOT LIKE 'S1%'"), lambda df, n: got.extend(df.collect()), str(tmp_path / "check"))
     query.awaitTermination(120)
     assert query.exception() is None
-    want = Plan(spark, {"entities": all_rows}).step("candidates").collect()
-    assert sorted(map(str, got)) == sorted(map(str, want))
+    stops = Plan(spark, {"entities": all_rows.filter("entity_id NOT LIKE 'S1%'")}).step("stopwords")
+    want = Plan(spark, {"entities": all_rows, "stopwords": stops}).step("candidates").collect()
+    assert want and sorted(map(str, got)) == sorted(map(str, want))
 
 
 def test_model(spark, tmp_path):
@@ -171,7 +255,14 @@ def test_model(spark, tmp_path):
 
     out = linkage.link_model_scores(spark, SMALL).collect()
     assert out and all(0 <= r.prob <= 1 for r in out)
-    folds = linkage.link_folds(spark, SMALL).collect()
+    folds = linkage.queries()["link_folds"](spark, SMALL).collect()
     assert {f.fold for f in folds} <= set(range(5)) and len({f.s1_id for f in folds}) == len(folds)
+    held = linkage.link_model_evaluation(spark, SMALL).first()
+    assert 0 < held.n_entities < len(folds)
+    fitted = model.Ensemble.fit(linkage.Plan(spark, {"documents": spark.read.parquet(f"{SMALL}/documents.parquet")}).step("features").withColumn("label", F.col("name_exact").cast("int")), rounds=2, depth=2)
+    fitted.save(str(tmp_path / "model"))
+    rows = linkage.Plan(spark, {"documents": spark.read.parquet(f"{SMALL}/documents.parquet")}).step("features")
+    again = model.Ensemble.load(str(tmp_path / "model")).score(rows).select("s1_id", "cand_id", "prob").collect()
+    assert sorted(map(str, again)) == sorted(map(str, fitted.score(rows).select("s1_id", "cand_id", "prob").collect()))
     a, b = model.split(spark.range(500).selectExpr("concat('S1-', id % 100) AS s1_id"))
     assert a.count() + b.count() == 500 and not {r.s1_id for r in a.collect()} & {r.s1_id for r in b.collect()}
