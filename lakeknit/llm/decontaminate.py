@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 WINDOW = 13
 #: A document is contaminated if one in so many of its words is hit.
 SHARE = 20
-#: Up to so many different tokens or windows, they are literals or broadcast; beyond, the same joins run as shuffles.
-SMALL = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -25,67 +25,63 @@ def words_of(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(wid, item_id, words): the different windows of each item; one of fewer words, but not none, is one window."""
-    words = items.select(F.col(id_col).cast("string").alias("item_id"), words_of(F.col(text_col)).alias("w")).filter("size(w) > 0")
+    """(item_id, words): the different windows of each item; one of fewer words, but not none, is one window. Items without an id have none."""
+    words = items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item_id"), words_of(F.col(text_col)).alias("w")).filter("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - window + 1))
-    each = words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("words"))
-    return each.distinct().withColumn("wid", F.xxhash64("item_id", "words"))
+    return words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("words")).distinct()
 
 
-def token_counts(words: DataFrame, vocabulary: DataFrame, tokens: list[str] | None) -> DataFrame:
-    """(token, n): how often each token of the vocabulary occurs in all documents; partial sums before the shuffle."""
-    if tokens is not None:
-        found = words.select(F.explode(F.filter("words", lambda w: w.isin(tokens))).alias("token"))
-    else:
-        found = words.select(F.explode("words").alias("token"))
-    n = found.groupBy("token").count().withColumnRenamed("count", "n")
-    return n if tokens is not None else n.join(vocabulary, "token", "left_semi")
+def prefixes(windows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(token, off, wid, words): each window's rarest token in all texts and where in the window it is.
 
+    Windows with a token that no text has occur nowhere and are left out. Texts' words are
+    summed up within tasks before they are shuffled.
+    """
+    counts = texts.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    places = windows.select("wid", F.size("words").alias("size"), F.posexplode("words").alias("off", "token"))
+    ranked = places.join(counts.join(places.select("token").distinct(), "token", "left_semi"), "token")
+    best = ranked.groupBy("wid", "size").agg(F.min(F.struct("n", "token", "off")).alias("p"), F.count("*").alias("found")).filter("found = size")
+    return best.select(F.col("p.token").alias("token"), F.col("p.off").alias("off"), "wid").join(windows, "wid")
 
-def small_list(df: DataFrame, column: str, limit: int) -> list[str] | None:
-    """The values of a column of distinct values if there are at most ``limit``, else None."""
-    got = [r[0] for r in df.select(column).limit(limit + 1).collect()]
-    return sorted(got) if len(got) <= limit else None
 
+def covered(spans: Column) -> Column:
+    """How many words are in at least one of the sorted spans (start, end)."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
+    return F.aggregate(spans, zero, lambda a, s: F.struct((a.n + F.greatest(F.lit(0), s.end - F.greatest(a.upto, s.start))).alias("n"), F.greatest(a.upto, s.end).alias("upto")), lambda a: a.n)
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, contaminated) of every document row.
 
     A window can only occur where its rarest token does: its necessary prefix when tokens
-    are ordered by rarity in the whole corpus and every token must match. Documents yield
-    their occurrences of such prefix tokens; these meet the windows by an equi-join, must
-    leave room before and after (positional and length bounds), and the window's words are
-    compared with the document's. Words inside any occurrence are hit.
+    are ordered by rarity in the whole corpus and every token must match. Different windows are
+    joined, whichever items have them. Texts yield the places of their words, and nothing else;
+    those of prefix tokens meet the windows, must leave room before and after (positional and
+    length bounds), and come to the text once, where the words themselves are compared. Words inside
+    any occurrence are hit. One plan serves any number of items; the sides of its joins are broadcast
+    only if they are small. Copies of a text, told by two hashes, are searched once.
 
     Nulls and empty texts have no words and are clean; items without words or id have no
     windows; repeated rows stay apart. ``carry`` names further columns to keep.
     """
-    windows = item_windows(items.filter(F.col("item_id").isNotNull()), window)
-    vocabulary = windows.select(F.explode("words").alias("token")).distinct()
-    tokens = small_list(vocabulary, "token", small)
-    base = docs.select(F.monotonically_increasing_id().alias("__rid"), F.col(id_col).alias("doc_id"), *[F.col(c) for c in carry], words_of(F.col(text_col)).alias("words"))
-    counts = token_counts(docs.select(words_of(F.col(text_col)).alias("words")), vocabulary, tokens)
-    ranked = windows.select("wid", "item_id", "words", F.posexplode("words").alias("off", "token")).join(counts, "token", "left")
-    prefix = ranked.groupBy("wid", "item_id", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "off")).alias("p"))
-    # Windows with a token that no document has occur nowhere.
-    probes = prefix.filter("p.n > 0").select(F.col("p.token").alias("token"), F.col("p.off").alias("off"), "item_id", F.col("words").alias("wanted"))
-    from .common import staged
-
-    probes = staged(probes, "probes")
-    keys = small_list(probes.select("token").distinct(), "token", small) if tokens is not None else None
-    few = keys is not None and probes.count() <= small * 4
-    here = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("token")))
-    if keys is not None:
-        here = F.filter(F.transform("words", lambda w, i: F.when(w.isin(keys), F.struct(i.alias("at"), w.alias("token")))), lambda x: x.isNotNull()) if keys else F.array().cast("array<struct<at:int,token:string>>")
-    spots = base.select("__rid", "doc_id", *carry, F.size("words").alias("n_words"), "words", here.alias("here")).select("__rid", "doc_id", *carry, "n_words", "words", F.explode_outer("here").alias("x"))
-    spots = spots.select("__rid", "doc_id", *carry, "n_words", F.when(F.col("x").isNotNull(), F.col("words")).alias("words"), "x.at", "x.token")
-    met = spots.join(F.broadcast(probes) if few else probes, "token", "left")
-    start, size = F.col("at") - F.col("off"), F.size("wanted")
-    fits = (start >= 0) & (start + size <= F.col("n_words")) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, size) == F.col("wanted"))
-    hit = F.when(fits, F.struct(start.alias("start"), (start + size).alias("end"), "item_id"))
-    grouped = met.select("__rid", "doc_id", *carry, "n_words", hit.alias("hit")).groupBy("__rid", "doc_id", *carry, "n_words").agg(F.collect_set("hit").alias("hits"))
-    spans = F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.struct(h.start.alias("start"), h.end.alias("end")))))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
-    covered = F.aggregate(spans, zero, lambda a, s: F.struct((a.n + F.greatest(F.lit(0), s.end - F.greatest(a.upto, s.start))).alias("n"), F.greatest(a.upto, s.end).alias("upto")), lambda a: a.n)
-    out = grouped.select("doc_id", *carry, F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("hits", lambda h: h.item_id))).alias("items"))
+    each = staged(item_windows(items, window).withColumn("wid", F.xxhash64("words")), "windows")
+    windows = staged(each.select("wid", "words").distinct(), "different")
+    marks = (F.xxhash64(text_col).alias("t1"), F.xxhash64(text_col, F.lit("second")).alias("t2"))
+    texts = docs.select(*marks, words_of(F.col(text_col)).alias("words"))
+    probes = staged(prefixes(windows, texts), "probes")
+    spots = texts.select("t1", "t2", F.size("words").alias("n_words"), F.posexplode("words").alias("at", "token"))
+    start, size = F.col("at") - F.col("off"), F.size("words")
+    met = spots.join(probes, "token").filter((start >= 0) & (start + size <= F.col("n_words"))).select("t1", "t2", start.alias("start"), "wid", "words").distinct()
+    asked = staged(met.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "wid", "words")).alias("asked")), "asked")
+    own = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in carry], *marks, words_of(F.col(text_col)).alias("words"))
+    whole = own.join(asked, ["t1", "t2"], "left")
+    fits = F.filter("asked", lambda a: F.slice("words", a["start"] + 1, F.size(a["words"])) == a["words"])
+    hits = F.transform(fits, lambda a: F.struct(a["start"].alias("start"), (a["start"] + F.size(a["words"])).alias("end"), a["wid"].alias("wid"), F.xxhash64(a["words"], F.lit("second")).alias("second")))
+    judged = whole.select("doc_id", *carry, "t1", "t2", F.size("words").cast("long").alias("n_words"), F.when(F.size("asked") > 0, hits).alias("hits"))
+    rows = staged(judged.withColumn("spans", F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))))).select("doc_id", *carry, "t1", "t2", "n_words", F.when(F.size("spans") > 0, covered(F.col("spans"))).otherwise(F.lit(0)).cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda h: F.struct(h["wid"].alias("wid"), h["second"].alias("second")))).alias("found")), "judged")
+    # Items by text, not by row, so that copies cost nothing.
+    found = rows.filter("n_hit > 0").groupBy("t1", "t2").agg(F.min("found").alias("found")).select("t1", "t2", F.explode("found").alias("w")).select("t1", "t2", F.col("w.wid").alias("wid"), F.col("w.second").alias("second"))
+    owners = each.select("wid", F.xxhash64("words", F.lit("second")).alias("second"), "item_id")
+    names = found.join(owners, ["wid", "second"]).groupBy("t1", "t2").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    out = rows.drop("found").join(names, ["t1", "t2"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.select("doc_id", *carry, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).alias("contaminated"))
