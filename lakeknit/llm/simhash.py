@@ -10,13 +10,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_documents, staged
+from .common import connected_components, discard, map_documents, staged
 
 SHINGLE = 4
 SEED = 42
 BUDGET = 4
-#: Up to so many different fingerprints, three tries with rotated bits are joined; beyond, two, which prune later but whose pairs grow slower.
-THREE_TRIES = 1 << 23
+#: Tries, each with another part of the bits first.
+TRIES = 3
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -49,43 +49,33 @@ def _rotated(v: Column, by: int) -> Column:
     return F.shiftleft(v, by).bitwiseOR(F.shiftrightunsigned(v, 64 - by)) if by else v
 
 
-def trie_links(fps: DataFrame, budget: int = BUDGET, tries: int | None = None) -> DataFrame:
+def trie_links(fps: DataFrame, budget: int = BUDGET, tries: int = TRIES) -> DataFrame:
     """(a, b), a <> b: all pairs of the different values in ``fps.fp`` with at most ``budget`` differing bits.
 
     The bits are cut into as many blocks as there are tries; in a pair, one block has at
     most budget // tries differing bits. Each trie has its block first. Pairs of nodes are
-    traversed together, a few levels at a time: the differing bits add up, and a pair ends
-    where they exceed the block's share or, below the block, the whole budget. Each step is
-    an equi-join of node pairs with their nodes' children, so no bucket is ever enumerated.
+    traversed together, a few levels at a time down to the leaves: the differing bits add up, and
+    a pair ends where they exceed the block's share or, below the block, the whole budget.
+    Each step is an equi-join of node pairs with their nodes' children. Different fingerprints
+    that are all within the budget of each other are listed pair by pair.
     """
-    spark = fps.sparkSession
-    tries = tries or (3 if fps.count() <= THREE_TRIES else 2)
     block, share = 64 // tries, budget // tries
     leaves = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(r).alias("rot"), _rotated(F.col("fp"), r * block).alias("v")) for r in range(tries)])).alias("x")).select("x.rot", "x.v")
-    depths = [10, 16, *range(21, block, 5), block]
+    depths = [d for d in (10, 16, *range(21, block, 5), block, *range(block + 12, 60, 12)) if d < 64]
 
     def prefix(depth: int) -> Column:
-        return F.shiftrightunsigned("v", 64 - depth)
+        return F.shiftrightunsigned("v", 64 - depth) if depth < 64 else F.col("v")
 
     root = leaves.select("rot", prefix(depths[0]).alias("a")).distinct()
     flips = [sum(1 << i for i in c) for n in range(share + 1) for c in combinations(range(depths[0]), n)]
-    masks = spark.createDataFrame([(flips,)], "flips array<long>").first().flips
-    pairs = root.select("rot", "a", F.explode(F.array(*map(F.lit, masks))).alias("m")).select("rot", "a", F.col("a").bitwiseXOR(F.col("m")).cast("long").alias("b"), F.bit_count("m").alias("diff")).filter("a <= b")
+    pairs = root.select("rot", "a", F.explode(F.array(*[F.lit(m) for m in flips])).alias("m")).select("rot", "a", F.col("a").bitwiseXOR(F.col("m").cast("long")).alias("b")).filter("a <= b")
     pairs = pairs.join(root.select("rot", F.col("a").alias("b")), ["rot", "b"], "left_semi")
     for depth, below in zip(depths, [*depths[1:], 64], strict=True):
-        child = prefix(below).cast("long") if below < 64 else F.col("v")
-        nodes = leaves.select("rot", prefix(depth).alias("up"), child.alias("v")).distinct()
-        low = F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))) if below == 64 else F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))
-        found = (
-            pairs.join(nodes.select("rot", F.col("up").alias("a"), F.col("v").alias("va")), ["rot", "a"])
-            .join(nodes.select("rot", F.col("up").alias("b"), F.col("v").alias("vb")), ["rot", "b"])
-            .select("rot", "va", "vb", low.alias("diff"), (F.col("a") == F.col("b")).alias("same"))
-        )
-        if below == 64:
-            found = found.filter((F.col("diff") <= budget) & F.when(F.col("same"), F.col("va") < F.col("vb")).otherwise(F.lit(True)))
-        else:
-            found = found.filter((F.col("diff") <= share) & F.when(F.col("same"), F.col("va") <= F.col("vb")).otherwise(F.lit(True)))
-        pairs = found.select("rot", F.col("va").alias("a"), F.col("vb").alias("b"), "diff")
+        nodes = leaves.select("rot", prefix(depth).alias("up"), prefix(below).alias("c")).distinct()
+        low, high = (nodes.select("rot", F.col("up").alias(up), F.col("c").alias(child)) for up, child in (("a", "va"), ("b", "vb")))
+        near = F.expr(f"bit_count(va ^ vb) <= {share if below <= block else budget} AND (p.a <> p.b OR va {'<' if below == 64 else '<='} vb)")
+        found = pairs.join(low, ["rot", "a"]).alias("p").join(high.alias("h"), (F.col("p.rot") == F.col("h.rot")) & (F.col("p.b") == F.col("h.b")) & near)
+        pairs = found.select("p.rot", F.col("va").alias("a"), F.col("vb").alias("b"))
 
     def back(c: str) -> Column:
         out = F.col(c)
@@ -93,7 +83,7 @@ def trie_links(fps: DataFrame, budget: int = BUDGET, tries: int | None = None) -
             out = F.when(F.col("rot") == r, _rotated(F.col(c), 64 - r * block)).otherwise(out)
         return out
 
-    return pairs.select(back("a").alias("a"), back("b").alias("b"))
+    return pairs.select(back("a").alias("a"), back("b").alias("b")).distinct()
 
 
 def components(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -105,7 +95,9 @@ def components(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
     """
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
     roots = connected_components(trie_links(classes, budget))
-    named = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
+    named = staged(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root")), "named")
+    discard(roots)
+    discard(classes)
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return prints.join(named.join(lows, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 

@@ -82,6 +82,21 @@ def test_trie_join_loses_no_link(spark, tries):
     assert got == want
 
 
+def fingerprint_by_force(text):
+    import xxhash
+
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    own = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in own]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def test_fingerprints_bit_by_bit(spark):
+    texts = ["", "a", "A b\x0bC", "one two three four five one two three four", "\u00c9 \u00e9 X\u00a0Y z w", "w " * 50] + [r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).collect()]
+    got = {r.doc_id: r.fp for r in simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i] % 2**64 == fingerprint_by_force(t) for i, t in enumerate(texts))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)] + [(7, 7)]
