@@ -14,16 +14,66 @@ from pyspark.sql import DataFrame
 
 from .common import map_documents, worker_cache
 
-OTHER, LETTER, NUMBER, SPACE, BLANK, TICK = range(6)
-#: What follows an apostrophe in a piece of its own, and Unicode's White_Space.
-SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Classes of codepoints; letters that a suffix after an apostrophe may have are classes of their own.
+CLASSES = OTHER, LETTER, NUMBER, SPACE, BLANK, TICK, ENDING, ARE, HAVE, WILL, LAST = range(11)
+#: Unicode's White_Space, and the letters of 's 't 'm 'd, 're, 've and 'll.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+SUFFIX_LETTERS = {"s": ENDING, "t": ENDING, "m": ENDING, "d": ENDING, "r": ARE, "v": HAVE, "l": WILL, "e": LAST}
 #: Pieces whose merges a worker remembers, twice; beyond, those that weren't seen lately are forgotten.
 CACHE_PIECES = 1 << 18
 #: Longer pieces are merged with a heap.
 SHORT_PIECE = 48
-#: States of the scan: the next codepoint starts a match by itself; it continues or joins the one before.
-FRESH, JOINED = 0, 1
+#: States after a codepoint: nothing that counts, in letters, numbers or other marks, a blank, an apostrophe that begins
+#: a match, one letter of a suffix of two (three kinds), a whole suffix.
+STATES = PLAIN, LETTERS, NUMBERS, OTHERS, BLANKS, TICKED, RE, VE, LL, DONE = range(10)
+
+
+def step(kind: int, state: int) -> int:
+    """The state after a codepoint of a class."""
+    if kind == TICK:
+        # After a blank or another mark it belongs to what came before.
+        return OTHERS if state in (OTHERS, BLANKS, TICKED) else TICKED
+    if kind in (ENDING, ARE, HAVE, WILL) and state == TICKED:
+        return {ENDING: DONE, ARE: RE, HAVE: VE, WILL: LL}[kind]
+    if kind == LAST and state in (RE, VE) or kind == WILL and state == LL:
+        return DONE
+    return {OTHER: OTHERS, NUMBER: NUMBERS, SPACE: PLAIN, BLANK: BLANKS}.get(kind, LETTERS)
+
+
+class Transitions:
+    """The functions of states that codepoints and spans of them have, numbered, and how two of them compose."""
+
+    def __init__(self) -> None:
+        functions = [tuple(step(k, s) for s in STATES) for k in CLASSES]
+        number: dict[tuple, int] = {}
+        for f in functions:
+            number.setdefault(f, len(number))
+        self.of_class = np.array([number[f] for f in functions], dtype=np.uint8)
+        while True:  # until every composition has a number
+            known = list(number)
+            for f in known:
+                for g in known:
+                    number.setdefault(tuple(g[x] for x in f), len(number))
+            if len(number) == len(known):
+                break
+        self.table = np.array(known, dtype=np.uint8)
+        self.constant = np.array([len(set(f)) == 1 for f in known])
+        self.then = np.array([[number[tuple(g[x] for x in f)] for g in known] for f in known], dtype=np.uint8)
+
+    def scan(self, functions: np.ndarray, start: int = PLAIN) -> np.ndarray:
+        """The state after each codepoint, by a parallel scan over its function and those before it.
+
+        Composition is associative, so each pass joins spans twice as long; it ends as soon as
+        every span's function is constant, so that what came before it no longer counts, or reaches the start.
+        """
+        spans, width = functions, 1
+        while width < len(spans) and not self.constant[spans[width:]].all():
+            spans = np.concatenate([spans[:width], self.then[spans[:-width], spans[width:]]])
+            width *= 2
+        return self.table[spans, start]
+
+
+TRANSITIONS = Transitions()
 
 
 def class_table() -> np.ndarray:
@@ -34,31 +84,14 @@ def class_table() -> np.ndarray:
         table = np.array([LETTER if k == "L" else NUMBER if k == "N" else OTHER for k in first], dtype=np.uint8)
         table[WHITE] = SPACE
         table[0x20], table[0x27] = BLANK, TICK
+        for letter, kind in SUFFIX_LETTERS.items():
+            table[ord(letter)] = kind
         kept["table"] = table
     return kept["table"]
 
 
-def scan_states(functions: np.ndarray, start: int) -> np.ndarray:
-    """The state before each codepoint, by a parallel scan over transition functions.
-
-    functions[i] holds two bits: the state after codepoint i if it was 0, and if it was 1.
-    Composition is associative, so each pass joins spans twice as long; it ends as soon as
-    every span's function is constant or reaches the start.
-    """
-    zero, one = functions & 1, functions >> 1
-    step = 1
-    while step < len(zero) and (zero[step:] != one[step:]).any():
-        before0, before1 = zero[:-step], one[:-step]
-        new0, new1 = np.where(before0, one[step:], zero[step:]), np.where(before1, one[step:], zero[step:])
-        zero, one = np.concatenate([zero[:step], new0]), np.concatenate([one[:step], new1])
-        step *= 2
-    after = one if start else zero
-    return np.concatenate([[start], after[:-1]]).astype(np.uint8)
-
-
-#: The transition of each class: an apostrophe after a blank or another mark belongs to what came before.
-TRANSITIONS = np.zeros(6, dtype=np.uint8)
-TRANSITIONS[[OTHER, BLANK, TICK]] = JOINED | JOINED << 1
+#: What a change of means a new piece, for each class.
+_KINDS = np.array([OTHER, LETTER, NUMBER, SPACE, SPACE, OTHER, LETTER, LETTER, LETTER, LETTER, LETTER], dtype=np.uint8)
 
 
 def boundaries(codepoints: np.ndarray) -> np.ndarray:
@@ -67,7 +100,7 @@ def boundaries(codepoints: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(1, dtype=np.int64)
     full = class_table()[codepoints]
-    kind = np.where(full == TICK, OTHER, np.where(full == BLANK, SPACE, full))
+    kind = _KINDS[full]
     new = np.empty(n + 1, dtype=bool)
     new[0] = new[n] = True
     new[1:n] = kind[1:] != kind[:-1]
@@ -75,17 +108,11 @@ def boundaries(codepoints: np.ndarray) -> np.ndarray:
     ends = np.flatnonzero(new[1:n] & (kind[:-1] == SPACE)) + 1
     new[ends - 1] = True
     new[ends[full[ends - 1] == BLANK]] = False
-    if (full == TICK).any():
-        state = scan_states(TRANSITIONS[full], FRESH)
-        at = np.flatnonzero((full == TICK) & (state == FRESH))
-        at = at[at + 1 < n]
-        pad = np.concatenate([codepoints, np.zeros(2, dtype=codepoints.dtype)])
-        done = np.zeros(len(at), dtype=bool)
-        for suffix in SUFFIXES:
-            hit = ~done & np.logical_and.reduce([pad[at + 1 + k] == ord(c) for k, c in enumerate(suffix)])
-            new[at[hit] + 1] = False
-            new[at[hit] + 1 + len(suffix)] = True
-            done |= hit
+    # A whole suffix is one piece with its apostrophe, whatever follows.
+    state = TRANSITIONS.scan(TRANSITIONS.of_class[full])
+    done = np.flatnonzero(state == DONE)
+    new[np.where(state[done - 1] == TICKED, done, done - 1)] = False
+    new[done + 1] = True
     return np.flatnonzero(new)
 
 
@@ -178,13 +205,14 @@ def read_ranks(path: str) -> bytes:
 
 
 def _map(docs: DataFrame, ranks_path: str, columns: str, one: Callable[[Ranks, bytes], tuple], id_col: str, text_col: str) -> DataFrame:
-    lines = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    content = read_ranks(ranks_path)
+    lines, digest = docs.sparkSession.sparkContext.broadcast(content), hashlib.sha256(content).hexdigest()
 
     def make() -> Callable[[list], list[tuple]]:
         kept = worker_cache("bpe_ranks")
-        if ranks_path not in kept:
-            kept[ranks_path] = Ranks(lines.value)
-        ranks = kept[ranks_path]
+        if kept.get("lines") != digest:
+            kept["lines"], kept["ranks"] = digest, Ranks(lines.value)
+        ranks = kept["ranks"]
         return lambda texts: [one(ranks, t or b"") for t in texts]
 
     return map_documents(docs, make, columns, id_col, text_col)

@@ -88,7 +88,8 @@ def compare_neighbours(docs: DataFrame, partitions: int | None = None, id_col: s
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     order = F.col("doc_id").desc_nulls_last()
-    placed = slim.repartitionByRange(n, order).sortWithinPartitions(order, "text")
+    # The text splits ranges of null or repeated ids, too.
+    placed = slim.repartitionByRange(n, order, "text").sortWithinPartitions(order, "text")
     schema = f"part int, kind int, doc_id {kind}, {_EDITS}, text string"
     fields = spark_schema_to_arrow(docs.sparkSession, schema)
 

@@ -29,7 +29,7 @@ def reference(ranks):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.sampled_from(["'", "'s", "'re", "'ll", " ", "  ", "\n", "\t", "a", "Z", "1", "\u00e9", "\u4e2d", "!", "\u00a0", "\u3000", "\x1c", "\u0301", "\U0001f600", "'d", "\u017f"]), max_size=20))
+@given(st.lists(st.sampled_from(["'", "'s", "'re", "'ll", "'ve", "'l", "r", "e", "v", "l", " ", "  ", "\n", "\t", "a", "Z", "1", "\u00e9", "\u4e2d", "!", "\u00a0", "\u3000", "\x1c", "\u0301", "\U0001f600", "'d", "\u017f"]), max_size=20))
 def test_bpe_is_the_library_s(ranks, reference, parts):
     text = "".join(parts)
     ids = ranks.encode(text.encode())
@@ -44,14 +44,26 @@ def test_bpe_long_pieces(ranks, reference):
 
 
 def test_scan_agrees_with_a_loop():
-    rng = np.random.default_rng(3)
-    for _ in range(50):
-        f = rng.integers(0, 4, 40).astype(np.uint8)
-        state, want = 0, []
-        for x in f:
-            want.append(state)
-            state = (int(x) >> state) & 1
-        assert bpe.scan_states(f, 0).tolist() == want
+    rng, t = np.random.default_rng(3), bpe.TRANSITIONS
+    assert len({tuple(f) for f in t.table.tolist()}) > len(bpe.CLASSES) and not t.constant.all()
+    for n in (1, 2, 3, 40, 500):
+        for kinds in (rng.integers(0, 11, n), rng.choice([bpe.TICK, bpe.ARE, bpe.LAST, bpe.WILL, bpe.ENDING], n)):
+            state, want = bpe.PLAIN, []
+            for k in kinds.tolist():
+                state = bpe.step(k, state)
+                want.append(state)
+            assert t.scan(t.of_class[kinds]).tolist() == want
+
+
+def test_bpe_query_against_the_library(spark, ranks, reference):
+    import hashlib
+
+    texts = ["", None, "it's we'll they're 's 'S ''s d'd'll I've'", "a'b 'lll \u017f's", "x " * 3000 + "'re'", "Caf\u00e9 d\u2019or 12'34"]
+    got = {r.doc_id: r for r in bpe.round_trips(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("byte_bpe_50k.tiktoken")).collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    for i, t in enumerate(texts):
+        ids = reference.encode_ordinary(t or "")
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode()))
 
 
 def components_by_force(prints, budget):
