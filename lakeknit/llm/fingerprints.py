@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_documents, slices, spark_schema_to_arrow, staged
@@ -118,7 +118,8 @@ def compare_neighbours(docs: DataFrame, partitions: int | None = None, id_col: s
     rows = staged(placed.mapInArrow(run, schema), "neighbours")
     # One row for each partition: its number, and the number of the next one that has rows.
     parts = rows.filter(F.col("kind") == HEAD).select("part")
-    turn = parts.agg(F.sort_array(F.collect_list("part")).alias("ps")).select(F.posexplode("ps").alias("i", "part"), "ps").select("part", F.element_at("ps", (F.pmod(F.col("i") + 1, F.size("ps")) + 1).cast("int")).alias("next"))
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    turn = parts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.first("part").over(every)).alias("next"))
     heads = rows.filter(F.col("kind") == HEAD).select(F.col("part").alias("next"), F.col("text").alias("after"))
     tails = rows.filter(F.col("kind") == TAIL).select("part", "doc_id", "text").join(turn, "part").join(heads, "next").select("doc_id", "text", "after")
     ends_fields = spark_schema_to_arrow(docs.sparkSession, f"doc_id {kind}, {_EDITS}")

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 
 from .common import fit_sample, map_documents
 
-#: Buckets of hashed character trigrams, the weight of unseen ones, EM rounds, and the penalty of a further language.
+#: Buckets of hashed character trigrams, the weight of unseen ones, the change of a proportion from which EM goes on, and the penalty of a further language.
 BUCKETS = 1 << 14
 SMOOTH = 0.05
-ROUNDS = 12
+SETTLED = 1e-4
 PENALTY = 3.0
 UNDETERMINED = "und"
 
@@ -47,8 +47,10 @@ class Mixture:
         pi = np.full(p.shape[1], 1 / p.shape[1])
         if p.shape[1] > 1:
             total = n.sum()
-            for _ in range(ROUNDS):
-                pi = pi * ((n / (p @ pi)) @ p) / total
+            while True:  # the likelihood grows each round, so the proportions settle
+                last, pi = pi, pi * ((n / (p @ pi)) @ p) / total
+                if np.abs(pi - last).max() < SETTLED:
+                    break
         return pi, float(n @ np.log(p @ pi))
 
     def predict(self, data: bytes) -> tuple[str, float]:
