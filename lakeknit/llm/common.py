@@ -126,7 +126,8 @@ def fit_sample(docs: DataFrame, label: str, learn: Column, id_col: str, text_col
     per_class = max(1, min(per_class, FIT_ROWS // max(1, classes)))
     chars = max(1, min(FIT_CHARS, 2 * FIT_CHARS // max(1, classes)))
     order = ("__hash", "__id")
-    ids = rows.select(F.col(label).alias("__label"), F.xxhash64(id_col).alias("__hash"), F.col(id_col).alias("__id"), F.length(text_col).alias("__n"))
+    size = F.col("__fit_chars") if "__fit_chars" in docs.columns else F.length(text_col)
+    ids = rows.select(F.col(label).alias("__label"), F.xxhash64(id_col).alias("__hash"), F.col(id_col).alias("__id"), size.alias("__n"))
     # First within 64 parts of each class, so that no task gets more than a bounded number of rows from each part.
     part = F.row_number().over(Window.partitionBy("__label", F.pmod("__hash", F.lit(64))).orderBy(*order))
     some = ids.withColumn("__rank", part).filter(F.col("__rank") <= per_class).drop("__rank")

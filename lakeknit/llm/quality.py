@@ -152,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "qua
     Labels with a null id or label count as missing; of repeated ids' labels, the smallest is taken.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__lid")).agg(F.min(label_col).alias("__label"))
-    rows = docs.select(id_col, text_col).join(known.filter(F.col("__label").isin(0, 1)), F.col(id_col) == F.col("__lid")).select(id_col, text_col, "__label")
+    texts = docs.select(id_col, text_col, F.length(text_col).alias("__fit_chars"))  # measured here, so that only ids and lengths are shuffled to be ranked
+    rows = texts.join(known.filter(F.col("__label").isin(0, 1)), F.col(id_col) == F.col("__lid")).select(id_col, text_col, "__fit_chars", "__label")
     return Neighbours(fit_sample(rows, "__label", learn, id_col, text_col, TRAIN_PER_CLASS))
 
 
