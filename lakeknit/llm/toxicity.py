@@ -248,6 +248,7 @@ class Machine:
         told = telling(bad, good)
         marks = diverse(told, landmarks // 2, [], FRESH)
         marks += diverse(rng.sample(every, min(POOL, len(every))), landmarks - len(marks), marks)
+        self.marks = marks
         self.index(marks)
         self.whiten = np.eye(len(marks), dtype=np.float32)
         values, vectors = np.linalg.eigh(self.features(marks).astype(float))
@@ -282,7 +283,8 @@ class Machine:
             done, w = np.allclose(new, w, atol=1e-7), new
             if done:
                 break
-        self.own, self.bias = (self.parts @ (self.whiten @ w[:-1])).astype(np.float32)[self.thirds], float(w[-1])
+        self.alpha, self.bias = self.whiten @ w[:-1], float(w[-1])
+        self.own = (self.parts @ self.alpha).astype(np.float32)[self.thirds]
 
     @staticmethod
     def summary(scores: np.ndarray) -> list[float]:

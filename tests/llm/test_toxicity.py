@@ -41,3 +41,21 @@ def test_features_are_kernels_with_every_landmark():
         t = np.array([ord(c) for c in mark], dtype=np.uint32)
         want = toxicity.kernel(s, t) / np.sqrt(np.maximum(toxicity.self_kernel(s), 1e-12) * toxicity.kernel(t[None, :], t)[0])
         assert np.allclose(m.features(units)[:, k], want, atol=1e-4)
+
+
+def test_scores_are_the_landmarks_kernels():
+    """A unit's score is the machine's sum over landmarks of normalised kernels, each counted subsequence by subsequence."""
+    from itertools import combinations
+
+    def force(s, t):
+        at = lambda x: [("".join(x[k] for k in i), toxicity.DECAY ** (i[-1] - i[0] + 1)) for i in combinations(range(len(x)), toxicity.ORDER)]
+        return sum(a * b for x, a in at(s) for y, b in at(t) if x == y)
+
+    rng = random.Random(11)
+    told = [(1, " ".join(words(rng, 12)) + " grumbus") for _ in range(15)] + [(0, " ".join(words(rng, 12))) for _ in range(30)]
+    m = toxicity.Machine(told, landmarks=20)
+    for u in ("^grumbus$", "^grum.bus$", "^gra$", "^babebi$", "xy"):
+        want = sum(a * force(u, k) / np.sqrt(force(u, u) * force(k, k)) for a, k in zip(m.alpha, m.marks, strict=True)) if len(u) >= toxicity.ORDER else 0.0
+        assert abs(m.units_scores([u])[0] - want - m.bias) < 2e-3, u
+    assert m.units_scores(["^grumbus$"])[0] > 0.5
+    assert m.scores([b"a grumbus here"])[0] > m.scores([b"a bridge here"])[0]
