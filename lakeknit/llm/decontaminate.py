@@ -10,6 +10,8 @@ from .common import staged
 WINDOW = 13
 #: A document is contaminated if one in so many of its words is hit.
 SHARE = 20
+#: A list of so many tokens at most (some 100 MB as a table in memory) is broadcast; a longer one is joined by shuffles.
+BROADCAST_TOKENS = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -31,15 +33,20 @@ def item_windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id"
     return words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("words")).distinct()
 
 
-def prefixes(windows: DataFrame, texts: DataFrame) -> DataFrame:
+def prefixes(windows: DataFrame, texts: DataFrame, broadcast: int = BROADCAST_TOKENS) -> DataFrame:
     """(token, off, wid, words): each window's rarest token in all texts and where in the window it is.
 
     Windows with a token that no text has occur nowhere and are left out. Texts' words are
-    summed up within tasks before they are shuffled.
+    summed up within tasks before they are shuffled; if the windows' tokens may be broadcast, only those are.
     """
-    counts = texts.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     places = windows.select("wid", F.size("words").alias("size"), F.posexplode("words").alias("off", "token"))
-    ranked = places.join(counts.join(places.select("token").distinct(), "token", "left_semi"), "token")
+    tokens, words = staged(places.select("token").distinct(), "tokens"), texts.select(F.explode("words").alias("token"))
+    count = F.count("*").alias("n")
+    if tokens.count() <= broadcast:
+        counts = words.join(F.broadcast(tokens), "token", "left_semi").groupBy("token").agg(count)
+    else:
+        counts = words.groupBy("token").agg(count).join(tokens, "token", "left_semi")
+    ranked = places.join(counts, "token")
     best = ranked.groupBy("wid", "size").agg(F.min(F.struct("n", "token", "off")).alias("p"), F.count("*").alias("found")).filter("found = size")
     return best.select(F.col("p.token").alias("token"), F.col("p.off").alias("off"), "wid").join(windows, "wid")
 
@@ -50,7 +57,7 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, lambda a, s: F.struct((a.n + F.greatest(F.lit(0), s.end - F.greatest(a.upto, s.start))).alias("n"), F.greatest(a.upto, s.end).alias("upto")), lambda a: a.n)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), broadcast: int = BROADCAST_TOKENS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, contaminated) of every document row.
 
     A window can only occur where its rarest token does: its necessary prefix when tokens
@@ -58,8 +65,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     joined, whichever items have them. Texts yield the places of their words, and nothing else;
     those of prefix tokens meet the windows, must leave room before and after (positional and
     length bounds), and come to the text once, where the words themselves are compared. Words inside
-    any occurrence are hit. One plan serves any number of items; the sides of its joins are broadcast
-    only if they are small. Copies of a text, told by two hashes, are searched once.
+    any occurrence are hit. Lists of tokens are broadcast up to ``broadcast`` of them; beyond, the
+    same joins shuffle. Copies of a text, told by two hashes, are searched once.
 
     Nulls and empty texts have no words and are clean; items without words or id have no
     windows; repeated rows stay apart. ``carry`` names further columns to keep.
@@ -68,8 +75,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     windows = staged(each.select("wid", "words").distinct(), "different")
     marks = (F.xxhash64(text_col).alias("t1"), F.xxhash64(text_col, F.lit("second")).alias("t2"))
     texts = docs.select(*marks, words_of(F.col(text_col)).alias("words"))
-    probes = staged(prefixes(windows, texts), "probes")
+    probes = staged(prefixes(windows, texts, broadcast), "probes")
     spots = texts.select("t1", "t2", F.size("words").alias("n_words"), F.posexplode("words").alias("at", "token"))
+    keys = probes.select("token").distinct()
+    if probes.count() <= broadcast:
+        spots = spots.join(F.broadcast(keys), "token", "left_semi")
     start, size = F.col("at") - F.col("off"), F.size("words")
     met = spots.join(probes, "token").filter((start >= 0) & (start + size <= F.col("n_words"))).select("t1", "t2", start.alias("start"), "wid", "words").distinct()
     asked = staged(met.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "wid", "words")).alias("asked")), "asked")

@@ -166,8 +166,8 @@ def test_substrings_against_brute_force(spark, window):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
 
 
-@pytest.mark.parametrize("threshold", ["10m", "-1"])
-def test_decontamination_both_ways(spark, threshold):
+@pytest.mark.parametrize(("threshold", "most"), [("10m", 1 << 20), ("-1", 3)])
+def test_decontamination_both_ways(spark, threshold, most):
     """With small sides broadcast, and with every join shuffled."""
     rng = random.Random(4)
     usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -176,7 +176,7 @@ def test_decontamination_both_ways(spark, threshold):
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 30)))) for i in range(12)] + [(90, ""), (91, None), (92, "w1 W2")]
     texts = [" ".join(rng.choice([rng.choice(words), rng.choice(items)[1] or ""]) for _ in range(rng.randint(0, 12))) for _ in range(80)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), broadcast=most).collect()}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     for i, t in enumerate(texts):
