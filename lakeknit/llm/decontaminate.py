@@ -83,8 +83,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     start, size = F.col("at") - F.col("off"), F.size("words")
     met = spots.join(probes, "token").filter((start >= 0) & (start + size <= F.col("n_words"))).select("t1", "t2", start.alias("start"), "wid", "words").distinct()
     asked = staged(met.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "wid", "words")).alias("asked")), "asked")
-    own = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in carry], *marks, words_of(F.col(text_col)).alias("words"))
-    whole = own.join(asked, ["t1", "t2"], "left")
+    own = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in carry], *marks, F.col(text_col).alias("__text"))
+    whole = own.join(asked, ["t1", "t2"], "left").withColumn("words", words_of(F.col("__text")))  # texts move, their words would take twice the room
     fits = F.filter("asked", lambda a: F.slice("words", a["start"] + 1, F.size(a["words"])) == a["words"])
     hits = F.transform(fits, lambda a: F.struct(a["start"].alias("start"), (a["start"] + F.size(a["words"])).alias("end"), a["wid"].alias("wid"), F.xxhash64(a["words"], F.lit("second")).alias("second")))
     judged = whole.select("doc_id", *carry, "t1", "t2", F.size("words").cast("long").alias("n_words"), F.when(F.size("asked") > 0, hits).alias("hits"))
