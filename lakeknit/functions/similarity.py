@@ -39,11 +39,13 @@ def transposed(d: Spark, x: str, y: str) -> str:
 
 
 def jaro_winkler_one(a: str, b: str) -> float:
-    """Jaro's similarity, raised by a tenth of the rest for each of up to four common first characters."""
+    """Jaro's similarity of the UTF-8 bytes, as the SQL counts them, raised by a tenth of the rest for each of up to four common first characters."""
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
+    start = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
+    a, b = a.encode(), b.encode()
     reach = max(0, max(len(a), len(b)) // 2 - 1)
     free, left = [True] * len(b), []
     for i, c in enumerate(a):
@@ -56,8 +58,7 @@ def jaro_winkler_one(a: str, b: str) -> float:
     right = [c for c, open_ in zip(b, free, strict=True) if not open_]
     m, moved = len(left), sum(x != y for x, y in zip(left, right, strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
-    start = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
-    return jaro + 0.1 * start * (1 - jaro)
+    return jaro + start / 10 * (1 - jaro)
 
 
 def register(spark: SparkSession) -> None:

@@ -179,7 +179,7 @@ def features(d: Spark, p: Profile) -> str:
         "name_jaro_addr_interaction": "name_jw * addr_jw",
         "distinctive_overlap": "token_overlap_ratio * distinctiveness_score",
     }
-    outer = ", ".join(f"round({own.get(k, k)}, 6) AS {k}" for k in FEATURES)
+    outer = ", ".join(f"{d.round(own.get(k, k), 6)} AS {k}" for k in FEATURES)
     long_names = f"CASE WHEN {d.size('x.name_tokens')} >= 2 AND {d.size('y.name_tokens')} >= 2 THEN 1 ELSE 0 END AS long_names"
     return f"SELECT s1_id, cand_id, country, x_acronym, y_acronym, meet_digits, same_phone, same_name, long_names, {outer} FROM (SELECT c.s1_id, c.cand_id, c.country, x.acronym AS x_acronym, y.acronym AS y_acronym, {long_names}, CASE WHEN x.name = y.name THEN 1 ELSE 0 END AS same_name, {meet('digits')} AS meet_digits, CASE WHEN x.phone <> '' AND x.phone = y.phone THEN 1 ELSE 0 END AS same_phone, {inner} FROM @candidates AS c JOIN @profiles AS x ON c.s1_id = x.entity_id JOIN @profiles AS y ON c.cand_id = y.entity_id) AS f"
 
@@ -203,7 +203,7 @@ def gate(p: Profile) -> str:
 def scored(d: Spark, p: Profile) -> str:
     """A fixed blend of features in place of a trained model, which operators.model supplies; the profile's gate sets hopeless pairs to 0."""
     blend = "0.35 * name_sort_jaccard + 0.20 * name_dice_2g + 0.15 * name_lev + 0.10 * num_match + 0.10 * addr_tok_jaccard + 0.10 * postal_match"
-    return f"SELECT s1_id, cand_id, country, distinctiveness_score, CASE WHEN {gate(p)} THEN CAST(0 AS DOUBLE) ELSE round({blend}, 6) END AS prob FROM @features"
+    return f"SELECT s1_id, cand_id, country, distinctiveness_score, CASE WHEN {gate(p)} THEN CAST(0 AS DOUBLE) ELSE {d.round(blend, 6)} END AS prob FROM @features"
 
 
 def siblings(d: Spark, p: Profile) -> str:

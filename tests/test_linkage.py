@@ -266,3 +266,13 @@ def test_model(spark, tmp_path):
     assert sorted(map(str, again)) == sorted(map(str, fitted.score(rows).select("s1_id", "cand_id", "prob").collect()))
     a, b = model.split(spark.range(500).selectExpr("concat('S1-', id % 100) AS s1_id"))
     assert a.count() + b.count() == 500 and not {r.s1_id for r in a.collect()} & {r.s1_id for r in b.collect()}
+
+
+def test_bytes_and_halves_count_as_in_the_sql(spark):
+    """Letters of several bytes in names, and doubles whose half is one of the decimal only."""
+    sim.register(spark)
+    pairs = [("enstlich außu zu", "ensslich aussu"), ("ß", "ss"), ("erßpf", "ßerpf"), ("टाटा स", "टाट"), ("zeta", "zeta"), ("", "ß")]
+    makes = [lambda d, a, b: sim.jaro_winkler(d, d.text(a), d.text(b)), lambda d, a, b: sim.levenshtein_ratio(d, d.text(a), d.text(b))]
+    made = lambda d: ", ".join(f"CAST({make(d, a, b)} AS DOUBLE)" for a, b in pairs for make in makes) + "".join(f", {d.round(f'CAST({x} AS DOUBLE)', 6)}" for x in ("0.5000005", "0.0010235", "1.0000025", "0.0000485", "8.1234565"))
+    got, want = spark.sql(f"SELECT {made(Spark())}").first(), duckdb.connect().execute(f"SELECT {made(DuckDB())}").fetchone()
+    assert tuple(got) == want
