@@ -113,7 +113,7 @@ def weights(d: Spark, p: Profile) -> str:
     """Keys that both sides have and few enough targets share, weighted by rarity."""
     base = " ".join(f"WHEN '{ch.partition(':')[0]}' THEN CAST({w} AS DOUBLE)" for ch, w in p.weights.items())
     rarity = f"greatest(CAST(0.2 AS DOUBLE), 1 - ln(n) / ln({p.bucket + 1}))" if p.damped else "CAST(1 AS DOUBLE)"
-    return f"""SELECT t.country, t.ch, t.val, n, round(CASE t.ch {base} END * {rarity}, 9) AS w
+    return f"""SELECT t.country, t.ch, t.val, n, {d.round(f'CASE t.ch {base} END * {rarity}', 9)} AS w
 FROM (SELECT country, ch, val, count(*) AS n FROM @keys WHERE src <> 'S1' GROUP BY country, ch, val HAVING count(*) <= {p.bucket}) AS t
 LEFT SEMI JOIN (SELECT DISTINCT country, ch, val FROM @keys WHERE src = 'S1') AS s ON t.country = s.country AND t.ch = s.ch AND t.val = s.val""".replace("LEFT SEMI JOIN", "LEFT SEMI JOIN" if d.name == "spark" else "SEMI JOIN")
 
@@ -122,7 +122,7 @@ def candidates(d: Spark, p: Profile) -> str:
     """The best targets of each first-source record by the summed weights of shared keys; ties by id."""
     return f"""SELECT s1_id, cand_id, country, score, CAST(rn - 1 AS BIGINT) AS rank_no FROM (
   SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS rn FROM (
-    SELECT s.entity_id AS s1_id, t.entity_id AS cand_id, s.country, round(sum(w.w), 6) AS score
+    SELECT s.entity_id AS s1_id, t.entity_id AS cand_id, s.country, {d.round(d.total("w.w", 9), 6)} AS score
     FROM @keys AS s JOIN @weights AS w ON s.country = w.country AND s.ch = w.ch AND s.val = w.val
     JOIN @keys AS t ON t.country = w.country AND t.ch = w.ch AND t.val = w.val
     WHERE s.src = 'S1' AND t.src <> 'S1' GROUP BY s.entity_id, t.entity_id, s.country) AS g) AS r
@@ -282,9 +282,11 @@ def results(d: Spark, p: Profile) -> str:
 
 def entity_scores(d: Spark, p: Profile) -> str:
     """F0.5 of each first-source record: 1 where nothing is to be found and nothing is, else 0 without a hit."""
-    return """SELECT e.entity_id AS s1_id, coalesce(t.n, 0) AS n_true, coalesce(m.n, 0) AS n_pred, coalesce(h.n, 0) AS n_hit,
+    right, found = "(h.n * CAST(1 AS DOUBLE) / m.n)", "(h.n * CAST(1 AS DOUBLE) / t.n)"
+    f05 = d.round(f"1.25 * {right} * {found} / (0.25 * {right} + {found})", 6)
+    return f"""SELECT e.entity_id AS s1_id, coalesce(t.n, 0) AS n_true, coalesce(m.n, 0) AS n_pred, coalesce(h.n, 0) AS n_hit,
   CASE WHEN t.n IS NULL AND m.n IS NULL THEN CAST(1 AS DOUBLE) WHEN h.n IS NULL THEN CAST(0 AS DOUBLE)
-    ELSE round(1.25 * (h.n * CAST(1 AS DOUBLE) / m.n) * (h.n * CAST(1 AS DOUBLE) / t.n) / (0.25 * (h.n * CAST(1 AS DOUBLE) / m.n) + (h.n * CAST(1 AS DOUBLE) / t.n)), 6) END AS f05
+    ELSE {f05} END AS f05
 FROM @entities AS e LEFT JOIN (SELECT s1_id, count(*) AS n FROM @truth GROUP BY s1_id) AS t ON e.entity_id = t.s1_id
 LEFT JOIN (SELECT s1_id, count(*) AS n FROM @matches GROUP BY s1_id) AS m ON e.entity_id = m.s1_id
 LEFT JOIN (SELECT m.s1_id, count(*) AS n FROM @matches AS m JOIN @truth AS t ON m.s1_id = t.s1_id AND m.cand_id = t.cand_id GROUP BY m.s1_id) AS h ON e.entity_id = h.s1_id
@@ -304,7 +306,7 @@ def stopwords(d: Spark, p: Profile) -> str:
     """Address words that at least 3 in 100 records of a country have."""
     words = d.distinct(d.all("lower(business_address)", "[a-z]{3,}"))
     inner = f"SELECT country, word FROM @entities {d.explode(words, 'word')}" if d.name == "spark" else f"SELECT country, unnest({words}) AS word FROM @entities"
-    return f"SELECT w.country, w.word, w.n, round(w.n * CAST(1 AS DOUBLE) / c.total, 6) AS share FROM (SELECT country, word, count(*) AS n FROM ({inner}) AS i GROUP BY country, word) AS w JOIN (SELECT country, count(*) AS total FROM @entities GROUP BY country) AS c ON w.country = c.country WHERE w.n >= 0.03 * c.total"
+    return f"SELECT w.country, w.word, w.n, {d.round('w.n * CAST(1 AS DOUBLE) / c.total', 6)} AS share FROM (SELECT country, word, count(*) AS n FROM ({inner}) AS i GROUP BY country, word) AS w JOIN (SELECT country, count(*) AS total FROM @entities GROUP BY country) AS c ON w.country = c.country WHERE w.n >= 0.03 * c.total"
 
 
 #: Thresholds that a search tries, in this order: of a match, of a record's best, the distance from the best, the lead over other claims.
@@ -326,7 +328,7 @@ def grid(d: Spark, p: Profile) -> str:
     won = f"SELECT nr, s1_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY nr, country, cand_id ORDER BY prob DESC, s1_id) AS rn, lead(prob) OVER (PARTITION BY nr, country, cand_id ORDER BY prob DESC, s1_id) AS second FROM ({claimed}) AS c) AS w WHERE rn = 1 AND (second IS NULL OR round(prob - second, 9) >= delta)"
     per = f"SELECT w.nr, w.s1_id, count(*) AS n_pred, count(t.s1_id) AS n_hit FROM ({won}) AS w LEFT JOIN @truth AS t ON w.s1_id = t.s1_id AND w.cand_id = t.cand_id GROUP BY w.nr, w.s1_id"
     right, found = f"(x.n_hit * {one} / x.n_pred)", f"(x.n_hit * {one} / e.n_true)"
-    f05 = f"CASE WHEN x.n_hit = 0 THEN CAST(0 AS DOUBLE) ELSE round(1.25 * {right} * {found} / (0.25 * {right} + {found}), 6) END"
+    f05 = f"CASE WHEN x.n_hit = 0 THEN CAST(0 AS DOUBLE) ELSE {d.round(f"1.25 * {right} * {found} / (0.25 * {right} + {found})", 6)} END"
     scores = f"SELECT x.nr, CAST(sum(x.n_pred) AS BIGINT) AS n_pred, CAST(sum(x.n_hit) AS BIGINT) AS n_hit, sum({f05}) AS total, CAST(sum(CASE WHEN e.n_true = 0 THEN 1 ELSE 0 END) AS BIGINT) AS wrong FROM ({per}) AS x JOIN @entity_scores AS e ON x.s1_id = e.s1_id GROUP BY x.nr"
     # Records without predictions score 1 if they have no true match: all of those but the ones with a wrong prediction.
     return f"""SELECT g.nr, g.tau, g.tau_single, g.margin, g.delta, coalesce(n_pred, 0) AS n_pred, coalesce(n_hit, 0) AS n_hit, round((coalesce(total, CAST(0 AS DOUBLE)) + k.alone - coalesce(wrong, 0)) / greatest(k.n, 1), 6) AS macro_f05
@@ -407,7 +409,7 @@ def legacy_features(d: Spark, p: Profile) -> str:
 def _vector(generation: str) -> Callable[[Spark, Profile], str]:
     def vector(d: Spark, p: Profile) -> str:
         own = lg.variants(d, generation)
-        columns = ", ".join(f"round({own[k]}, 6) AS {k}" if k in own else f"{'f' if k in FEATURES else 'l'}.{k}" for k in lg.VECTORS[generation])
+        columns = ", ".join(f"{d.round(own[k], 6)} AS {k}" if k in own else f"{'f' if k in FEATURES else 'l'}.{k}" for k in lg.VECTORS[generation])
         return f"SELECT f.s1_id, f.cand_id, {columns} FROM @features AS f JOIN @legacy_features AS l ON f.s1_id = l.s1_id AND f.cand_id = l.cand_id JOIN @profiles AS x ON f.s1_id = x.entity_id JOIN @profiles AS y ON f.cand_id = y.entity_id"
 
     vector.__name__, vector.__doc__ = f"vector_{generation}", "An earlier generation's vector, its columns in order."

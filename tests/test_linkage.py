@@ -276,3 +276,15 @@ def test_bytes_and_halves_count_as_in_the_sql(spark):
     made = lambda d: ", ".join(f"CAST({make(d, a, b)} AS DOUBLE)" for a, b in pairs for make in makes) + "".join(f", {d.round(f'CAST({x} AS DOUBLE)', 6)}" for x in ("0.5000005", "0.0010235", "1.0000025", "0.0000485", "8.1234565"))
     got, want = spark.sql(f"SELECT {made(Spark())}").first(), duckdb.connect().execute(f"SELECT {made(DuckDB())}").fetchone()
     assert tuple(got) == want
+
+
+def test_scores_do_not_depend_on_the_order_of_keys(spark):
+    """Weights whose sum is the half of a sixth place give one score and rank by id, however their rows lie."""
+    parts = [("ex", 6.489433223), ("tk", 1.526925464), ("tk2", 0.61436918), ("post_num", 1.510042451), ("addr_st", 3.656468926), ("ph_name", 4.199045026), ("acr", 4.512820105), ("bi_sort", 5.344239125)]
+    weights = spark.createDataFrame([("x", c, "v", 3, w) for c, w in parts], "country string, ch string, val string, n bigint, w double")
+    ids = [f"S2-{i}" for i in range(40)]
+    turned = [(t, "S2", "x", c, "v") for i, t in enumerate(ids) for c, _ in sorted(parts, key=lambda p, i=i: hash((p[0], i)))]
+    keys = spark.createDataFrame([("S1-1", "S1", "x", c, "v") for c, _ in parts] + turned, "entity_id string, src string, country string, ch string, val string")
+    got = Plan(spark, {"keys": keys.repartition(7), "weights": weights.repartition(3)}).step("candidates").collect()
+    assert {c.score for c in got} == {27.853344}
+    assert [c.cand_id for c in sorted(got, key=lambda c: c.rank_no)] == sorted(ids)[:25]
