@@ -269,6 +269,28 @@ def truth(d: Spark, p: Profile) -> str:
     return "SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM @entities AS a JOIN @entities AS b ON a.truth_key = b.truth_key WHERE left(a.entity_id, 2) = 'S1' AND left(b.entity_id, 2) <> 'S1'"
 
 
+def known(d: Spark, p: Profile) -> str:
+    """The entities that have a truth key."""
+    return "SELECT entity_id, truth_key FROM @entities WHERE truth_key IS NOT NULL"
+
+
+def found(d: Spark, p: Profile) -> str:
+    """The rows of ``truth`` that are candidates, by the keys of both sides: a group of copies isn't multiplied out."""
+    return "SELECT x.entity_id AS s1_id, y.entity_id AS cand_id FROM (SELECT DISTINCT s1_id, cand_id FROM @candidates) AS c JOIN @known AS x ON c.s1_id = x.entity_id JOIN @known AS y ON c.cand_id = y.entity_id AND x.truth_key = y.truth_key WHERE left(x.entity_id, 2) = 'S1' AND left(y.entity_id, 2) <> 'S1'"
+
+
+def true_pairs(d: Spark) -> str:
+    """Where pairs that are all candidates look up whether they are true."""
+    return "@found" if d.by_keys else "@truth"
+
+
+def true_counts(d: Spark) -> str:
+    """(s1_id, n): how many true matches each first-source record has."""
+    if not d.by_keys:
+        return "SELECT s1_id, count(*) AS n FROM @truth GROUP BY s1_id"
+    return "SELECT a.entity_id AS s1_id, sum(b.n) AS n FROM @known AS a JOIN (SELECT truth_key, count(*) AS n FROM @known WHERE left(entity_id, 2) <> 'S1' GROUP BY truth_key) AS b ON a.truth_key = b.truth_key WHERE left(a.entity_id, 2) = 'S1' GROUP BY a.entity_id"
+
+
 def results(d: Spark, p: Profile) -> str:
     """One row for each first-source record: its matches by id and its candidates by rank, empty ones too."""
     if d.name == "spark":
@@ -287,18 +309,18 @@ def entity_scores(d: Spark, p: Profile) -> str:
     return f"""SELECT e.entity_id AS s1_id, coalesce(t.n, 0) AS n_true, coalesce(m.n, 0) AS n_pred, coalesce(h.n, 0) AS n_hit,
   CASE WHEN t.n IS NULL AND m.n IS NULL THEN CAST(1 AS DOUBLE) WHEN h.n IS NULL THEN CAST(0 AS DOUBLE)
     ELSE {f05} END AS f05
-FROM @entities AS e LEFT JOIN (SELECT s1_id, count(*) AS n FROM @truth GROUP BY s1_id) AS t ON e.entity_id = t.s1_id
+FROM @entities AS e LEFT JOIN ({true_counts(d)}) AS t ON e.entity_id = t.s1_id
 LEFT JOIN (SELECT s1_id, count(*) AS n FROM @matches GROUP BY s1_id) AS m ON e.entity_id = m.s1_id
-LEFT JOIN (SELECT m.s1_id, count(*) AS n FROM @matches AS m JOIN @truth AS t ON m.s1_id = t.s1_id AND m.cand_id = t.cand_id GROUP BY m.s1_id) AS h ON e.entity_id = h.s1_id
+LEFT JOIN (SELECT m.s1_id, count(*) AS n FROM @matches AS m JOIN {true_pairs(d)} AS t ON m.s1_id = t.s1_id AND m.cand_id = t.cand_id GROUP BY m.s1_id) AS h ON e.entity_id = h.s1_id
 WHERE left(e.entity_id, 2) = 'S1'"""
 
 
 def evaluation(d: Spark, p: Profile) -> str:
     """Macro F0.5 (0 without records), the blocker's recall, collisions, shares, averages, and how many candidates are right."""
-    return """SELECT round(coalesce(avg(f05), CAST(0 AS DOUBLE)), 6) AS macro_f05, count(*) AS n_entities, CAST(sum(n_true) AS BIGINT) AS n_true, CAST(sum(n_pred) AS BIGINT) AS n_pred, CAST(sum(n_hit) AS BIGINT) AS n_hit,
+    return f"""SELECT round(coalesce(avg(f05), CAST(0 AS DOUBLE)), 6) AS macro_f05, count(*) AS n_entities, CAST(sum(n_true) AS BIGINT) AS n_true, CAST(sum(n_pred) AS BIGINT) AS n_pred, CAST(sum(n_hit) AS BIGINT) AS n_hit,
   round(avg(CASE WHEN n_pred = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS singleton_share, round(avg(CAST(n_pred AS DOUBLE)), 6) AS avg_matches,
-  (SELECT count(*) FROM @truth AS t JOIN @candidates AS c ON t.s1_id = c.s1_id AND t.cand_id = c.cand_id) AS n_retrieved,
-  (SELECT count(*) FROM @candidates) - (SELECT count(*) FROM @truth AS t JOIN @candidates AS c ON t.s1_id = c.s1_id AND t.cand_id = c.cand_id) AS n_wrong_candidates,
+  (SELECT count(*) FROM {true_pairs(d)} AS t JOIN @candidates AS c ON t.s1_id = c.s1_id AND t.cand_id = c.cand_id) AS n_retrieved,
+  (SELECT count(*) FROM @candidates) - (SELECT count(*) FROM {true_pairs(d)} AS t JOIN @candidates AS c ON t.s1_id = c.s1_id AND t.cand_id = c.cand_id) AS n_wrong_candidates,
   (SELECT count(*) FROM (SELECT cand_id FROM @matches GROUP BY cand_id HAVING count(*) > 1) AS z) AS n_collisions FROM @entity_scores"""
 
 
@@ -326,7 +348,7 @@ def grid(d: Spark, p: Profile) -> str:
     lifted = f"SELECT g.tau, p.s1_id, p.cand_id, p.country, {raised(p, 'g.tau')} AS prob FROM @scored AS p LEFT JOIN @siblings AS b ON p.s1_id = b.s1_id AND p.cand_id = b.cand_id JOIN {levels} ON p.prob >= {p.sibling.low if p.sibling else 0}"
     claimed = f"SELECT g.nr, g.delta, q.s1_id, q.cand_id, q.country, q.prob FROM (SELECT l.*, max(prob) OVER (PARTITION BY tau, s1_id) AS best FROM ({lifted}) AS l) AS q JOIN {values} AS g ON q.tau = g.tau AND q.prob >= g.tau AND q.best >= g.tau_single AND q.prob >= round(q.best - g.margin, 9)"
     won = f"SELECT nr, s1_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY nr, country, cand_id ORDER BY prob DESC, s1_id) AS rn, lead(prob) OVER (PARTITION BY nr, country, cand_id ORDER BY prob DESC, s1_id) AS second FROM ({claimed}) AS c) AS w WHERE rn = 1 AND (second IS NULL OR round(prob - second, 9) >= delta)"
-    per = f"SELECT w.nr, w.s1_id, count(*) AS n_pred, count(t.s1_id) AS n_hit FROM ({won}) AS w LEFT JOIN @truth AS t ON w.s1_id = t.s1_id AND w.cand_id = t.cand_id GROUP BY w.nr, w.s1_id"
+    per = f"SELECT w.nr, w.s1_id, count(*) AS n_pred, count(t.s1_id) AS n_hit FROM ({won}) AS w LEFT JOIN {true_pairs(d)} AS t ON w.s1_id = t.s1_id AND w.cand_id = t.cand_id GROUP BY w.nr, w.s1_id"
     right, found = f"(x.n_hit * {one} / x.n_pred)", f"(x.n_hit * {one} / e.n_true)"
     f05 = f"CASE WHEN x.n_hit = 0 THEN CAST(0 AS DOUBLE) ELSE {d.round(f"1.25 * {right} * {found} / (0.25 * {right} + {found})", 6)} END"
     scores = f"SELECT x.nr, CAST(sum(x.n_pred) AS BIGINT) AS n_pred, CAST(sum(x.n_hit) AS BIGINT) AS n_hit, sum({f05}) AS total, CAST(sum(CASE WHEN e.n_true = 0 THEN 1 ELSE 0 END) AS BIGINT) AS wrong FROM ({per}) AS x JOIN @entity_scores AS e ON x.s1_id = e.s1_id GROUP BY x.nr"
@@ -443,8 +465,10 @@ LEFT JOIN (SELECT s1_id, max(rank_no) AS last_rank FROM @candidates GROUP BY s1_
 
 
 STEPS = {f.__name__: f for f in (entities, head_sample, stopwords, records, profiles, keys, weights, candidates, features, scored, siblings, boosted, claims, matches, truth, results, entity_scores, evaluation, grid, best_setting, folds, fold_scores, offenders, checks, first_offenders, verdict, legacy_records, legacy_features, *map(_vector, lg.VECTORS), needed_records, hard_negatives, background_negatives, training_pairs)}
+#: Steps that only Spark's plans have.
+HELPERS = {f.__name__: f for f in (known, found)}
 #: Steps that several others use and that cost a join or Python: they are written once and read again.
-SHARED = ("profiles", "keys", "candidates", "features", "matches", "siblings", "truth", "entity_scores", "offenders")
+SHARED = ("profiles", "keys", "candidates", "features", "matches", "siblings", "truth", "known", "found", "entity_scores", "offenders")
 
 
 class Plan:
@@ -458,7 +482,8 @@ class Plan:
 
     def step(self, name: str, last: bool = True) -> DataFrame:
         if name not in self.frames:
-            statement = STEPS[name](Spark(), self.profile)
+            # A truth that is given, or already there, is the one that counts.
+            statement = (STEPS | HELPERS)[name](Spark(by_keys="truth" not in self.frames), self.profile)
             inputs = {m: self.step(m, last=False) for m in dict.fromkeys(re.findall(r"@(\w+)", statement))}
             body = re.sub(r"@(\w+)", r"{\1}", statement.replace("{", "{{").replace("}", "}}"))
             frame = self.spark.sql(body, **inputs)

@@ -55,9 +55,8 @@ def link_model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = model.split(entities.withColumn("s1_id", F.col("entity_id")))[1].drop("s1_id")
     targets = entities.filter("left(entity_id, 2) <> 'S1'")
     scored = model.split(plan.step("scored", last=False))[1]
-    truth = model.split(plan.step("truth", last=False))[1]
     cands = model.split(plan.step("candidates", last=False))[1]
-    shown = {"entities": held.filter("left(entity_id, 2) = 'S1'").unionByName(targets), "scored": scored, "truth": truth, "candidates": cands, "profiles": plan.step("profiles", last=False)}
+    shown = {"entities": held.filter("left(entity_id, 2) = 'S1'").unionByName(targets), "scored": scored, "candidates": cands, "profiles": plan.step("profiles", last=False)}
     return Plan(spark, shown).step("evaluation")
 
 

@@ -288,3 +288,15 @@ def test_scores_do_not_depend_on_the_order_of_keys(spark):
     got = Plan(spark, {"keys": keys.repartition(7), "weights": weights.repartition(3)}).step("candidates").collect()
     assert {c.score for c in got} == {27.853344}
     assert [c.cand_id for c in sorted(got, key=lambda c: c.rank_no)] == sorted(ids)[:25]
+
+
+def test_evaluation_does_not_pair_off_groups_of_copies(spark):
+    """Two rows of one id, and a group of copies: scores as by all pairs of the truth, without making them."""
+    groups = [("S1-1", "a"), ("S1-1", "a"), ("S1-2", "a"), ("S1-3", "b"), ("S1-4", None), ("S2-1", "a"), ("S2-1", "a"), ("S2-2", "a"), ("S3-1", "b"), ("S3-2", None)]
+    people = spark.createDataFrame(groups, "entity_id string, truth_key string").withColumns({"country": F.lit("x"), "business_name": F.lit(""), "business_address": F.lit("")})
+    pairs = spark.createDataFrame([("S1-1", "S2-1", 0), ("S1-1", "S3-1", 1), ("S1-2", "S2-2", 0), ("S1-3", "S2-2", 0), ("S1-3", "S3-1", 1), ("S1-4", "S3-2", 0)], "s1_id string, cand_id string, rank_no bigint").withColumns({"country": F.lit("x"), "score": F.lit(1.0), "distinctiveness_score": F.lit(0.5), "prob": F.lit(0.9)})
+    tables = {"entities": people, "candidates": pairs, "scored": pairs, "matches": pairs.filter("rank_no = 0"), "siblings": spark.createDataFrame([], "s1_id string, cand_id string, high double, low double")}
+    for step in ("entity_scores", "evaluation", "grid"):
+        short = Plan(spark, tables)
+        got, want = short.step(step).collect(), Plan(spark, {**tables, "truth": Plan(spark, tables).step("truth")}).step(step).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and "truth" not in short.frames
