@@ -8,7 +8,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,7 +114,18 @@ def crc_mod(id_col: str, m: int) -> Column:
 
 
 def fit_sample(docs: DataFrame, label: str, learn: Column, id_col: str, text_col: str, per_class: int = FIT_PER_CLASS) -> list[tuple]:
-    """(label, text) of at most ``per_class`` rows for each label, by the order of the id's hash.
+    """(label, text) of the rows that ``fit_rows`` chooses, on the driver."""
+    return by_id(fit_rows(docs, label, learn, id_col, text_col, per_class).collect())
+
+
+def by_id(rows: Iterable[tuple]) -> list[tuple]:
+    """(label, text) of rows of label, text and id, in the order of ids; of repeated ids the last."""
+    unique = {r[2]: (r[0], r[1]) for r in sorted(rows, key=lambda r: (r[2], str(r[0]), r[1]))}
+    return [unique[k] for k in sorted(unique)]
+
+
+def fit_rows(docs: DataFrame, label: str, learn: Column, id_col: str, text_col: str, per_class: int = FIT_PER_CLASS) -> DataFrame:
+    """Label, text and id of at most ``per_class`` rows for each label, by the order of the id's hash.
 
     ``learn`` says which rows may be used; texts of any length may, as long as a class has no
     more than FIT_CHARS characters. Only ids are ordered; their texts come by a join with that bounded list.
@@ -134,9 +145,7 @@ def fit_sample(docs: DataFrame, label: str, learn: Column, id_col: str, text_col
     whole = Window.partitionBy("__label").orderBy(*order)
     ranked = some.withColumn("__rank", F.row_number().over(whole)).filter(F.col("__rank") <= per_class)
     few = ranked.withColumn("__sum", F.sum("__n").over(whole)).filter(F.col("__sum") <= chars).select("__id").distinct()
-    got = rows.join(F.broadcast(few), F.col(id_col) == F.col("__id"), "left_semi").select(label, text_col, id_col).collect()
-    unique = {r[2]: (r[0], r[1]) for r in sorted(got, key=lambda r: (r[2], str(r[0]), r[1]))}
-    return [unique[k] for k in sorted(unique)]
+    return rows.join(F.broadcast(few), F.col(id_col) == F.col("__id"), "left_semi").select(label, text_col, id_col)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIT_PER_CLASS, fit_sample, map_documents, slices, utf8
+from .common import FIT_PER_CLASS, by_id, fit_rows, map_documents, slices, utf8
 
 #: Dimensions of the latent space, neighbours' weight (cosine to that power), rows of a product, and training rows a class.
 DIMENSIONS = 64
@@ -122,6 +123,16 @@ class Neighbours:
         self.vote = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), -0.5 / max(1, (y <= 0).sum())).astype(np.float32)
         self.terms = Terms()
 
+    def dump(self) -> bytes:
+        """What was learned, without the class, which a task may know by another name."""
+        return pickle.dumps({k: v for k, v in vars(self).items() if k != "terms"})
+
+    @staticmethod
+    def load(data: bytes) -> Neighbours:
+        out = Neighbours([])
+        vars(out).update(pickle.loads(data))
+        return out
+
     @staticmethod
     def unit(v: np.ndarray) -> np.ndarray:
         return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
@@ -154,7 +165,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "qua
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__lid")).agg(F.min(label_col).alias("__label"))
     texts = docs.select(id_col, text_col, F.length(text_col).alias("__fit_chars"))  # measured here, so that only ids and lengths are shuffled to be ranked
     rows = texts.join(known.filter(F.col("__label").isin(0, 1)), F.col(id_col) == F.col("__lid")).select(id_col, text_col, "__fit_chars", "__label")
-    return Neighbours(fit_sample(rows, "__label", learn, id_col, text_col, TRAIN_PER_CLASS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = by_id(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([Neighbours(found).dump()], pa.binary())], names=["model"])
+
+    # One task learns, so that neither the texts nor the work on them take memory of the driver.
+    made = fit_rows(rows, "__label", learn, id_col, text_col, TRAIN_PER_CLASS).repartition(1).mapInArrow(run, "model binary").collect()
+    return Neighbours.load(made[0].model) if made else Neighbours([])
 
 
 def classify(docs: DataFrame, model: Neighbours, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -91,3 +91,22 @@ def test_run(spark, folder, nothing):
     # 202 and 203 repeat 0 and 1; 200 is contaminated; of the texts without words, one may stay.
     assert {*range(20), 201, None} <= set(got) and not set(got) & {200, 202, 203, 205, *range(100, 120)}
     assert corpus_pipeline.run(spark, nothing).count() == 0
+
+
+def test_quality_learns_in_a_task(spark, folder, monkeypatch):
+    """No text comes to the driver, and the model is the one of the rows chosen."""
+    import numpy as np
+
+    from lakeknit.llm import common, quality
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").withColumn("__fit_chars", F.length("text"))
+    want = quality.Neighbours(common.fit_sample(rows, "quality", F.lit(True), "doc_id", "text", quality.TRAIN_PER_CLASS))
+    collect, seen = type(docs).collect, []
+    monkeypatch.setattr(type(docs), "collect", lambda self: seen.append(self.columns) or collect(self))
+    got = quality.fit(docs, labels, F.lit(True))
+    assert seen == [["model"]]
+    asked = [r.text.encode() for r in docs.filter("text IS NOT NULL").orderBy("doc_id").limit(200).toLocalIterator()]
+    assert np.allclose(got.scores(asked), want.scores(asked), atol=1e-3) and not got.empty and got.prior == want.prior and got.axes.shape == want.axes.shape
+    empty = quality.fit(docs, labels, F.lit(False))
+    assert empty.empty and empty.scores([b"x"]) == [0.5]
