@@ -456,8 +456,45 @@ def background_negatives(d: Spark, p: Profile) -> str:
     return f"{first('S2')} UNION {first('S3')} UNION SELECT cand_id AS entity_id FROM @truth"
 
 
+#: A group of copies is multiplied out in blocks of about so many records by so many targets.
+BLOCK = 1000
+
+
+def places(d: Spark, p: Profile) -> str:
+    """The targets that have a truth key, each with its place by id among those of its key."""
+    return "SELECT entity_id, truth_key, row_number() OVER (PARTITION BY truth_key ORDER BY entity_id) AS place FROM @known WHERE left(entity_id, 2) <> 'S1'"
+
+
+def seekers(d: Spark, p: Profile) -> str:
+    """First-source records that have a truth key, whose id is in one row only: their last rank, and the places of their true candidates."""
+    single = "SELECT entity_id, max(country) AS country, max(truth_key) AS truth_key FROM @entities WHERE left(entity_id, 2) = 'S1' GROUP BY entity_id HAVING count(*) = 1 AND max(truth_key) IS NOT NULL"
+    hits = "SELECT f.s1_id, collect_set(y.place) AS hits FROM @found AS f JOIN @known AS x ON f.s1_id = x.entity_id JOIN @places AS y ON f.cand_id = y.entity_id AND x.truth_key = y.truth_key GROUP BY f.s1_id"
+    last = "SELECT s1_id, max(rank_no) AS last_rank FROM @candidates GROUP BY s1_id"
+    return f"SELECT e.entity_id, e.country, e.truth_key, coalesce(l.last_rank, -1) AS last_rank, coalesce(h.hits, CAST(array() AS array<int>)) AS hits FROM ({single}) AS e LEFT JOIN ({hits}) AS h ON e.entity_id = h.s1_id LEFT JOIN ({last}) AS l ON e.entity_id = l.s1_id"
+
+
+def training_by_keys(d: Spark) -> str:
+    """``training_pairs`` of Spark: a missed pair's rank follows from its target's place, so that no pair is shuffled, sorted or looked up.
+
+    Records whose id is in several rows, maybe of several keys, are ranked pair by pair.
+    """
+    labelled = "SELECT c.s1_id, c.cand_id, c.country, c.score, c.rank_no, CAST(CASE WHEN t.s1_id IS NULL THEN 0 ELSE 1 END AS INT) AS label FROM @candidates AS c LEFT JOIN @found AS t ON c.s1_id = t.s1_id AND c.cand_id = t.cand_id"
+    blocks = f"SELECT a.truth_key, CAST(ceil(a.n / {BLOCK}) AS INT) AS own, CAST(ceil(b.n / {BLOCK}) AS INT) AS other FROM (SELECT truth_key, count(*) AS n FROM @seekers GROUP BY truth_key) AS a JOIN (SELECT truth_key, count(*) AS n FROM @places GROUP BY truth_key) AS b ON a.truth_key = b.truth_key"
+    own = f"SELECT /*+ REPARTITION({d.parts}, truth_key, i, j) */ s.*, CAST(pmod(xxhash64(s.entity_id), k.own) AS INT) AS i, j FROM @seekers AS s JOIN ({blocks}) AS k ON s.truth_key = k.truth_key LATERAL VIEW explode(sequence(0, k.other - 1)) AS j"
+    other = f"SELECT y.*, i, CAST(pmod(y.place, k.other) AS INT) AS j FROM @places AS y JOIN ({blocks}) AS k ON y.truth_key = k.truth_key LATERAL VIEW explode(sequence(0, k.own - 1)) AS i"
+    missed = f"""SELECT x.entity_id AS s1_id, y.entity_id AS cand_id, x.country, CAST(0 AS DOUBLE) AS score, x.last_rank + y.place - size(filter(x.hits, v -> v < y.place)) AS rank_no, 1 AS label
+FROM ({own}) AS x JOIN ({other}) AS y ON x.truth_key = y.truth_key AND x.i = y.i AND x.j = y.j WHERE NOT array_contains(x.hits, y.place)"""
+    several = "SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM @known AS a JOIN @places AS b ON a.truth_key = b.truth_key WHERE a.entity_id IN (SELECT entity_id FROM @entities WHERE left(entity_id, 2) = 'S1' GROUP BY entity_id HAVING count(*) > 1)"
+    rest = f"""SELECT t.s1_id, t.cand_id, e.country, CAST(0 AS DOUBLE) AS score, coalesce(l.last_rank, -1) + row_number() OVER (PARTITION BY t.s1_id ORDER BY t.cand_id) AS rank_no, 1 AS label
+FROM ({several}) AS t JOIN @entities AS e ON t.s1_id = e.entity_id LEFT JOIN @candidates AS c ON t.s1_id = c.s1_id AND t.cand_id = c.cand_id
+LEFT JOIN (SELECT s1_id, max(rank_no) AS last_rank FROM @candidates GROUP BY s1_id) AS l ON t.s1_id = l.s1_id WHERE c.s1_id IS NULL"""
+    return f"{labelled} UNION ALL {missed} UNION ALL {rest}"
+
+
 def training_pairs(d: Spark, p: Profile) -> str:
     """Candidates with labels, and the true pairs that retrieval missed, ranked after them; for training only."""
+    if d.by_keys:
+        return training_by_keys(d)
     return """SELECT c.s1_id, c.cand_id, c.country, c.score, c.rank_no, CAST(CASE WHEN t.s1_id IS NULL THEN 0 ELSE 1 END AS INT) AS label FROM @candidates AS c LEFT JOIN @truth AS t ON c.s1_id = t.s1_id AND c.cand_id = t.cand_id
 UNION ALL SELECT t.s1_id, t.cand_id, e.country, CAST(0 AS DOUBLE) AS score, coalesce(l.last_rank, -1) + row_number() OVER (PARTITION BY t.s1_id ORDER BY t.cand_id) AS rank_no, 1 AS label
 FROM @truth AS t JOIN @entities AS e ON t.s1_id = e.entity_id LEFT JOIN @candidates AS c ON t.s1_id = c.s1_id AND t.cand_id = c.cand_id
@@ -466,9 +503,9 @@ LEFT JOIN (SELECT s1_id, max(rank_no) AS last_rank FROM @candidates GROUP BY s1_
 
 STEPS = {f.__name__: f for f in (entities, head_sample, stopwords, records, profiles, keys, weights, candidates, features, scored, siblings, boosted, claims, matches, truth, results, entity_scores, evaluation, grid, best_setting, folds, fold_scores, offenders, checks, first_offenders, verdict, legacy_records, legacy_features, *map(_vector, lg.VECTORS), needed_records, hard_negatives, background_negatives, training_pairs)}
 #: Steps that only Spark's plans have.
-HELPERS = {f.__name__: f for f in (known, found)}
+HELPERS = {f.__name__: f for f in (known, found, places, seekers)}
 #: Steps that several others use and that cost a join or Python: they are written once and read again.
-SHARED = ("profiles", "keys", "candidates", "features", "matches", "siblings", "truth", "known", "found", "entity_scores", "offenders")
+SHARED = ("profiles", "keys", "candidates", "features", "matches", "siblings", "truth", "known", "found", "places", "seekers", "entity_scores", "offenders")
 
 
 class Plan:
@@ -483,7 +520,7 @@ class Plan:
     def step(self, name: str, last: bool = True) -> DataFrame:
         if name not in self.frames:
             # A truth that is given, or already there, is the one that counts.
-            statement = (STEPS | HELPERS)[name](Spark(by_keys="truth" not in self.frames), self.profile)
+            statement = (STEPS | HELPERS)[name](Spark("truth" not in self.frames, 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))), self.profile)
             inputs = {m: self.step(m, last=False) for m in dict.fromkeys(re.findall(r"@(\w+)", statement))}
             body = re.sub(r"@(\w+)", r"{\1}", statement.replace("{", "{{").replace("}", "}}"))
             frame = self.spark.sql(body, **inputs)

@@ -329,3 +329,17 @@ def test_decisions_on_letters_of_several_bytes_equal_their_sql(spark, profile):
         if rows(got) != rows(want):
             wrong.append((step, len(got), len(want)))
     assert not wrong
+
+
+def test_training_pairs_do_not_sort_groups_of_copies(spark):
+    """The rows and ranks of the statement over all pairs of the truth, without making it: repeated ids, ids of two keys, records without candidates."""
+    groups = [("S1-1", "a"), ("S1-1", "a"), ("S1-2", "a"), ("S1-3", "b"), ("S1-4", None), ("S1-5", "a"), ("S1-6", "a"), ("S1-6", "b"), ("S1-7", "c"), ("S2-1", "a"), ("S2-1", "a"), ("S2-2", "a"), ("S2-3", "a"), ("S3-1", "b"), ("S3-2", None), ("S3-4", "a"), ("S3-5", "a")]
+    groups += [(f"S1-x{i}", "many") for i in range(40)] + [(f"S3-x{i:04d}", "many") for i in range(2100)]
+    people = spark.createDataFrame(groups, "entity_id string, truth_key string").withColumns({"country": F.lit("x"), "business_name": F.lit(""), "business_address": F.lit("")})
+    pairs = [("S1-1", "S2-1", 0), ("S1-1", "S3-1", 1), ("S1-2", "S2-2", 0), ("S1-2", "S3-4", 1), ("S1-3", "S2-2", 0), ("S1-6", "S3-1", 0), ("S1-x3", "S3-x0007", 0), ("S1-x3", "S3-x2000", 1), ("S1-x3", "S2-1", 2), ("S1-2", "S2-1", 2)]
+    tables = {"entities": people, "candidates": spark.createDataFrame(pairs, "s1_id string, cand_id string, rank_no bigint").withColumns({"country": F.lit("x"), "score": F.lit(1.0)})}
+    short = Plan(spark, tables)
+    made = short.step("training_pairs")
+    got, want = made.collect(), Plan(spark, {**tables, "truth": Plan(spark, tables).step("truth")}).step("training_pairs")
+    assert made.dtypes == want.dtypes and sorted(map(str, got)) == sorted(map(str, want.collect()))
+    assert len(got) > 40 * 2100 and "truth" not in short.frames
