@@ -15,11 +15,12 @@ Shingles are 32-bit hashes and texts are told apart by 64-bit ones.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ BUDGET = 141
 #: A node with more leaves is crowded; sets of at most FEW shingles are always compared exactly.
 CROWD = 16
 FEW = 48
+#: Shingles are put in order by the counts of so many buckets, a byte each, which every task gets.
+BUCKETS = 1 << 21
 _MIX = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 for i in range(1, PRINTS + 1)], dtype=np.uint64)
 
 
@@ -143,20 +146,43 @@ def loose_pairs(near: DataFrame, leaves: DataFrame) -> DataFrame:
     return wide.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
 
 
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each bucket occur in ``sets``, as eighths of the binary logarithm: 0 where at most one does."""
+    counts = sets.select(F.explode("parts").alias("token")).groupBy(F.col("token").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(BUCKETS, dtype=np.uint8)
+        for batch in batches:
+            out[batch.column(0).to_numpy()] = np.round(8 * np.log2(batch.column(1).to_numpy()))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["seen"])
+
+    made = counts.repartition(1).mapInArrow(run, "seen binary").collect()
+    return np.frombuffer(made[0].seen, dtype=np.uint8) if made else np.zeros(BUCKETS, dtype=np.uint8)
+
+
 def rare_parts(sets: DataFrame, similarity: float) -> DataFrame:
     """(key, n, token, pos): the rarest shingles of each set, of which similar sets share one.
 
     Two sets of that similarity have common shingles among the first n - similarity * n + 1
-    of each in any one order; here, by their number in ``sets``. Those that only one set has
-    come first and are left out, as they meet nothing.
+    of each in any one order; here, by how often their bucket occurs in ``sets``, so that no set
+    looks up each of its shingles. Those alone in their bucket come first and are left out, as they meet nothing.
     """
-    words = sets.select("key", F.size("parts").alias("n"), F.explode("parts").alias("token"))
-    counts = words.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
-    ordered = words.join(counts, "token").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("x"))
-    own = F.col("n") - F.size("x")
-    most = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1 - own)
-    first = ordered.select("key", "n", own.alias("own"), F.posexplode(F.slice("x", F.lit(1), most)).alias("i", "x"))
-    return first.select("key", "n", F.col("x.token").alias("token"), (F.col("own") + F.col("i")).alias("pos"))
+    shared = sets.sparkSession.sparkContext.broadcast(rarity(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = shared.value
+        for batch in batches:
+            keys, parts = batch.column(0).to_numpy(), batch.column(1)
+            n, token = parts.value_lengths().to_numpy(), parts.flatten().to_numpy()
+            row, often = np.repeat(np.arange(len(n)), n), seen[token & (BUCKETS - 1)]
+            order = np.lexsort((token, often, row))
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            most = n - np.ceil(n * similarity - 1e-9) + 1
+            kept = (pos < most[row]) & (often[order] > 0)
+            first = row[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(n[first]), pa.array(token[order][kept]), pa.array(pos[kept].astype(np.int32))], names=["key", "n", "token", "pos"])
+
+    return sets.select("key", "parts").mapInArrow(run, "key long, n int, token int, pos int")
 
 
 def _fits(similarity: float) -> Column:

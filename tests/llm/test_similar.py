@@ -95,3 +95,17 @@ def test_pipeline_keeps_one_of_each_group(spark, extra):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert kept.columns == list(corpus_pipeline.COLUMNS)
     assert sorted((r.doc_id or 0, r.text.lower().replace("  ", " ")) for r in kept.collect()) == [(0, "only here"), (1, "a b c d e f g"), (3, "something else altogether"), (3, "the same id with another text")]
+
+
+@pytest.mark.parametrize("buckets", [8, similar.BUCKETS])
+def test_rare_shingles_of_near_copies_are_not_looked_up(spark, monkeypatch, buckets):
+    """A group of near copies sends on its rarest shingles only, however few buckets put them in order; the links are those of brute force."""
+    monkeypatch.setattr(similar, "BUCKETS", buckets)
+    rows = texts(4, 1, 200, 100, 8) + [(1000 + i, t) for i, t in texts(5, 20, 3, 40, 1)]
+    sets_ = similar.staged(similar.signatures(spark.createDataFrame(rows, SCHEMA)).select("key", "parts").dropDuplicates(["key"]), "sets")
+    rare = similar.rare_parts(sets_, 0.8)
+    assert "Join" not in rare._jdf.queryExecution().executedPlan().toString()
+    assert 0 < rare.count() < 0.25 * sum(len(r.parts) for r in sets_.collect())
+    monkeypatch.setattr(similar, "FEW", 10**6)  # all texts are compared by their sets
+    got, _ = found(spark, rows)
+    assert got == by_force(rows)
