@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import sys
 import tempfile
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import release
+
 #: A class of training rows has at most so many documents, and as many as have so many characters together; all classes together have at most FIT_ROWS.
 FIT_PER_CLASS = 500
 FIT_CHARS = 8_000_000
@@ -54,12 +55,6 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def utf8(column: pa.Array) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes."""
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()

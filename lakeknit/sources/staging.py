@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, SparkSession
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -21,3 +23,27 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{folder}/lakeknit-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Give the system back what the driver's many threads have freed; whether its JVM can.
+
+    The C library keeps that in an arena for each of them, over 100 MB after a hundred queries.
+    """
+    try:
+        gateway = spark.sparkContext._gateway
+        lang, kinds = gateway.jvm.java.lang, gateway.jvm.javax.management
+        call = next(m for m in lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = gateway.new_array(lang.Object, 4)
+        given[0], given[1] = kinds.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        given[2], given[3] = gateway.new_array(lang.Object, 0), gateway.new_array(lang.String, 0)
+        return "Trim native heap" in call.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except (Py4JError, StopIteration):  # another C library or an older JVM
+        return False

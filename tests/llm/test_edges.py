@@ -130,3 +130,14 @@ def test_bloom_filter_grows_with_the_list(spark):
     ask = spark.range(3000, 9000).selectExpr("concat('h', id, '.org/') AS entry")
     passed = sum((sieve.get(r.b, 0) & r.m) == r.m for r in ask.select(urls._block(F.col("entry"), blocks).alias("b"), urls._mask(F.col("entry")).alias("m")).collect())
     assert passed < 0.1 * 6000
+
+
+def test_staging_trims_the_driver(spark, monkeypatch):
+    """What the driver's threads have freed goes back to the system whenever a table is staged; a JVM that can't do so isn't asked for more."""
+    from lakeknit.llm import common
+    from lakeknit.sources import staging
+
+    done = []
+    monkeypatch.setattr(staging, "trim", lambda s, own=staging.trim: done.append(own(s)))
+    assert common.staged(spark.range(3), "three").count() == 3
+    assert done == [True]
