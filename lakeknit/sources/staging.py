@@ -22,6 +22,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/lakeknit-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -343,3 +343,13 @@ def test_training_pairs_do_not_sort_groups_of_copies(spark):
     got, want = made.collect(), Plan(spark, {**tables, "truth": Plan(spark, tables).step("truth")}).step("training_pairs")
     assert made.dtypes == want.dtypes and sorted(map(str, got)) == sorted(map(str, want.collect()))
     assert len(got) > 40 * 2100 and "truth" not in short.frames
+
+
+def test_staging_trims_the_driver(spark, monkeypatch):
+    """What the driver no longer needs goes back to the system whenever a step is staged."""
+    from lakeknit.sources import staging
+
+    done = []
+    monkeypatch.setattr(staging, "trim", lambda s, own=staging.trim: done.append(own(s)))
+    assert staging.staged(spark.range(3), "three").count() == 3
+    assert done == [True]
