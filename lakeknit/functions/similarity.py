@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -61,18 +62,53 @@ def jaro_winkler_one(a: str, b: str) -> float:
     return jaro + start / 10 * (1 - jaro)
 
 
+#: Texts of more bytes are compared one by one, not in a table of that width.
+WIDE = 96
+
+
+def jaro_winkler_many(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """``jaro_winkler_one`` of each pair, by whole columns of bytes: step i gives the i-th byte of every first text its first free partner."""
+    out = np.empty(len(pairs))
+    short = []
+    for k, (a, b) in enumerate(pairs):
+        if a == b or not a or not b or len(a) > WIDE or len(b) > WIDE or max(len(a.encode()), len(b.encode())) > WIDE:
+            out[k] = jaro_winkler_one(a, b)
+        else:
+            short.append(k)
+    if not short:
+        return out
+    start = np.array([next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b))) for a, b in (pairs[k] for k in short)])
+    texts = [[pairs[k][side].encode() for k in short] for side in (0, 1)]
+    la, lb = (np.array([len(t) for t in side]) for side in texts)
+    a, b = (np.frombuffer(b"".join(t.ljust(n.max(), b"\0") for t in side), dtype=np.uint8).reshape(len(short), n.max()) for side, n in zip(texts, (la, lb), strict=True))
+    reach = np.maximum(0, np.maximum(la, lb) // 2 - 1)
+    rows, columns = np.arange(len(short)), np.arange(b.shape[1], dtype=np.int16)
+    free, used = columns < lb[:, None], np.zeros(a.shape, dtype=bool)
+    for i in range(a.shape[1]):
+        lo, hi = max(0, i - int(reach.max())), min(b.shape[1], i + int(reach.max()) + 1)
+        fits = (b[:, lo:hi] == a[:, i, None]) & free[:, lo:hi] & (np.abs(columns[lo:hi] - i) <= reach[:, None]) & (i < la)[:, None]
+        if fits.shape[1]:
+            hit, j = fits.any(axis=1), fits.argmax(axis=1) + lo
+            used[hit, i] = True
+            free[rows[hit], j[hit]] = False
+    taken = ~free & (columns < lb[:, None])
+    m = used.sum(axis=1)
+    left, right = (np.take_along_axis(t, np.argsort(~own, axis=1, kind="stable"), axis=1)[:, : m.max()] for t, own in ((a, used), (b, taken)))
+    moved = ((left != right) & (np.arange(left.shape[1]) < m[:, None])).sum(axis=1) // 2
+    some = np.maximum(m, 1)
+    jaro = (m / la + m / lb + (m - moved) / some) / 3
+    out[short] = np.where(m == 0, 0.0, jaro + start / 10 * (1 - jaro))
+    return out
+
+
 def register(spark: SparkSession) -> None:
     """Make ``jaro_winkler`` and ``strip_marks`` known to the session's SQL: texts travel in Arrow batches, equal pairs are compared once a batch."""
 
     @F.pandas_udf("double")
     def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], float] = {}
-        out = []
-        for pair in zip(a.fillna(""), b.fillna(""), strict=True):
-            if pair not in known:
-                known[pair] = jaro_winkler_one(*pair)
-            out.append(known[pair])
-        return pd.Series(out, dtype="float64")
+        pairs = list(zip(a.fillna(""), b.fillna(""), strict=True))
+        known = {pair: k for k, pair in enumerate(dict.fromkeys(pairs))}
+        return pd.Series(jaro_winkler_many(list(known))[[known[pair] for pair in pairs]], dtype="float64")
 
     @F.pandas_udf("string")
     def strip_marks(s: pd.Series, form: pd.Series) -> pd.Series:

@@ -505,7 +505,7 @@ STEPS = {f.__name__: f for f in (entities, head_sample, stopwords, records, prof
 #: Steps that only Spark's plans have.
 HELPERS = {f.__name__: f for f in (known, found, places, seekers)}
 #: Steps that several others use and that cost a join or Python: they are written once and read again.
-SHARED = ("profiles", "keys", "candidates", "features", "matches", "siblings", "truth", "known", "found", "places", "seekers", "entity_scores", "offenders")
+SHARED = ("entities", "profiles", "keys", "candidates", "features", "matches", "siblings", "truth", "known", "found", "places", "seekers", "entity_scores", "offenders")
 
 
 class Plan:

@@ -353,3 +353,20 @@ def test_staging_trims_the_driver(spark, monkeypatch):
     monkeypatch.setattr(staging, "trim", lambda s, own=staging.trim: done.append(own(s)))
     assert staging.staged(spark.range(3), "three").count() == 3
     assert done == [True]
+
+
+def test_jaro_winkler_of_many_pairs_is_that_of_each():
+    import random
+
+    rng = random.Random(3)
+    texts = ["", *("".join(rng.choice("abcßटé 1") for _ in range(rng.choice((1, 2, 3, 5, 8, 20, 40, 120)))) for _ in range(400))]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(4000)]
+    assert list(sim.jaro_winkler_many(pairs)) == [sim.jaro_winkler_one(*p) for p in pairs] and not len(sim.jaro_winkler_many([]))
+
+
+def test_texts_are_split_once(spark):
+    """Every step over the entities reads them from where the first one wrote them."""
+    plan = Plan(spark, {"documents": spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")})
+    plan.step("known", last=False)
+    files = plan.frames["entities"].inputFiles()
+    assert files and all("lakeknit-entities" in f for f in files)
