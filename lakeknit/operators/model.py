@@ -16,6 +16,7 @@ from ..plans.linkage import FEATURES
 #: Shares of the three models, and the weight of a positive pair.
 BLEND = (0.45, 0.35, 0.20)
 POSITIVE = 0.20
+HEAVY = 1000
 VECTOR = FEATURES[:35]
 
 
@@ -33,10 +34,17 @@ class Ensemble:
 
     @staticmethod
     def fit(rows: DataFrame, rounds: int = 20, depth: int = 5) -> Ensemble:
-        """Learn from labelled pair features; a positive pair weighs POSITIVE, as precision counts more."""
+        """Learn from labelled pair features; a positive pair weighs POSITIVE, as precision counts more.
+
+        A row with a number ``n`` stands for so many; the trees draw rows, so it is dealt to one row for each HEAVY of them.
+        """
         from pyspark.ml import Pipeline
 
-        weighted = rows.withColumn("weight", F.when(F.col("label") == 1, POSITIVE).otherwise(1.0))
+        one = F.when(F.col("label") == 1, POSITIVE).otherwise(1.0)
+        if "n" in rows.columns:
+            parts = F.ceil(F.col("n") / HEAVY)
+            rows, one = rows.withColumn("part", F.explode(F.sequence(F.lit(1).cast("bigint"), parts))), one * F.col("n") / parts
+        weighted = rows.withColumn("weight", one)
         vector = VectorAssembler(inputCols=list(VECTOR), outputCol="vector", handleInvalid="keep")
         common = {"featuresCol": "vector", "labelCol": "label", "weightCol": "weight", "seed": 42}
         trees = [

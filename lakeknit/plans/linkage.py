@@ -131,6 +131,11 @@ WHERE rn <= {p.top}"""
 
 def features(d: Spark, p: Profile) -> str:
     """The pair vector: 35 numbers in a fixed order, and three more."""
+    return vectors(d, "@candidates AS c JOIN @profiles AS x ON c.s1_id = x.entity_id JOIN @profiles AS y ON c.cand_id = y.entity_id")
+
+
+def vectors(d: Spark, pairs: str) -> str:
+    """Features of ``pairs``: rows ``c`` with the profiles ``x`` and ``y``."""
     z = lambda cond: f"CASE WHEN {cond} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
     both = lambda c: f"{d.size('x.' + c)} > 0 AND {d.size('y.' + c)} > 0"
     meet = lambda c: f"{d.size(d.common('x.' + c, 'y.' + c))}"
@@ -181,7 +186,7 @@ def features(d: Spark, p: Profile) -> str:
     }
     outer = ", ".join(f"{d.round(own.get(k, k), 6)} AS {k}" for k in FEATURES)
     long_names = f"CASE WHEN {d.size('x.name_tokens')} >= 2 AND {d.size('y.name_tokens')} >= 2 THEN 1 ELSE 0 END AS long_names"
-    return f"SELECT s1_id, cand_id, country, x_acronym, y_acronym, meet_digits, same_phone, same_name, long_names, {outer} FROM (SELECT c.s1_id, c.cand_id, c.country, x.acronym AS x_acronym, y.acronym AS y_acronym, {long_names}, CASE WHEN x.name = y.name THEN 1 ELSE 0 END AS same_name, {meet('digits')} AS meet_digits, CASE WHEN x.phone <> '' AND x.phone = y.phone THEN 1 ELSE 0 END AS same_phone, {inner} FROM @candidates AS c JOIN @profiles AS x ON c.s1_id = x.entity_id JOIN @profiles AS y ON c.cand_id = y.entity_id) AS f"
+    return f"SELECT s1_id, cand_id, country, x_acronym, y_acronym, meet_digits, same_phone, same_name, long_names, {outer} FROM (SELECT c.s1_id, c.cand_id, c.country, x.acronym AS x_acronym, y.acronym AS y_acronym, {long_names}, CASE WHEN x.name = y.name THEN 1 ELSE 0 END AS same_name, {meet('digits')} AS meet_digits, CASE WHEN x.phone <> '' AND x.phone = y.phone THEN 1 ELSE 0 END AS same_phone, {inner} FROM {pairs}) AS f"
 
 
 FEATURES = (
@@ -479,16 +484,78 @@ def training_by_keys(d: Spark) -> str:
     Records whose id is in several rows, maybe of several keys, are ranked pair by pair.
     """
     labelled = "SELECT c.s1_id, c.cand_id, c.country, c.score, c.rank_no, CAST(CASE WHEN t.s1_id IS NULL THEN 0 ELSE 1 END AS INT) AS label FROM @candidates AS c LEFT JOIN @found AS t ON c.s1_id = t.s1_id AND c.cand_id = t.cand_id"
-    blocks = f"SELECT a.truth_key, CAST(ceil(a.n / {BLOCK}) AS INT) AS own, CAST(ceil(b.n / {BLOCK}) AS INT) AS other FROM (SELECT truth_key, count(*) AS n FROM @seekers GROUP BY truth_key) AS a JOIN (SELECT truth_key, count(*) AS n FROM @places GROUP BY truth_key) AS b ON a.truth_key = b.truth_key"
-    own = f"SELECT /*+ REPARTITION({d.parts}, truth_key, i, j) */ s.*, CAST(pmod(xxhash64(s.entity_id), k.own) AS INT) AS i, j FROM @seekers AS s JOIN ({blocks}) AS k ON s.truth_key = k.truth_key LATERAL VIEW explode(sequence(0, k.other - 1)) AS j"
-    other = f"SELECT y.*, i, CAST(pmod(y.place, k.other) AS INT) AS j FROM @places AS y JOIN ({blocks}) AS k ON y.truth_key = k.truth_key LATERAL VIEW explode(sequence(0, k.own - 1)) AS i"
-    missed = f"""SELECT x.entity_id AS s1_id, y.entity_id AS cand_id, x.country, CAST(0 AS DOUBLE) AS score, x.last_rank + y.place - size(filter(x.hits, v -> v < y.place)) AS rank_no, 1 AS label
-FROM ({own}) AS x JOIN ({other}) AS y ON x.truth_key = y.truth_key AND x.i = y.i AND x.j = y.j WHERE NOT array_contains(x.hits, y.place)"""
+    missed = f"SELECT x.entity_id AS s1_id, y.entity_id AS cand_id, x.country, CAST(0 AS DOUBLE) AS score, {MISSED_RANK} AS rank_no, 1 AS label FROM {blocked(d, '@seekers', '@places', 'entity_id', 'place')} WHERE {MISSED}"
+    return f"{labelled} UNION ALL {missed} UNION ALL {missed_of_several()}"
+
+
+#: Of a seeker and a target of its key: whether it was missed, and its rank, after the last candidate by its place among the missed ones.
+MISSED, MISSED_RANK = "NOT array_contains(x.hits, y.place)", "x.last_rank + y.place - size(filter(x.hits, v -> v < y.place))"
+
+
+def blocked(d: Spark, own: str, other: str, by: str, at: str, block: int = BLOCK) -> str:
+    """Rows of ``own`` (``x``) with those of ``other`` (``y``) of the same truth key, in blocks told by a column of each."""
+    blocks = f"SELECT a.truth_key, CAST(ceil(a.n / {block}) AS INT) AS own, CAST(ceil(b.n / {block}) AS INT) AS other FROM (SELECT truth_key, count(*) AS n FROM {own} GROUP BY truth_key) AS a JOIN (SELECT truth_key, count(*) AS n FROM {other} GROUP BY truth_key) AS b ON a.truth_key = b.truth_key"
+    left = f"SELECT /*+ REPARTITION({d.parts}, truth_key, i, j) */ s.*, CAST(pmod(xxhash64(s.{by}), k.own) AS INT) AS i, j FROM {own} AS s JOIN ({blocks}) AS k ON s.truth_key = k.truth_key LATERAL VIEW explode(sequence(0, k.other - 1)) AS j"
+    right = f"SELECT y.*, i, CAST(pmod(y.{at}, k.other) AS INT) AS j FROM {other} AS y JOIN ({blocks}) AS k ON y.truth_key = k.truth_key LATERAL VIEW explode(sequence(0, k.own - 1)) AS i"
+    return f"({left}) AS x JOIN ({right}) AS y ON x.truth_key = y.truth_key AND x.i = y.i AND x.j = y.j"
+
+
+def missed_of_several() -> str:
+    """Missed pairs of records whose id is in several rows, pair by pair."""
     several = "SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM @known AS a JOIN @places AS b ON a.truth_key = b.truth_key WHERE a.entity_id IN (SELECT entity_id FROM @entities WHERE left(entity_id, 2) = 'S1' GROUP BY entity_id HAVING count(*) > 1)"
-    rest = f"""SELECT t.s1_id, t.cand_id, e.country, CAST(0 AS DOUBLE) AS score, coalesce(l.last_rank, -1) + row_number() OVER (PARTITION BY t.s1_id ORDER BY t.cand_id) AS rank_no, 1 AS label
+    return f"""SELECT t.s1_id, t.cand_id, e.country, CAST(0 AS DOUBLE) AS score, coalesce(l.last_rank, -1) + row_number() OVER (PARTITION BY t.s1_id ORDER BY t.cand_id) AS rank_no, 1 AS label
 FROM ({several}) AS t JOIN @entities AS e ON t.s1_id = e.entity_id LEFT JOIN @candidates AS c ON t.s1_id = c.s1_id AND t.cand_id = c.cand_id
 LEFT JOIN (SELECT s1_id, max(rank_no) AS last_rank FROM @candidates GROUP BY s1_id) AS l ON t.s1_id = l.s1_id WHERE c.s1_id IS NULL"""
-    return f"{labelled} UNION ALL {missed} UNION ALL {rest}"
+
+
+#: Records with a truth key that agree in these have one look: the same key, and the same features with any record, but for a target's source.
+LOOK = ("truth_key", "name", "addr", "digits", "codes", "postal", "phone")
+SEEN = ("name", "name_tokens", "addr", "addr_tokens", "digits", "codes", "postal", "phone", "acronym", "distinct_score", "sound1", "sound2", "grams2", "grams3", "addr3", "streets")
+#: Pairs of looks have their features computed in blocks of about so many by so many.
+LOOK_BLOCK = 200
+
+
+def looked(columns: str) -> str:
+    return f"SELECT {columns}, md5(to_json(struct({', '.join(LOOK)}))) AS mark FROM @profiles WHERE truth_key IS NOT NULL"
+
+
+def look_profiles(d: Spark, p: Profile) -> str:
+    """The profile of each look, under a number."""
+    return f"SELECT monotonically_increasing_id() AS look, mark, v.* FROM (SELECT mark, any_value(struct({', '.join(('truth_key', *SEEN))})) AS v FROM ({looked('*')}) AS r GROUP BY mark) AS g"
+
+
+def looks(d: Spark, p: Profile) -> str:
+    """(entity_id, src, truth_key, look) of the records that have a truth key."""
+    return f"SELECT r.entity_id, r.src, r.truth_key, l.look FROM ({looked('entity_id, src, truth_key')}) AS r JOIN @look_profiles AS l ON r.mark = l.mark"
+
+
+def look_seekers(d: Spark, p: Profile) -> str:
+    """Seekers of one look that have the same candidates to skip, counted."""
+    return "SELECT truth_key, look, last_rank, hits, count(*) AS n FROM (SELECT s.truth_key, k.look, s.last_rank, array_sort(s.hits) AS hits FROM @seekers AS s JOIN @looks AS k ON s.entity_id = k.entity_id) AS q GROUP BY truth_key, look, last_rank, hits"
+
+
+def look_places(d: Spark, p: Profile) -> str:
+    return "SELECT p.truth_key, p.place, k.src, k.look FROM @places AS p JOIN @looks AS k ON p.entity_id = k.entity_id AND p.truth_key = k.truth_key"
+
+
+def look_pairs(d: Spark, p: Profile) -> str:
+    """Looks of first-source records with looks of targets of the same truth key, and both profiles."""
+    side = lambda cond: f"(SELECT l.* FROM @look_profiles AS l LEFT SEMI JOIN (SELECT look FROM @looks WHERE {cond}) AS k ON l.look = k.look)"
+    shown = lambda t: f"struct({', '.join(f'{t}.{c}' for c in SEEN)}, '' AS src)"
+    own, other = side("src = 'S1'"), side("src <> 'S1'")
+    return f"SELECT x.look AS s1_id, y.look AS cand_id, '' AS country, 0 AS rank_no, {shown('x')} AS x, {shown('y')} AS y FROM {blocked(d, own, other, 'look', 'look', LOOK_BLOCK)}"
+
+
+def look_features(d: Spark, p: Profile) -> str:
+    return vectors(d, "@look_pairs AS c")
+
+
+def missed_looks(d: Spark, p: Profile) -> str:
+    """(x, y, src, rank_no, n): the missed pairs of ``training_pairs`` counted by looks; ranks from 32 on by their first four binary digits, as no candidate has them."""
+    rank = "CASE WHEN r < 32 THEN r ELSE shiftleft(shiftright(r, length(bin(r)) - 4), length(bin(r)) - 4) END"
+    rest = f"SELECT a.look AS x, b.look AS y, b.src, CAST(t.rank_no AS BIGINT) AS r, 1 AS n FROM ({missed_of_several()}) AS t JOIN @looks AS a ON t.s1_id = a.entity_id JOIN @looks AS b ON t.cand_id = b.entity_id AND a.truth_key = b.truth_key"
+    most = f"SELECT x.look AS x, y.look AS y, y.src, CAST({MISSED_RANK} AS BIGINT) AS r, x.n FROM {blocked(d, '@look_seekers', '@look_places', 'look', 'place')} WHERE {MISSED}"
+    return f"SELECT x, y, src, rank_no, sum(n) AS n FROM (SELECT x, y, src, {rank} AS rank_no, n FROM ({most} UNION ALL {rest}) AS u) AS g GROUP BY x, y, src, rank_no"
 
 
 def training_pairs(d: Spark, p: Profile) -> str:
@@ -503,9 +570,9 @@ LEFT JOIN (SELECT s1_id, max(rank_no) AS last_rank FROM @candidates GROUP BY s1_
 
 STEPS = {f.__name__: f for f in (entities, head_sample, stopwords, records, profiles, keys, weights, candidates, features, scored, siblings, boosted, claims, matches, truth, results, entity_scores, evaluation, grid, best_setting, folds, fold_scores, offenders, checks, first_offenders, verdict, legacy_records, legacy_features, *map(_vector, lg.VECTORS), needed_records, hard_negatives, background_negatives, training_pairs)}
 #: Steps that only Spark's plans have.
-HELPERS = {f.__name__: f for f in (known, found, places, seekers)}
+HELPERS = {f.__name__: f for f in (known, found, places, seekers, look_profiles, looks, look_seekers, look_places, look_pairs, look_features, missed_looks)}
 #: Steps that several others use and that cost a join or Python: they are written once and read again.
-SHARED = ("entities", "profiles", "keys", "candidates", "features", "matches", "siblings", "truth", "known", "found", "places", "seekers", "entity_scores", "offenders")
+SHARED = ("entities", "profiles", "keys", "candidates", "features", "matches", "siblings", "truth", "known", "found", "places", "seekers", "entity_scores", "offenders", "look_profiles", "looks", "look_seekers", "look_places", "missed_looks")
 
 
 class Plan:

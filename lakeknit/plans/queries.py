@@ -31,14 +31,38 @@ def _query(step: str, profile: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+#: What a training row holds besides its source, rank, label and count: the vector's other features, in hundredths.
+PACKED = tuple(c for c in model.VECTOR if c not in ("is_s2", "is_s3", "rank_feat"))
+
+
+def training_rows(plan: Plan) -> DataFrame:
+    """The training part of ``training_pairs`` as vectors with a label and their number ``n``.
+
+    Features, which the trees cut into 32 parts at most, are rounded to hundredths, and equal rows are one:
+    neither a group of copies nor its features are multiplied out.
+    """
+    packed = F.array(*[F.round(F.col(c) * 100).cast("smallint") for c in PACKED]).alias("v")
+    found = plan.step("found", last=False).distinct().withColumn("label", F.lit(1))
+    near = model.split(plan.step("features", last=False))[0].join(found, ["s1_id", "cand_id"], "left")
+    near = near.select(packed, F.when(F.col("is_s2") == 1, "S2").otherwise("S3").alias("src"), F.col("rank_feat").cast("bigint").alias("rank_no"), F.coalesce("label", F.lit(0)).alias("label"), F.lit(1).cast("bigint").alias("n"))
+    plan.step("seekers", last=False)
+    looks = plan.step("looks", last=False)
+    # Whatever is counted goes by the looks of first-source records, so the held-out ones leave no trace.
+    learn = Plan(plan.spark, plan.frames, plan.profile)
+    learn.frames["looks"] = model.split(looks.withColumn("s1_id", F.col("entity_id")).filter("src = 'S1'"))[0].drop("s1_id").unionByName(looks.filter("src <> 'S1'"))
+    missed = learn.step("missed_looks", last=False)
+    vectors = learn.step("look_features").select("s1_id", "cand_id", packed)
+    far = vectors.join(missed, (F.col("s1_id") == F.col("x")) & (F.col("cand_id") == F.col("y"))).select("v", "src", "rank_no", F.lit(1).alias("label"), "n")
+    rows = near.unionByName(far).groupBy("v", "src", "rank_no", "label").agg(F.sum("n").alias("n"))
+    values = {c: F.col("v")[i] / 100.0 for i, c in enumerate(PACKED)} | {c: F.when(F.col("src") == s, 1.0).otherwise(0.0) for c, s in (("is_s2", "S2"), ("is_s3", "S3"))} | {"rank_feat": F.col("rank_no").cast("double")}
+    return rows.select(*[values[c].alias(c) for c in model.VECTOR], "label", "n")
+
+
 def _trained(spark: SparkSession, sf_dir: str) -> Plan:
     """A plan whose scores come from the tree ensemble, learned from the training part of the records."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     plan = Plan(spark, {"documents": docs})
-    pairs = plan.step("training_pairs")
-    learn = Plan(spark, {**plan.frames, "candidates": pairs.drop("label")})
-    rows = learn.step("features").join(pairs.select("s1_id", "cand_id", "label"), ["s1_id", "cand_id"])
-    fitted = model.Ensemble.fit(staged(model.split(rows)[0], "training"))
+    fitted = model.Ensemble.fit(staged(training_rows(plan), "training"))
     scored = fitted.score(plan.step("features", last=False))
     plan.frames["scored"] = staged(scored.select("s1_id", "cand_id", "country", "distinctiveness_score", "prob"), "scored")
     return plan

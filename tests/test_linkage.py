@@ -355,6 +355,39 @@ def test_staging_trims_the_driver(spark, monkeypatch):
     assert done == [True]
 
 
+def test_training_does_not_multiply_out_groups_of_copies(spark):
+    """The vectors learned from are those of all training pairs, with their number; equal looks meet once."""
+    from lakeknit.operators import model
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    text = "zwölf Wörter sind genug damit alle diese Texte ein und dasselbe meinen sollen"
+    copies = spark.range(900).selectExpr("id + 1000000 AS doc_id", f"concat('{text}', repeat(' mehr', CAST(id % 7 AS INT))) AS text", "'de' AS lang")
+    plan = Plan(spark, {"documents": docs.unionByName(copies)})
+    got = linkage.training_rows(plan)
+    assert "truth" not in plan.frames
+    pairs = plan.step("training_pairs").localCheckpoint()
+    every = Plan(spark, {"profiles": plan.frames["profiles"], "candidates": pairs.drop("label")}).step("features")
+    want = model.split(every.join(pairs.select("s1_id", "cand_id", "label"), ["s1_id", "cand_id"]))[0]
+    rank = F.expr("CASE WHEN rank_feat < 32 THEN rank_feat ELSE floor(rank_feat / pow(2, floor(log2(rank_feat)) - 3)) * pow(2, floor(log2(rank_feat)) - 3) END")
+    plain = [F.round(c, 2).alias(c) for c in model.VECTOR if c != "rank_feat"]
+    want = want.select(*plain, rank.cast("double").alias("rank_feat"), "label").groupBy(*model.VECTOR, "label").count()
+    of = lambda df, n: {tuple(round(r[c], 2) + 0.0 for c in (*model.VECTOR, "label")): r[n] for r in df.collect()}
+    made, wanted = of(got, "n"), of(want, "count")
+    assert made == wanted and sum(made.values()) > 20 * len(made)
+
+
+def test_training_looks_of_ids_in_several_rows(spark):
+    """Missed pairs of records and targets whose id is in several rows are learned from too, by the looks of their own key."""
+    groups = [("S1-1", "a"), ("S1-1", "b"), ("S1-2", "a"), ("S1-3", "c"), ("S2-1", "a"), ("S2-2", "b"), ("S3-1", "c"), ("S3-1", "c"), ("S3-2", None)]
+    people = spark.createDataFrame(groups, "entity_id string, truth_key string").withColumns({"country": F.lit("x"), "business_name": F.concat(F.lit("name "), F.coalesce("truth_key", F.lit("none"))), "business_address": F.lit("")})
+    none = spark.createDataFrame([], "s1_id string, cand_id string, country string, score double, rank_no bigint")
+    plan = Plan(spark, {"entities": people, "candidates": none})
+    number = {(r.entity_id, r.truth_key): r.look for r in plan.step("looks", last=False).collect()}
+    got = {(r.x, r.y) for r in plan.step("missed_looks").collect()}
+    assert got == {(number[a, k], number[b, k]) for a, k in groups for b, j in groups if k and k == j and a < "S2" <= b}
+    assert got <= {(r.s1_id, r.cand_id) for r in plan.step("look_features").select("s1_id", "cand_id").collect()}
+
+
 def test_jaro_winkler_of_many_pairs_is_that_of_each():
     import random
 
